@@ -55,7 +55,7 @@ def _items(value: str, path: str) -> str:
 def spaced_json(raw: str) -> str:
     """JSON text with one space after each comma and colon and none elsewhere."""
     compact = f"regexp_replace({raw}, {regex_literal('(' + _STRING + r')|[ \t\r\n]+')}, '$1')"
-    parts = regex_literal(r'((?:[^",:]++|' + _STRING + r')*+[,:])')
+    parts = regex_literal(r'\G((?:[^",:]++|' + _STRING + r')*+[,:])')
     return f"regexp_replace({compact}, {parts}, '$1 ')"
 
 
