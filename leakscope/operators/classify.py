@@ -27,23 +27,34 @@ RESULT_COLUMNS = ("sensitivity", "tier1_score", "tier2_score", "label", "categor
 SAMPLE_CHARS = 400
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps refer to by value.
+
+    A filter or an explode above a projection is rewritten in terms of the projection's
+    input, which would repeat a scan of fifty patterns once per mention.  Nothing that refers
+    to the output of a generator is pushed below it, so the columns are made by one, from an
+    array of a single struct.  Filters on other columns still reach the file scan.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def with_scan_gates(df: DataFrame, text: str = "text") -> DataFrame:
-    return (df.withColumn("_lower", F.lower(F.col(text)))
-            .withColumn("_digits", scan.digit_gate(text))
-            .withColumn("_scannable", scan.may_be_destructive("_lower")))
+    df = df.withColumn("_lower", F.lower(F.col(text)))
+    return pinned(df, _digits=scan.digit_gate(text),
+                  _scannable=scan.may_be_destructive("_lower"))
 
 
 def with_sensitive_hits(df: DataFrame, text: str = "text", catalog=SENSITIVE,
                         limit: int | None = MAX_HITS) -> DataFrame:
-    return df.withColumn("re_hits", scan.sensitive_hits(text, "_lower", "_digits", catalog,
-                                                        limit))
+    return pinned(df, re_hits=scan.sensitive_hits(text, "_lower", "_digits", catalog, limit))
 
 
 def with_destructive_hits(df: DataFrame, text: str = "text", catalog=DESTRUCTIVE,
                           limit: int | None = MAX_HITS) -> DataFrame:
-    return (df.withColumn("_safe", scan.safe_spans(text, "_lower", "_scannable"))
-            .withColumn("dc_hits", scan.destructive_hits(text, "_lower", "_scannable", "_safe",
-                                                         catalog, limit)))
+    df = pinned(df, _safe=scan.safe_spans(text, "_lower", "_scannable"))
+    return pinned(df, dc_hits=scan.destructive_hits(text, "_lower", "_scannable", "_safe",
+                                                    catalog, limit))
 
 
 def scan_texts(df: DataFrame, text: str = "text", sensitive=SENSITIVE, destructive=DESTRUCTIVE,
@@ -52,9 +63,8 @@ def scan_texts(df: DataFrame, text: str = "text", sensitive=SENSITIVE, destructi
     df = with_scan_gates(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))), text)
     df = with_sensitive_hits(df, text, sensitive, limit)
     df = with_destructive_hits(df, text, destructive, limit)
-    return (df.withColumn("re_score", scan.hit_score("re_hits"))
-            .withColumn("dc_score", scan.hit_score("dc_hits"))
-            .drop(*SCAN_COLUMNS))
+    return pinned(df, re_score=scan.hit_score("re_hits"),
+                  dc_score=scan.hit_score("dc_hits")).drop(*SCAN_COLUMNS)
 
 
 def exempt_owned(hits: str, owned_email: str, owned_ip: str) -> Column:
@@ -80,8 +90,9 @@ def with_owned_values(df: DataFrame, owned: DataFrame, tenant: str = "tenant_id"
     per_tenant = owned.groupBy(tenant).agg(values("email").alias("_owned_email"),
                                            values("ip").alias("_owned_ip"))
     joined = df.join(per_tenant, tenant, "left")
-    return (joined.withColumn("re_hits", exempt_owned("re_hits", "_owned_email", "_owned_ip"))
-            .drop("_owned_email", "_owned_ip"))
+    joined = pinned(joined, _exempted=exempt_owned("re_hits", "_owned_email", "_owned_ip"))
+    return joined.drop("_owned_email", "_owned_ip", "re_hits").withColumnRenamed(
+        "_exempted", "re_hits")
 
 
 def classify_requests(df: DataFrame, text: str = "text", path: str | None = None,
@@ -100,12 +111,12 @@ def classify_requests(df: DataFrame, text: str = "text", path: str | None = None
         df = df.withColumn("sample", F.left(scan.masked_text(text, "re_hits"),
                                             F.lit(sample_chars)))
     if owned is not None:
-        df = with_owned_values(df, owned, tenant)
-        df = df.withColumn("re_score", scan.hit_score("re_hits"))
-    df = (df.withColumn("_hits", F.concat("re_hits", "dc_hits"))
-          .withColumn("_t1", scoring.combine(F.col("re_score"), F.col("dc_score")))
-          .withColumn("_t2", F.col(tier2).cast("double") if tier2 else F.lit(0.0))
-          .withColumn("_trigger", scoring.trigger(F.col(windows) if windows else F.lit(0))))
+        df = with_owned_values(df.drop("re_score"), owned, tenant)
+        df = pinned(df, re_score=scan.hit_score("re_hits"))
+    df = pinned(df, _hits=F.concat("re_hits", "dc_hits"),
+                _t1=scoring.combine(F.col("re_score"), F.col("dc_score")),
+                _t2=F.col(tier2).cast("double") if tier2 else F.lit(0.0),
+                _trigger=scoring.trigger(F.col(windows) if windows else F.lit(0)))
     return _finish(df, text, path, guess, guess_prob, force_critical=False)
 
 
@@ -120,9 +131,8 @@ def classify_responses(df: DataFrame, text: str = "text", path: str | None = Non
         df = df.withColumn("sample", F.left(scan.masked_text(text, "re_hits"),
                                             F.lit(sample_chars))).drop("re_hits")
     df = with_destructive_hits(df, text, destructive).drop(*SCAN_COLUMNS)
-    df = (df.withColumn("dc_score", scan.hit_score("dc_hits"))
-          .withColumn("_hits", F.col("dc_hits")).withColumn("_t1", F.col("dc_score"))
-          .withColumn("_t2", F.lit(0.0)).withColumn("_trigger", F.lit(scoring.HARD_TRIGGER)))
+    df = pinned(df, _hits=F.col("dc_hits"), _t1=scan.hit_score("dc_hits"), _t2=F.lit(0.0),
+                _trigger=F.lit(scoring.HARD_TRIGGER))
     return _finish(df, text, path, None, None, force_critical)
 
 
@@ -130,27 +140,24 @@ def _finish(df: DataFrame, text: str, path: str | None, guess: str | None,
             guess_prob: str | None, force_critical: bool) -> DataFrame:
     if path is None:
         path, df = "_path", df.withColumn("_path", F.lit(""))
-    df = (df.withColumn("_s", scoring.blend(F.col("_t1"), F.col("_t2")))
-          .withColumn("_i", classify_intent(path, text, guess=guess, guess_prob=guess_prob)))
+    df = pinned(df, _s=scoring.blend(F.col("_t1"), F.col("_t2")),
+                _i=classify_intent(path, text, guess=guess, guess_prob=guess_prob))
     intent = F.col("_i.intent")
-    demoted = is_demoted(intent)
     effective = F.least(F.lit(1.0), F.col("_s") * intent_factor(intent))
-    label = scoring.clamp_label(scoring.label_for(effective), demoted)
-    if force_critical:
-        hit = F.size("dc_hits") > 0
-        label = F.when(hit, F.lit("critical")).otherwise(label)
-        effective = F.when(hit, F.lit(1.0)).otherwise(effective)
+    critical = F.size("dc_hits") > 0 if force_critical else F.lit(False)
+    df = pinned(df, _demoted=is_demoted(intent), _critical=critical,
+                _effective=F.when(critical, F.lit(1.0)).otherwise(effective))
+    df = pinned(df, label=F.when(F.col("_critical"), F.lit("critical")).otherwise(
+        scoring.clamp_label(scoring.label_for(F.col("_effective")), F.col("_demoted"))))
     df = (df.withColumn("intent", intent)
           .withColumn("intent_conf", scoring.rounded(F.col("_i.confidence"), 3))
-          .withColumn("label", label)
-          .withColumn("effective_sensitivity", scoring.rounded(effective, 4))
+          .withColumn("effective_sensitivity", scoring.rounded(F.col("_effective"), 4))
           .withColumn("sensitivity", scoring.rounded(F.col("_s"), 4))
           .withColumn("tier1_score", scoring.rounded(F.col("_t1"), 4))
           .withColumn("tier2_score", scoring.rounded(F.col("_t2"), 4))
           .withColumn("categories", scoring.categories("_hits", "_t2", "_trigger"))
-          .withColumn("_demoted", demoted)
           .withColumn("summary", scoring.summary("_hits", "_t2", "_s", "_trigger", "intent",
                                                  "_demoted"))
           .withColumn("hits", scan.public_hits("_hits")))
-    return df.drop("_s", "_i", "_t1", "_t2", "_trigger", "_demoted", "_hits", "_path",
-                   "re_hits", "dc_hits", "re_score", "dc_score")
+    return df.drop("_s", "_i", "_t1", "_t2", "_trigger", "_demoted", "_critical", "_effective",
+                   "_hits", "_path", "re_hits", "dc_hits", "re_score", "dc_score")

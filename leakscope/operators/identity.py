@@ -100,9 +100,13 @@ def shown_value(kind: Column, value: Column) -> Column:
     return F.when((kind == "email") & F.contains(value, F.lit("@")), masked).otherwise(value)
 
 
+def _chunk_of(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+
+
 def _per_event(rows: DataFrame, chunk_seconds: int) -> DataFrame:
     return rows.groupBy(*KEY, "ts", "event_id").agg(F.count("*").alias("n")).withColumn(
-        "chunk", F.floor(F.unix_micros("ts") / (chunk_seconds * 1_000_000)))
+        "chunk", _chunk_of("ts", chunk_seconds))
 
 
 def _chunk_state(events: DataFrame) -> DataFrame:
@@ -176,8 +180,8 @@ def running_exemption(rows: DataFrame, state: DataFrame | None = None,
         known = state.select(*KEY, F.lit(None).cast(events.schema["event_id"].dataType)
                              .alias("event_id"),
                              F.col("last_seen").alias("ts"), F.col("count").alias("n"))
-        known = known.withColumn("chunk", F.floor(   # ends before the chunk it was last seen in
-            F.unix_micros("ts") / (chunk_seconds * 1_000_000)) - 1)
+        # known counts end before the chunk they were last seen in
+        known = known.withColumn("chunk", _chunk_of("ts", chunk_seconds) - 1)
         history = events.unionByName(known)
     else:
         history = events
@@ -204,4 +208,5 @@ def running_exemption(rows: DataFrame, state: DataFrame | None = None,
     by_value = Window.partitionBy(*KEY).orderBy("ts", "event_id").rowsBetween(
         Window.unboundedPreceding, 0)   # fewer than `threshold` hits per value by construction
     return exact.unionByName(rare.select(
-        *KEY, "ts", "event_id", "n", F.sum("n").over(by_value).alias("running"), F.lit(False).alias("exempt")))
+        *KEY, "ts", "event_id", "n", F.sum("n").over(by_value).alias("running"),
+        F.lit(False).alias("exempt")))

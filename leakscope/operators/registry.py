@@ -61,6 +61,7 @@ def upsert(registry: DataFrame, requests: DataFrame, created_at: Column) -> Data
                              F.trim(F.coalesce("label", F.lit(""))).alias("new_label"))
     wanted = wanted.filter(is_valid_host(F.col("host"))).withColumn(
         "new_label", F.coalesce(F.nullif(F.col("new_label"), F.lit("")), F.col("host")))
+    wanted = wanted.groupBy("host").agg(F.max("new_label").alias("new_label"))
     merged = registry.join(wanted, "host", "full_outer")
     asked = F.col("new_label").isNotNull()
     return merged.select(
