@@ -201,6 +201,8 @@ def running_exemption(rows: DataFrame, state: DataFrame | None = None,
     active = walked.select("tenant_id", "kind", "chunk").distinct()
     carried = carried.join(active, ["tenant_id", "kind", "chunk"], "left_semi")
     group = ["tenant_id", "kind", "chunk"]
+    # a plain re-projection gives the two sides columns of their own
+    carried = carried.select(*[F.col(c).alias(c) for c in carried.columns])
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in _RUNNING[:-1])
     exact = (walked.groupBy(*group).cogroup(carried.groupBy(*group))

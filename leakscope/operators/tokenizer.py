@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakscope.functions.tokens import END_OF_WORD, words
 from leakscope.session import cut_lineage
@@ -145,6 +146,19 @@ def _spell(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("word", T.StringType())])))
+def _word_offsets(batch: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": m.start(), "end": m.end(), "word": m.group()}
+                       for m in re.finditer(r"\S+", (value or "").lower())] for value in batch])
+
+
+def word_offsets(texts: DataFrame, text: str = "text", output: str = "words") -> DataFrame:
+    """Adds the words with their character ranges, in one pass over each text."""
+    return texts.withColumn(output, _word_offsets.asNondeterministic()(F.col(text)))
+
+
 def encode(texts: DataFrame, tokenizer: Tokenizer, text: str = "text",
            output: str = "tokens") -> DataFrame:
     """Adds tokens with ids, character offsets and surfaces.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "flows", "analytics")
+MODULES = ("scans", "flows", "analytics", "models", "streams")
 
 
 def load():

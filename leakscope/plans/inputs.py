@@ -20,7 +20,7 @@ from leakscope.sources.tables import table
 def pick(number: str, options: list[str]) -> str:
     """SQL: the option at number modulo their count."""
     whens = " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options))
-    return f"(CASE {number} % {len(options)} {whens} END)"
+    return f"(CASE ({number}) % {len(options)} {whens} END)"
 
 
 def quoted(text: str) -> str:
