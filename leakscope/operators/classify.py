@@ -149,15 +149,16 @@ def _finish(df: DataFrame, text: str, path: str | None, guess: str | None,
                 _effective=F.when(critical, F.lit(1.0)).otherwise(effective))
     df = pinned(df, label=F.when(F.col("_critical"), F.lit("critical")).otherwise(
         scoring.clamp_label(scoring.label_for(F.col("_effective")), F.col("_demoted"))))
-    df = (df.withColumn("intent", intent)
-          .withColumn("intent_conf", scoring.rounded(F.col("_i.confidence"), 3))
-          .withColumn("effective_sensitivity", scoring.rounded(F.col("_effective"), 4))
-          .withColumn("sensitivity", scoring.rounded(F.col("_s"), 4))
-          .withColumn("tier1_score", scoring.rounded(F.col("_t1"), 4))
-          .withColumn("tier2_score", scoring.rounded(F.col("_t2"), 4))
-          .withColumn("categories", scoring.categories("_hits", "_t2", "_trigger"))
-          .withColumn("summary", scoring.summary("_hits", "_t2", "_s", "_trigger", "intent",
-                                                 "_demoted"))
-          .withColumn("hits", scan.public_hits("_hits")))
+    df = df.withColumns({   # one projection; what a caller does not select is never computed
+        "intent": intent,
+        "intent_conf": scoring.rounded(F.col("_i.confidence"), 3),
+        "effective_sensitivity": scoring.rounded(F.col("_effective"), 4),
+        "sensitivity": scoring.rounded(F.col("_s"), 4),
+        "tier1_score": scoring.rounded(F.col("_t1"), 4),
+        "tier2_score": scoring.rounded(F.col("_t2"), 4),
+        "categories": scoring.categories("_hits", "_t2", "_trigger"),
+        "summary": scoring.summary("_hits", "_t2", "_s", "_trigger", "_i.intent", "_demoted"),
+        "hits": scan.public_hits("_hits"),
+    })
     return df.drop("_s", "_i", "_t1", "_t2", "_trigger", "_demoted", "_critical", "_effective",
                    "_hits", "_path", "re_hits", "dc_hits", "re_score", "dc_score")

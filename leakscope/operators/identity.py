@@ -136,31 +136,49 @@ def running_counts(rows: DataFrame, threshold: int = THRESHOLD,
                     (F.col("running") >= threshold).alias("qualifies")))
 
 
-_RUNNING = ["tenant_id", "kind", "value", "ts", "event_id", "n", "running", "exempt"]
-
-
-def _walk_chunk(threshold: int, decay_hours: int):
-    decay = pd.Timedelta(hours=decay_hours)
-
-    def walk(events: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        seen = {v: (int(c), t) for v, c, t in zip(state["value"], state["count"],
-                                                 state["last_seen"])}
-        if events.empty:
-            return pd.DataFrame(columns=_RUNNING)
-        cap = CAP.get(events["kind"].iloc[0], _OTHER_CAP)
-        out = []
-        ordered = events.sort_values(["ts", "event_id", "value"])
-        for (ts, _), group in ordered.groupby(["ts", "event_id"], sort=False):
-            for value, n in zip(group["value"], group["n"]):
-                seen[value] = (seen.get(value, (0, ts))[0] + int(n), ts)
-            live = [(-c, -t.value, v) for v, (c, t) in seen.items()
-                    if c >= threshold and t >= ts - decay]
-            top = {v for _, _, v in sorted(live)[:cap]}
-            part = group[["tenant_id", "kind", "value", "ts", "event_id", "n"]].copy()
-            part["running"] = [seen[v][0] for v in group["value"]]
-            part["exempt"] = [v in top for v in group["value"]]
-            out.append(part)
-        return pd.concat(out)
+_WALKED = ["tenant_id", "kind", "value", "at", "event_id", "n", "running", "exempt"]
+
+
+def _walk(threshold: int, decay_hours: int):
+    """Walk rows sorted by tenant, kind, chunk and time; the counts known at the start of a
+    chunk come before its events.  Works on whole Arrow batches, so many small groups cost
+    no more than a few large ones; what is kept is the counts of one chunk."""
+    decay = decay_hours * 3_600_000_000
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen, event = None, {}, []
+
+        def settle() -> list[tuple]:
+            """Count every hit of the event, then check them all."""
+            if not event:
+                return []
+            kind, at = event[0][1], event[0][3]
+            for row in event:
+                seen[row[2]] = (seen.get(row[2], (0, at))[0] + int(row[5]), at)
+            live = sorted((-count, -last, value) for value, (count, last) in seen.items()
+                          if count >= threshold and last >= at - decay)
+            top = {value for _, _, value in live[:CAP.get(kind, _OTHER_CAP)]}
+            done = [(*row, seen[row[2]][0], row[2] in top) for row in event]
+            event.clear()
+            return done
+
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch[c] for c in ("tenant_id", "kind", "value", "at", "event_id", "n",
+                                          "chunk", "is_event"))
+            for *row, chunk, is_event in zip(*columns):
+                key = (row[0], row[1], chunk)
+                if key != group:
+                    out += settle()
+                    group, seen = key, {}
+                if not is_event:
+                    seen[row[2]] = (int(row[5]), row[3])
+                    continue
+                if event and (event[0][3], event[0][4]) != (row[3], row[4]):
+                    out += settle()
+                event.append(tuple(row))
+            yield pd.DataFrame(out, columns=_WALKED)
+        yield pd.DataFrame(settle(), columns=_WALKED)
 
     return walk
 
@@ -201,12 +219,24 @@ def running_exemption(rows: DataFrame, state: DataFrame | None = None,
     active = walked.select("tenant_id", "kind", "chunk").distinct()
     carried = carried.join(active, ["tenant_id", "kind", "chunk"], "left_semi")
     group = ["tenant_id", "kind", "chunk"]
-    # a plain re-projection gives the two sides columns of their own
-    carried = carried.select(*[F.col(c).alias(c) for c in carried.columns])
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in _RUNNING[:-1])
-    exact = (walked.groupBy(*group).cogroup(carried.groupBy(*group))
-             .applyInPandas(_walk_chunk(threshold, decay_hours), schema + ", exempt boolean"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    event_rows = walked.select("tenant_id", "kind", "value", at, "event_id", "n", "chunk",
+                               F.lit(True).alias("is_event"))
+    state_rows = carried.select(
+        "tenant_id", "kind", "value",
+        F.unix_micros(F.col("last_seen").cast("timestamp")).alias("at"),
+        F.lit(None).cast(types["event_id"]).alias("event_id"), F.col("count").alias("n"),
+        "chunk", F.lit(False).alias("is_event"))
+    # by number: a size-based coalesce would leave a small input to one Python worker
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = event_rows.unionByName(state_rows).repartition(width, *group).sortWithinPartitions(
+        *group, "is_event", "at", "event_id")
+    schema = (f"tenant_id {types['tenant_id']}, kind string, value string, at bigint, "
+              f"event_id {types['event_id']}, n bigint, running bigint, exempt boolean")
+    exact = ordered.mapInPandas(_walk(threshold, decay_hours), schema).select(
+        *KEY, F.timestamp_micros("at").cast(types["ts"]).alias("ts"), "event_id", "n",
+        "running", "exempt")
     by_value = Window.partitionBy(*KEY).orderBy("ts", "event_id").rowsBetween(
         Window.unboundedPreceding, 0)   # fewer than `threshold` hits per value by construction
     return exact.unionByName(rare.select(

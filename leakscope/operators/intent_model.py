@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.intent import INTENTS, classify_intent
 from leakscope.functions.tokens import words_sql
+from leakscope.operators.classify import pinned
 
 # --- fixed values ------------------------------------------------------------
 BUCKETS = 1024
@@ -108,8 +109,10 @@ def predict(rows: DataFrame, model: IntentModel, buckets: str = "buckets") -> Da
     scores = (f"transform(sequence(0, {n - 1}), c -> aggregate({buckets}, get({prior}, c), "
               f"(s, b) -> s + get(get({weights}, c), b)))")
     names = ", ".join(f"'{i}'" for i in INTENTS)
-    rows = rows.withColumn("_scores", F.expr(scores))
-    rows = rows.withColumn("_top", F.expr("array_max(_scores)"))
+    bags = rows.withColumnRenamed(buckets, "_bag")
+    rows = pinned(bags, **{buckets: F.col("_bag")}).drop("_bag")
+    rows = pinned(rows, _scores=F.expr(scores))
+    rows = pinned(rows, _top=F.expr("array_max(_scores)"))
     return (rows.withColumn("guess", F.expr(
                 f"get(array({names}), cast(array_position(_scores, _top) - 1 AS int))"))
             .withColumn("guess_prob", F.expr(

@@ -431,12 +431,11 @@ def synth_corpus_scan(spark, folder):
 
 
 def _model_rows(spark, folder):
-    samples = synthetic(spark, folder)
-    learned = trained_tokenizer(spark, folder, 16)
-    encoded = tokenizer.encode(samples, learned)
-    split = evaluate.split_three(samples.select("doc_id"))
-    rows = token_model.token_rows(encoded, spans="spans")
-    return samples.select("doc_id", "label"), rows.join(split, "doc_id")
+    """Documents and their token rows; the split is settled before the texts are cut up."""
+    samples = evaluate.split_three(synthetic(spark, folder))
+    encoded = tokenizer.encode(samples, trained_tokenizer(spark, folder, 16))
+    rows = token_model.token_rows(encoded, spans="spans", keep=("split",))
+    return samples.select("doc_id", "label"), rows
 
 
 @query("model_select")

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leakscope.operators import identity as idn
 from leakscope.operators import registry as rg
@@ -92,55 +93,42 @@ def demote_stream(scanned: DataFrame, owned: DataFrame) -> DataFrame:
             .drop("_email", "_ip"))
 
 
-class _Assembler(StatefulProcessor):
-    """Collects the chunks of one flow and emits its body at the end marker or on time-out."""
-
-    def __init__(self, cap_bytes: int, idle_ms: int) -> None:
-        self.cap_bytes, self.idle_ms = cap_bytes, idle_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.parts = handle.getListState("parts", "seq int, part binary")
-        self.size = handle.getValueState("size", "bytes long")
-
-    def _emit(self, key) -> pd.DataFrame:
-        parts = sorted(self.parts.get())
-        body = b"".join(bytes(p[1]) for p in parts)[:self.cap_bytes]
-        self.parts.clear()
-        self.size.clear()
-        return pd.DataFrame({"flow_id": [key[0]], "chunks": [len(parts)], "body": [body]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.size.get()[0] if self.size.exists() else 0
-        ended = False
-        for frame in rows:
-            for seq, part, last in zip(frame["seq"], frame["chunk"], frame["is_last"]):
-                ended = ended or bool(last)
-                if held < self.cap_bytes and part:
-                    self.parts.appendValue((int(seq), bytes(part)))
-                    held += len(part)
-        if ended:
-            yield self._emit(key)
+def _assembler(cap_bytes: int, idle_ms: int):
+    """Appends the chunks of one flow up to the cap; emits at the end marker or when idle."""
+    def emit(flow: str, chunks: int, body: bytes) -> pd.DataFrame:
+        return pd.DataFrame({"flow_id": [flow], "chunks": [chunks], "body": [body]})
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        body, chunks = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield emit(key[0], chunks, body)
+            return
+        rows = sorted((int(seq), bytes(part or b""), bool(last)) for frame in frames
+                      for seq, part, last in zip(frame["seq"], frame["chunk"],
+                                                 frame["is_last"]))
+        held = bytearray(body)
+        for _, part, _ in rows:
+            held += part[:cap_bytes - len(held)]
+        chunks += len(rows)
+        if any(last for _, _, last in rows):
+            if state.exists:
+                state.remove()
+            yield emit(key[0], chunks, bytes(held))
         else:
-            self.size.update((held,))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            state.update((bytes(held), chunks))
+            state.setTimeoutDuration(idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.size.exists():
-            yield self._emit(key)
-
-    def close(self) -> None:
-        pass
+    return step
 
 
 def assemble_stream(chunks: DataFrame, cap_bytes: int = 512 * 1024,
                     idle_ms: int = 600_000) -> DataFrame:
-    """flow_id, chunks, body of each finished flow.  Needs the RocksDB state store."""
+    """flow_id, chunks, body of each finished flow.  State per flow is at most the cap."""
     return chunks.select("flow_id", "seq", "chunk", "is_last").groupBy(
-        "flow_id").transformWithStateInPandas(
-        statefulProcessor=_Assembler(cap_bytes, idle_ms),
-        outputStructType="flow_id string, chunks int, body binary",
-        outputMode="Append", timeMode="ProcessingTime")
+        "flow_id").applyInPandasWithState(
+        _assembler(cap_bytes, idle_ms), "flow_id string, chunks int, body binary",
+        "body binary, chunks int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rollup_stream(events: DataFrame) -> DataFrame:
