@@ -96,7 +96,7 @@ def stream_assemble(spark, folder):
         F.col("text").cast("binary").alias("chunk"),
         (F.col("turn") == F.col("last_turn")).alias("is_last"))
     out = _folder(spark, "bodies")
-    st.run_to_end(st.assemble_stream(chunks).writeStream.format("parquet").option("path", out)
+    st.run_to_end(st.assemble_stream(chunks, idle_ms=None).writeStream.format("parquet").option("path", out)
                   .option("checkpointLocation", _folder(spark, "offsets"))
                   .outputMode("append").trigger(**st.AVAILABLE_NOW).start())
     return spark.read.parquet(out).select("flow_id", "chunks", F.md5("body").alias("digest"))

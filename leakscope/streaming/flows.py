@@ -93,7 +93,7 @@ def demote_stream(scanned: DataFrame, owned: DataFrame) -> DataFrame:
             .drop("_email", "_ip"))
 
 
-def _assembler(cap_bytes: int, idle_ms: int):
+def _assembler(cap_bytes: int, idle_ms: int | None):
     """Appends the chunks of one flow up to the cap; emits at the end marker or when idle."""
     def emit(flow: str, chunks: int, body: bytes) -> pd.DataFrame:
         return pd.DataFrame({"flow_id": [flow], "chunks": [chunks], "body": [body]})
@@ -117,18 +117,25 @@ def _assembler(cap_bytes: int, idle_ms: int):
             yield emit(key[0], chunks, bytes(held))
         else:
             state.update((bytes(held), chunks))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
 
     return step
 
 
 def assemble_stream(chunks: DataFrame, cap_bytes: int = 512 * 1024,
-                    idle_ms: int = 600_000) -> DataFrame:
-    """flow_id, chunks, body of each finished flow.  State per flow is at most the cap."""
+                    idle_ms: int | None = 600_000) -> DataFrame:
+    """flow_id, chunks, body of each finished flow.  State per flow is at most the cap.
+
+    Flows without an end marker are emitted after ``idle_ms``.  A query that has to wait for
+    that never ends, so a bounded run (``availableNow``) passes None.
+    """
+    timeout = (GroupStateTimeout.NoTimeout if idle_ms is None
+               else GroupStateTimeout.ProcessingTimeTimeout)
     return chunks.select("flow_id", "seq", "chunk", "is_last").groupBy(
         "flow_id").applyInPandasWithState(
         _assembler(cap_bytes, idle_ms), "flow_id string, chunks int, body binary",
-        "body binary, chunks int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "body binary, chunks int", "append", timeout)
 
 
 def rollup_stream(events: DataFrame) -> DataFrame:
