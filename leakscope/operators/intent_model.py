@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.intent import INTENTS, classify_intent
@@ -40,7 +40,7 @@ def features(path: str, body: str, buckets: int = BUCKETS,
 
 def label_by_rules(records: DataFrame, path: str = "path", body: str = "body_text") -> DataFrame:
     """Adds intent, confidence and, for rows not fit for training, a skip reason."""
-    rows = records.withColumn("_i", classify_intent(path, body))
+    rows = pinned(records, _i=classify_intent(path, body))
     unfit = (F.col("_i.intent") == "unknown") | (F.col("_i.confidence") < MIN_CONFIDENCE)
     return (rows.withColumn("intent", F.col("_i.intent"))
             .withColumn("confidence", F.col("_i.confidence"))
@@ -55,6 +55,12 @@ def training_stats(labelled: DataFrame) -> DataFrame:
         F.count("*").alias("rows"))
 
 
+def with_features(rows: DataFrame, path: str, body: str, buckets: int = BUCKETS,
+                  stable_hash: str = "xxhash64") -> DataFrame:
+    """Adds ``buckets``, hashed once however often it is read."""
+    return pinned(rows, buckets=features(path, body, buckets, stable_hash))
+
+
 def bucket_counts(rows: DataFrame, buckets: str = "buckets") -> DataFrame:
     """intent, bucket, n: at most classes x buckets rows leave each map task."""
     return rows.select("intent", F.explode(buckets).alias("bucket")).groupBy(
@@ -84,7 +90,6 @@ def fit_tables(rows: DataFrame, buckets: int = BUCKETS,
         F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     counted = spine.join(bucket_counts(rows), ["intent", "bucket"], "left").withColumn(
         "smoothed", F.coalesce("n", F.lit(0)) + F.lit(alpha))
-    from pyspark.sql import Window
     mass = F.sum("smoothed").over(Window.partitionBy("class"))   # `buckets` rows each
     return priors, counted.select("class", "intent", "bucket",
                                   F.ln(F.col("smoothed") / mass).alias("log_likelihood"))
@@ -109,8 +114,6 @@ def predict(rows: DataFrame, model: IntentModel, buckets: str = "buckets") -> Da
     scores = (f"transform(sequence(0, {n - 1}), c -> aggregate({buckets}, get({prior}, c), "
               f"(s, b) -> s + get(get({weights}, c), b)))")
     names = ", ".join(f"'{i}'" for i in INTENTS)
-    bags = rows.withColumnRenamed(buckets, "_bag")
-    rows = pinned(bags, **{buckets: F.col("_bag")}).drop("_bag")
     rows = pinned(rows, _scores=F.expr(scores))
     rows = pinned(rows, _top=F.expr("array_max(_scores)"))
     return (rows.withColumn("guess", F.expr(

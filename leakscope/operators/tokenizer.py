@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakscope.functions.tokens import END_OF_WORD, words
+from leakscope.operators.classify import pinned
 from leakscope.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
@@ -29,7 +30,8 @@ TOKEN_TYPE = "array<struct<pos:int,id:int,start:int,end:int,surface:string>>"
 
 def word_frequency(texts: DataFrame, text: str = "text") -> DataFrame:
     """word, n: counted in the map tasks first, so frequent words do not pile up."""
-    return texts.select(F.explode(words(text)).alias("word")).groupBy("word").agg(
+    found = pinned(texts.select(text), words=words(text))
+    return found.select(F.explode("words").alias("word")).groupBy("word").agg(
         F.count("*").alias("n"))
 
 
@@ -42,10 +44,10 @@ def as_symbols(frequency: DataFrame) -> DataFrame:
 def pair_frequency(symbols: DataFrame) -> DataFrame:
     """a, b, n over all adjacent symbols, weighted by word frequency."""
     parts = F.split("symbols", " ")
-    pairs = symbols.select("n", parts.alias("s")).filter(F.size("s") > 1).select(
-        "n", F.explode(F.expr(
-            "transform(sequence(0, size(s) - 2), "
-            "i -> named_struct('a', s[i], 'b', s[i + 1]))")).alias("p"))
+    split = symbols.select("n", parts.alias("s")).filter(F.size("s") > 1)
+    pairs = pinned(split, pairs=F.expr(
+        "transform(sequence(0, size(s) - 2), i -> named_struct('a', s[i], 'b', s[i + 1]))"))
+    pairs = pairs.select("n", F.explode("pairs").alias("p"))
     return pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 

@@ -107,7 +107,7 @@ def flagged_events(spark, folder):
     WHERE label IN ('medium', 'high', 'critical') AND intent IN ('chat', 'unknown')""")
 def export_rows(spark, folder):
     """Flat rows of flagged events; label and intent lists apply after the limit."""
-    rows = ev.export_rows(inp.event_log(spark, folder), label="medium,high,critical",
+    rows = ev.export_rows(inp.event_log(spark, folder, True), label="medium,high,critical",
                           intent="chat, unknown", limit=200)
     return rows.drop("summary", "sample", "tier1_score", "tier2_score")
 

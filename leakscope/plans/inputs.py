@@ -275,7 +275,7 @@ EVENTS_CTE = f"""
         FROM shown)"""
 
 
-def event_log(spark: SparkSession, folder: str) -> DataFrame:
+def event_log(spark: SparkSession, folder: str, with_sample: bool = False) -> DataFrame:
     """Requests and responses scored from the documents, in the event table's schema."""
     from leakscope.operators.classify import classify_requests, classify_responses
     from leakscope.sources.eventlog import union_directions
@@ -283,9 +283,9 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     rows = bodies(spark, folder).withColumn("path", F.expr(PATH)).withColumn(
         "direction", F.expr(DIRECTION))
     request = classify_requests(rows.filter("direction = 'request'"), path="path",
-                                with_sample=True)
+                                with_sample=with_sample)
     response = classify_responses(rows.filter("direction = 'response'"), path="path",
-                                  with_sample=True)
+                                  with_sample=with_sample)
 
     def shaped(scored: DataFrame) -> DataFrame:
         return (scored.withColumn("id", F.col("doc_id"))

@@ -132,8 +132,9 @@ _FEATURES = ["all_digit", "has_digit", "all_upper", "has_upper", "has_punct", "h
     + ", round(sum(length) + 1e-12, 4) AS length FROM shaped GROUP BY doc_id")
 def token_features(spark, folder):
     """Shape features summed over the words of each document."""
-    words = _documents(spark, folder).select("doc_id", F.explode(F.expr(
-        tk.words_sql("text").replace("lower(text)", "text"))).alias("word"))
+    words = cl.pinned(_documents(spark, folder), words=F.expr(
+        tk.words_sql("text").replace("lower(text)", "text")))
+    words = words.select("doc_id", F.explode("words").alias("word"))
     shaped = words.select("doc_id", tk.shape_features("word").alias("f"))
     sums = [F.sum(F.col("f")[i]).alias(name) for i, name in enumerate(_FEATURES)]
     return shaped.groupBy("doc_id").agg(*sums).withColumn(
@@ -168,7 +169,7 @@ def token_windows(spark, folder):
     WHERE rn <= 5 GROUP BY doc_id""")
 def doc_score_topk(spark, folder):
     """Mean of the five best windows; a token's score here is a function of its length."""
-    tokens = _documents(spark, folder).select("doc_id", tk.words("text").alias("w")).select(
+    tokens = cl.pinned(_documents(spark, folder), w=tk.words("text")).select(
         "doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     tokens = tokens.withColumn("p", (F.length("word") % 20) / F.lit(20.0))
     return token_model.score_documents(tokens).withColumn(
@@ -208,7 +209,7 @@ _BAGS = f"""
 def _bagged(spark, folder):
     rows = _documents(spark, folder).select("doc_id", "text", F.expr(inp.PATH).alias("path"))
     rows = intent_model.label_by_rules(rows, "path", "text")
-    return rows.withColumn("buckets", intent_model.features("path", "text", stable_hash="md5"))
+    return intent_model.with_features(rows, "path", "text", stable_hash="md5")
 
 
 def _training(rows):
@@ -219,9 +220,9 @@ def _training(rows):
     SELECT doc_id, bucket, count(*) AS n FROM bags GROUP BY doc_id, bucket""")
 def hash_bag(spark, folder):
     """Hashed bag of path trigrams and body words."""
-    rows = _documents(spark, folder).select(
-        "doc_id", F.explode(intent_model.features(inp.PATH, "text", stable_hash="md5"))
-        .alias("bucket"))
+    rows = intent_model.with_features(_documents(spark, folder), inp.PATH, "text",
+                                      stable_hash="md5")
+    rows = rows.select("doc_id", F.explode("buckets").alias("bucket"))
     return rows.groupBy("doc_id", F.col("bucket").cast("bigint").alias("bucket")).agg(
         F.count("*").alias("n"))
 

@@ -7,8 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from leakscope.functions import scoring
-from leakscope.operators import events as ev
-from leakscope.operators import identity as idn
 from leakscope.operators import registry as rg
 from leakscope.plans import analytics, inputs as inp
 from leakscope.plans.registry import ORACLES, query
@@ -150,7 +148,7 @@ def event_table_roundtrip(spark, folder):
     """Events appended to a partitioned table and read back."""
     from leakscope.sources import eventlog
     path = _folder(spark, "events")
-    eventlog.append(inp.event_log(spark, folder), path)
+    eventlog.append(inp.event_log(spark, folder, True), path)
     return eventlog.read(spark, path).groupBy("direction", "label").agg(
         F.count("*").alias("events"), F.round(
             F.sum("effective_sensitivity") + 1e-9, 4).alias("total"))
@@ -163,7 +161,7 @@ def purge_audit(spark, folder):
     """Rows an audited wipe of events and registry takes away."""
     from leakscope.sources import eventlog
     events_path, registry_path = _folder(spark, "events"), _folder(spark, "registry")
-    eventlog.append(inp.event_log(spark, folder), events_path)
+    eventlog.append(inp.event_log(spark, folder, True), events_path)
     rg.seed_rows(spark, "2024-01-01 00:00:00").write.parquet(registry_path)
     return eventlog.purge(spark, events_path, registry_path, "events_and_admin",
                           "2024-02-01 00:00:00", confirm=True)

@@ -162,7 +162,7 @@ def test_metrics_with_empty_denominators(spark):
 
 def test_event_table(spark, tmp_path, tiny):
     from leakscope.plans import inputs
-    log = inputs.event_log(spark, tiny)
+    log = inputs.event_log(spark, tiny, True)
     path = str(tmp_path / "events")
     eventlog.append(log, path)
     assert eventlog.read(spark, path).count() == log.count()
