@@ -15,8 +15,9 @@ from leakscope.sources.tables import table
 
 _WORDS = "regexp_extract_all(lower(text), '\\S+')"
 _WORD_ROWS = f"""
-    words AS (SELECT doc_id, unnest({_WORDS}) AS word,
-        generate_subscripts({_WORDS}, 1) - 1 AS pos, len({_WORDS}) AS n FROM documents)"""
+    listed AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w, len({_WORDS}) AS n FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, n
+        FROM listed)"""
 
 
 def _documents(spark, folder):
@@ -160,10 +161,10 @@ def token_windows(spark, folder):
     counts AS (SELECT doc_id, max(n) AS n, CASE WHEN max(n) <= 200 THEN 1
         ELSE 1 + CAST(ceil((max(n) - 200) / 150.0) AS BIGINT) END AS windows
         FROM words GROUP BY doc_id),
-    starts AS (SELECT doc_id, windows, unnest(range(0, windows)) AS win FROM counts),
-    peaks AS (SELECT s.doc_id, s.win, s.windows, max((length(w.word) % 20) / 20.0) AS p
-        FROM starts s JOIN words w ON w.doc_id = s.doc_id AND w.pos >= s.win * 150
-            AND w.pos < s.win * 150 + 200 GROUP BY ALL),
+    placed AS (SELECT w.doc_id, c.windows, (length(w.word) % 20) / 20.0 AS p,
+        unnest(range(greatest(0, (w.pos - 50) // 150), least(w.pos // 150, c.windows - 1) + 1))
+        AS win FROM words w JOIN counts c USING (doc_id)),
+    peaks AS (SELECT doc_id, win, windows, max(p) AS p FROM placed GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC) AS rn FROM peaks)
     SELECT doc_id, round(avg(p) + 1e-12, 6) AS score, max(windows) AS windows FROM ranked
     WHERE rn <= 5 GROUP BY doc_id""")
