@@ -24,6 +24,12 @@ class Pattern:
     needles_lower: tuple[str, ...] = ()   # looked up in lower(text)
     digits: bool = False                  # a match holds two digits, or digit-dot-digit
     luhn: bool = False
+    flat: str | None = None               # the same matches without a group repeated by recursion
+
+    @property
+    def scanned(self) -> str:
+        """The form that the scan runs: a repeated group would use stack for each repeat."""
+        return self.flat or self.regex
 
 
 # --- fixed values: secret and personal-data patterns -------------------------
@@ -97,21 +103,23 @@ DESTRUCTIVE_KEYWORDS: tuple[str, ...] = (
 
 
 def _command(name: str, regex: str, severity: str, domain: str, *needles: str,
-             lower: tuple[str, ...] = ()) -> Pattern:
+             lower: tuple[str, ...] = (), flat: str | None = None) -> Pattern:
     return Pattern(name, regex, SEVERITY_WEIGHT[severity], f"destructive:{domain}",
-                   needles=needles, needles_lower=lower)
+                   needles=needles, needles_lower=lower, flat=flat)
 
 
 DESTRUCTIVE: tuple[Pattern, ...] = (
     _command("rm_rf_root",
              r"\brm\s+(?:-[a-zA-Z]*[rRfF][a-zA-Z]*\s+)+(?:--no-preserve-root\s+)?/(?:\s|$|\*)",
-             "error", "filesystem", "rm"),
+             "error", "filesystem", "rm",
+             flat=r"\brm\s+(?:-[a-zA-Z]*[rRfF][a-zA-Z]*\s+)++(?:--no-preserve-root\s+)?/(?:\s|$|\*)"),
     _command("rm_rf_home",
              r"\brm\s+-[a-zA-Z]*[rRfF][a-zA-Z]*\s+(?:~/?(?:\s|$)|\$HOME\b|/home/\S+)",
              "error", "filesystem", "rm"),
     _command("dd_to_disk",
              r"\bdd\s+(?:[\w=./\-]+\s+)*of=/dev/(?:sd[a-z]|nvme\d|hd[a-z]|disk\d|mmcblk\d)",
-             "error", "filesystem", "of=/dev/"),
+             "error", "filesystem", "of=/dev/",
+             flat=r"\bdd\s+(?:[\w=./\-\s]*\s)?of=/dev/(?:sd[a-z]|nvme\d|hd[a-z]|disk\d|mmcblk\d)"),
     _command("mkfs_on_device", r"\bmkfs(?:\.\w+)?\s+/dev/", "error", "filesystem", "mkfs"),
     _command("fork_bomb", r":\(\)\s*\{\s*:\s*\|\s*:?\s*&\s*\}\s*;\s*:", "error", "filesystem",
              ":()"),
@@ -142,7 +150,8 @@ DESTRUCTIVE: tuple[Pattern, ...] = (
     _command("sql_delete_no_where", r"(?im)\bDELETE\s+FROM\s+\w+\s*(?:;|$)", "warning",
              "database", lower=("delete",)),
     _command("redis_flush", r"\b(?:redis-cli\s+(?:-\w+\s+)*)?FLUSH(?:ALL|DB)\b", "error",
-             "database", "FLUSH"),
+             "database", "FLUSH",
+             flat=r"\b(?:redis-cli\s+(?:-\w+\s+)*+)?FLUSH(?:ALL|DB)\b"),
     _command("mongo_drop_database", r"\bdb\.dropDatabase\(\s*\)", "error", "database",
              "db.dropDatabase"),
     _command("mongo_drop_collection", r"\bdb\.\w+\.drop\(\s*\)", "warning", "database",
@@ -189,9 +198,7 @@ SAFE: tuple[Pattern, ...] = (
             "safe", ("kubectl",)),
 )
 
+# --- fixed values: identity kinds and score ----------------------------------
 # Hit name -> identity kind; values of these kinds can become user-owned.
 IDENTITY_KIND = {"email": "email", "ipv4": "ip", "ip_internal": "ip"}
-
-MAX_HITS = 50          # evidence kept per catalog and text
-MAX_SAMPLE_HITS = 20   # evidence masked in a sample
 HIT_GAIN = 0.6         # share of the remaining headroom one hit of weight 1 takes

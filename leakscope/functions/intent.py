@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leakscope.functions.dialect import jvm_regex
-from leakscope.functions.text import SNIFF_BYTES, looks_binary, looks_chat
+from leakscope.functions.text import looks_binary, looks_chat
 
 # --- fixed values ------------------------------------------------------------
 INTENTS = ("chat", "telemetry", "antiabuse", "handshake", "auth", "unknown")
@@ -51,7 +51,7 @@ def classify_intent(path: str, text: str, body: str | None = None,
     ``guess_prob`` the answer of a trained fallback, consulted when no rule fires.
     """
     shown = F.coalesce(F.col(text), F.lit(""))
-    sniffed = looks_binary(body or f"cast(substring({text}, 1, {SNIFF_BYTES}) AS binary)")
+    sniffed = looks_binary(body or f"cast({text} AS binary)")
     chat_shaped = looks_chat(text)
 
     def rule(intent: str, confidence: float) -> Column:

@@ -25,8 +25,6 @@ from leakscope.functions.catalog import (
     DESTRUCTIVE,
     DESTRUCTIVE_KEYWORDS,
     HIT_GAIN,
-    MAX_HITS,
-    MAX_SAMPLE_HITS,
     SAFE,
     SENSITIVE,
     Pattern,
@@ -78,7 +76,7 @@ def luhn_sql(value: str) -> str:
 
 def matches_sql(pattern: Pattern, text: str, lowered: str, digits: str) -> str:
     """All accepted matches of one pattern in order; NULL where its needles are missing."""
-    found = f"regexp_extract_all({text}, {regex_literal(jvm_regex(pattern.regex))}, 0)"
+    found = f"regexp_extract_all({text}, {regex_literal(jvm_regex(pattern.scanned))}, 0)"
     if pattern.luhn:
         found = f"filter({found}, v -> {luhn_sql('v')})"
     return f"CASE WHEN {gate_sql(pattern, text, lowered, digits)} THEN {found} END"
@@ -98,29 +96,30 @@ def snippet_sql(value: str) -> str:
 
 
 def _pieces(catalog: Sequence[Pattern], text: str, lowered: str, digits: str) -> str:
-    """Per pattern its matches; patterns without any are left out."""
+    """Per pattern its matches and the text between them; patterns without any are left out.
+
+    Both are cut out by a literal regex, and the second only where the first found something.
+    """
     rows = []
     for p in catalog:
-        regex = regex_literal(jvm_regex(p.regex))
+        regex = regex_literal(jvm_regex(p.scanned))
         gate = gate_sql(p, text, lowered, digits)
         rows.append(
+            f"transform(array(CASE WHEN {gate} THEN regexp_extract_all({text}, {regex}, 0) END), f -> "
             f"named_struct('name', '{p.name}', 'category', '{p.category}', "
-            f"'weight', {p.weight}D, 'luhn', {str(p.luhn).lower()}, 'regex', {regex}, "
-            f"'found', CASE WHEN {gate} THEN regexp_extract_all({text}, {regex}, 0) END)")
+            f"'weight', {p.weight}D, 'luhn', {str(p.luhn).lower()}, 'found', f, "
+            f"'gaps', CASE WHEN size(f) > 0 THEN split({text}, {regex}, -1) END))[0]")
     return f"filter(array({', '.join(rows)}), p -> size(p.found) > 0)"
 
 
-def _spans(pattern: str, text: str, accept: str, limit: int | None) -> str:
-    """Accepted matches of one pattern with their character spans, in one pass.
-
-    Only accepted matches enter the running state, so a limit bounds it.
-    """
-    start, end = "(s.at + length(m.`1`))", "(s.at + length(m.`1`) + length(m.found))"
+def _spans(pattern: str, accept: str, limit: int | None) -> str:
+    """Accepted matches of one pattern with their character spans, in one pass."""
+    start, end = "(s.at + length(m.gaps))", "(s.at + length(m.gaps) + length(m.found))"
     keep = accept.format(start=start, end=end, raw="m.found", pattern=pattern)
     if limit is not None:
         keep = f"size(s.spans) < {limit} AND {keep}"
     return (
-        f"aggregate(slice(arrays_zip({pattern}.found, split({text}, {pattern}.regex, -1)), "
+        f"aggregate(slice(arrays_zip({pattern}.found, {pattern}.gaps), "
         f"1, size({pattern}.found)), "
         f"named_struct('at', 0, 'spans', cast(array() AS {_SPAN_TYPE})), "
         f"(s, m) -> named_struct('at', {end}, 'spans', if({keep}, concat(s.spans, "
@@ -128,9 +127,9 @@ def _spans(pattern: str, text: str, accept: str, limit: int | None) -> str:
         f"s -> s.spans)")
 
 
-def _hits(pieces: str, text: str, accept: str, snippet, limit: int | None) -> str:
+def _hits(pieces: str, accept: str, snippet, limit: int | None) -> str:
     hits = (
-        f"flatten(transform({pieces}, p -> transform({_spans('p', text, accept, limit)}, "
+        f"flatten(transform({pieces}, p -> transform({_spans('p', accept, limit)}, "
         f"h -> named_struct('name', p.name, 'category', p.category, 'weight', p.weight, "
         f"'snippet', {snippet('h.raw')}, 'start', h.start, 'end', h.end, 'raw', h.raw))))")
     return f"slice({hits}, 1, {limit})" if limit is not None else hits
@@ -138,9 +137,10 @@ def _hits(pieces: str, text: str, accept: str, snippet, limit: int | None) -> st
 
 def sensitive_hits(text: str, lowered: str, digits: str,
                    catalog: Sequence[Pattern] = SENSITIVE,
-                   limit: int | None = MAX_HITS) -> Column:
+                   limit: int | None = None) -> Column:
+    """Every accepted match, or the first `limit` in catalog order."""
     accept = f"(NOT {{pattern}}.luhn OR {luhn_sql('{raw}')})"
-    hits = _hits(_pieces(catalog, text, lowered, digits), text, accept, mask_sql, limit)
+    hits = _hits(_pieces(catalog, text, lowered, digits), accept, mask_sql, limit)
     return F.expr(f"coalesce({hits}, cast(array() AS {HIT_TYPE}))")
 
 
@@ -153,17 +153,17 @@ def safe_spans(text: str, lowered: str, scannable: str,
                catalog: Sequence[Pattern] = SAFE) -> Column:
     """Spans of the safe idioms, where the text is to be scanned for commands at all."""
     pieces = _pieces(catalog, text, lowered, "true")
-    spans = f"flatten(transform({pieces}, p -> {_spans('p', text, 'true', None)}))"
+    spans = f"flatten(transform({pieces}, p -> {_spans('p', 'true', None)}))"
     return F.expr(f"CASE WHEN {scannable} THEN {spans} END")
 
 
 def destructive_hits(text: str, lowered: str, scannable: str, safe: str | None,
                      catalog: Sequence[Pattern] = DESTRUCTIVE,
-                     limit: int | None = MAX_HITS) -> Column:
+                     limit: int | None = None) -> Column:
     """Command hits; one that overlaps a safe span is dropped (``safe=None`` keeps all)."""
     accept = "true" if safe is None else (
         f"NOT exists({safe}, q -> {{start}} < q.end AND q.start < {{end}})")
-    hits = _hits(_pieces(catalog, text, lowered, "true"), text, accept, snippet_sql, limit)
+    hits = _hits(_pieces(catalog, text, lowered, "true"), accept, snippet_sql, limit)
     return F.expr(f"CASE WHEN {scannable} THEN {hits} "
                   f"ELSE cast(array() AS {HIT_TYPE}) END")
 
@@ -178,12 +178,15 @@ def hit_score(hits: str) -> Column:
     return saturating_score(f"transform({hits}, h -> h.weight)")
 
 
-def masked_text(text: str, hits: str, limit: int = MAX_SAMPLE_HITS) -> Column:
+def masked_text(text: str, hits: str, chars: int | None = None) -> Column:
     """Replace hits by their snippets, last one first; a hit reaching into one already
-    replaced is left out.  Snippets are as long as what they replace."""
-    return F.expr(f"""
+    replaced is left out.  Snippets are as long as what they replace.  With ``chars`` the
+    result is cut there, and every hit that reaches into it is masked."""
+    if chars is not None:
+        hits = f"filter({hits}, h -> h.start < {chars})"
+    masked = f"""
         aggregate(
-          array_sort(transform(slice({hits}, 1, {limit}), (h, i) -> named_struct(
+          array_sort(transform({hits}, (h, i) -> named_struct(
               'key', -h.start, 'nth', i, 'start', h.start, 'end', h.end,
               'snippet', h.snippet))),
           named_struct('body', {text}, 'edge', length({text}) + 1),
@@ -192,7 +195,8 @@ def masked_text(text: str, hits: str, limit: int = MAX_SAMPLE_HITS) -> Column:
                   overlay(s.body PLACING h.snippet FROM h.start + 1 FOR h.end - h.start),
                   'edge', h.start),
               s),
-          s -> s.body)""")
+          s -> s.body)"""
+    return F.expr(masked if chars is None else f"left({masked}, {chars})")
 
 
 def public_hits(hits: str) -> Column:

@@ -44,8 +44,6 @@ NON_MODEL_EXTENSIONS = (
 REPLACEMENT_SHARE = 0.05
 BINARY_MAGIC = ("1F8B", "789C", "78DA")
 BINARY_SHARE = 0.30
-SNIFF_BYTES = 512
-CHAT_PROBE_CHARS = 4096
 CHAT_KEYS = ('"messages"', '"prompt"', '"input"', '"contents"')
 
 # --- fixed values: machine identifiers removed before scoring ----------------
@@ -104,9 +102,9 @@ def decode_body(body: str, content_type: str, max_bytes: int | None = None) -> C
 
 
 def looks_binary(body: str) -> Column:
-    """Compressed by magic number, or many control bytes at the start of the body."""
-    head = f"decode(substring({body}, 1, {SNIFF_BYTES}), 'ISO-8859-1')"
-    control = f"length(regexp_replace({head}, r'[^\\x00-\\x08\\x0e-\\x1f\\x7f]', ''))"
+    """Compressed by magic number, or many control bytes in the body."""
+    head = f"decode({body}, 'ISO-8859-1')"
+    control = f"length(regexp_replace({head}, r'[^\\x00-\\x08\\x0e-\\x1f\\x7f]+', ''))"
     magic = ", ".join(f"'{m}'" for m in BINARY_MAGIC)
     return F.expr(
         f"coalesce(octet_length({body}) > 0 AND (hex(substring({body}, 1, 2)) IN ({magic}) "
@@ -115,7 +113,7 @@ def looks_binary(body: str) -> Column:
 
 def looks_chat(text: str) -> Column:
     """A chat payload by its quoted keys, or a flattened one by its role and type words."""
-    head = f"substring(coalesce({text}, ''), 1, {CHAT_PROBE_CHARS})"
+    head = f"coalesce({text}, '')"
     words = []
     for word in ("user", "text"):
         words.append(contains_any(f"lower({head})", (f"\n{word}\n", f" {word} ")))

@@ -11,7 +11,6 @@ from leakscope.functions.scan import regex_literal
 # --- fixed values ------------------------------------------------------------
 END_OF_WORD = "</w>"
 WINDOW, STRIDE = 200, 150
-MODEL_TOKENS = 4096       # what the original model reads of a text; windows here take it all
 N_FEATURES = 9
 _WORD = f"[^{SPACE}]+"
 _UPPER, _NOT_UPPER = r"\p{Lu}", r"[\p{Ll}\p{Lt}]"

@@ -16,7 +16,6 @@ from leakscope.functions import scan, scoring
 from leakscope.functions.catalog import (
     DESTRUCTIVE,
     IDENTITY_KIND,
-    MAX_HITS,
     SENSITIVE,
 )
 from leakscope.functions.intent import classify_intent, intent_factor, is_demoted
@@ -24,7 +23,7 @@ from leakscope.functions.intent import classify_intent, intent_factor, is_demote
 SCAN_COLUMNS = ("_lower", "_digits", "_scannable", "_safe")
 RESULT_COLUMNS = ("sensitivity", "tier1_score", "tier2_score", "label", "categories", "hits",
                   "summary", "intent", "intent_conf", "effective_sensitivity")
-SAMPLE_CHARS = 400
+SAMPLE_CHARS = 400      # length of the masked excerpt kept with an event
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
@@ -46,19 +45,19 @@ def with_scan_gates(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_sensitive_hits(df: DataFrame, text: str = "text", catalog=SENSITIVE,
-                        limit: int | None = MAX_HITS) -> DataFrame:
+                        limit: int | None = None) -> DataFrame:
     return pinned(df, re_hits=scan.sensitive_hits(text, "_lower", "_digits", catalog, limit))
 
 
 def with_destructive_hits(df: DataFrame, text: str = "text", catalog=DESTRUCTIVE,
-                          limit: int | None = MAX_HITS) -> DataFrame:
+                          limit: int | None = None) -> DataFrame:
     df = pinned(df, _safe=scan.safe_spans(text, "_lower", "_scannable"))
     return pinned(df, dc_hits=scan.destructive_hits(text, "_lower", "_scannable", "_safe",
                                                     catalog, limit))
 
 
 def scan_texts(df: DataFrame, text: str = "text", sensitive=SENSITIVE, destructive=DESTRUCTIVE,
-               limit: int | None = MAX_HITS) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Adds ``re_hits``, ``dc_hits``, ``re_score`` and ``dc_score``."""
     df = with_scan_gates(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))), text)
     df = with_sensitive_hits(df, text, sensitive, limit)
@@ -100,16 +99,16 @@ def classify_requests(df: DataFrame, text: str = "text", path: str | None = None
                       tier2: str | None = None, windows: str | None = None,
                       guess: str | None = None, guess_prob: str | None = None,
                       sensitive=SENSITIVE, destructive=DESTRUCTIVE, with_sample: bool = False,
-                      sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Adds the result columns for request texts.
+                      sample_chars: int | None = SAMPLE_CHARS,
+                      limit: int | None = None) -> DataFrame:
+    """Adds the result columns for request texts.  ``limit`` caps the hits of each catalog.
 
     ``tier2``/``windows`` name the token-model score and its window count, absent means the
     patterns alone decide; ``guess``/``guess_prob`` name a trained intent fallback.
     """
-    df = scan_texts(df, text, sensitive, destructive)
+    df = scan_texts(df, text, sensitive, destructive, limit)
     if with_sample:
-        df = df.withColumn("sample", F.left(scan.masked_text(text, "re_hits"),
-                                            F.lit(sample_chars)))
+        df = df.withColumn("sample", scan.masked_text(text, "re_hits", sample_chars))
     if owned is not None:
         df = with_owned_values(df.drop("re_score"), owned, tenant)
         df = pinned(df, re_score=scan.hit_score("re_hits"))
@@ -122,15 +121,14 @@ def classify_requests(df: DataFrame, text: str = "text", path: str | None = None
 
 def classify_responses(df: DataFrame, text: str = "text", path: str | None = None,
                        destructive=DESTRUCTIVE, force_critical: bool = True,
-                       with_sample: bool = False,
-                       sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+                       with_sample: bool = False, sample_chars: int | None = SAMPLE_CHARS,
+                       limit: int | None = None) -> DataFrame:
     """Adds the result columns for response texts: commands only, categorical."""
     df = with_scan_gates(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))), text)
     if with_sample:
         df = with_sensitive_hits(df, text)
-        df = df.withColumn("sample", F.left(scan.masked_text(text, "re_hits"),
-                                            F.lit(sample_chars))).drop("re_hits")
-    df = with_destructive_hits(df, text, destructive).drop(*SCAN_COLUMNS)
+        df = df.withColumn("sample", scan.masked_text(text, "re_hits", sample_chars)).drop("re_hits")
+    df = with_destructive_hits(df, text, destructive, limit).drop(*SCAN_COLUMNS)
     df = pinned(df, _hits=F.col("dc_hits"), _t1=scan.hit_score("dc_hits"), _t2=F.lit(0.0),
                 _trigger=F.lit(scoring.HARD_TRIGGER))
     return _finish(df, text, path, None, None, force_critical)

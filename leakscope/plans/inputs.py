@@ -164,7 +164,7 @@ def hits_ctes(source: str = "bodies", sensitive_where: str = "true") -> str:
     re_ranked AS (SELECT doc_id, p.o AS o, i, p.name AS name, p.category AS category,
         p.weight AS weight, p.m[i] AS raw,
         row_number() OVER (PARTITION BY doc_id ORDER BY p.o, i) AS nth FROM re_all),
-    re_hits AS (SELECT * FROM re_ranked WHERE nth <= {ct.MAX_HITS}),
+    re_hits AS (SELECT * FROM re_ranked),
     dc_all AS ({_rows(ct.DESTRUCTIVE, gate, source)}),
     safe_all AS ({_rows(ct.SAFE, gate, source)}),
     safe AS (SELECT doc_id, {_START} AS s, {_START} + length(p.m[i]) AS e FROM safe_all),
@@ -175,7 +175,7 @@ def hits_ctes(source: str = "bodies", sensitive_where: str = "true") -> str:
         WHERE safe.doc_id = d.doc_id AND d.s < safe.e AND safe.s < d.e)),
     dc_ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, i) AS nth
         FROM dc_kept),
-    dc_hits AS (SELECT * FROM dc_ranked WHERE nth <= {ct.MAX_HITS})"""
+    dc_hits AS (SELECT * FROM dc_ranked)"""
 
 
 def _sql_text(text: str) -> str:
@@ -210,7 +210,7 @@ def rounded_sql(value: str, places: int) -> str:
 
 
 def chat_shaped_sql(text: str) -> str:
-    head = f"left({text}, {tx.CHAT_PROBE_CHARS})"
+    head = f"coalesce({text}, '')"
     keys = " OR ".join(f"contains({head}, '{k}')" for k in tx.CHAT_KEYS)
     words = " AND ".join(
         f"(contains(lower({head}), chr(10) || '{w}' || chr(10)) "
@@ -224,9 +224,11 @@ def intent_sql(path: str, text: str) -> str:
         return f"regexp_matches({path}, {re2('(?i)' + '|'.join(patterns))})"
 
     chat = chat_shaped_sql(text)
+    control = f"length(regexp_replace({text}, '[^\\x00-\\x08\\x0e-\\x1f\\x7f]+', '', 'g'))"
+    binary = f"(strlen({text}) > 0 AND {control} / strlen({text})::DOUBLE > {tx.BINARY_SHARE})"
     return (f"(CASE WHEN {on(it.ANTIABUSE_PATHS)} THEN 'antiabuse|0.95' "
             f"WHEN {on(it.TELEMETRY_PATHS)} THEN 'telemetry|0.95' "
-            f"WHEN starts_with({text}, '{it.SEALED_PREFIX}') THEN 'antiabuse|0.7' "
+            f"WHEN starts_with({text}, '{it.SEALED_PREFIX}') OR {binary} THEN 'antiabuse|0.7' "
             f"WHEN {on(it.AUTH_PATHS)} THEN 'auth|0.9' "
             f"WHEN {on(it.HANDSHAKE_PATHS)} AND NOT {chat} THEN 'handshake|0.9' "
             f"WHEN {on(it.CHAT_PATHS)} THEN 'chat|0.95' "

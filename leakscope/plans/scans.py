@@ -277,7 +277,7 @@ def scrub_metadata(spark, folder):
 
 
 _CHAT = inp.pick("conv_id + turn", [
-    "'next'", "'5b862485-25c4-49ac-8634-' || lpad(CAST(conv_id AS VARCHAR), 12, '0')",
+    "'next'", "'0f3c2a91-7d54-4be8-9a06-' || lpad(CAST(conv_id AS VARCHAR), 12, '0')",
     "'2024-01-01T10:00:00Z'", "'Asia/Calcutta'", "'abcdefghijklmnopqrstuv' || conv_id",
     "'..'", "'trace_id=' || repeat('0a1b', 9) || ' sent'", "'user'"])
 

@@ -161,7 +161,7 @@ def test_spans_are_the_matches(spark):
 def test_limit_counts_accepted_hits_only(spark):
     bad, good = "4111 1111 1111 1112, ", "4111 1111 1111 1111, "
     df = spark.createDataFrame([(bad * 60 + good * 60,)], "text string")
-    assert cl.scan_texts(df).select(F.size("re_hits")).first()[0] == 50
+    assert cl.scan_texts(df, limit=50).select(F.size("re_hits")).first()[0] == 50
     assert cl.scan_texts(df, limit=None).select(F.size("re_hits")).first()[0] == 60
 
 
@@ -183,3 +183,43 @@ def test_filters_do_not_repeat_the_scan(spark):
     rows = cl.classify_requests(df).filter("label <> 'clean'").select("label")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rm_rf_root") == 1
+
+
+def test_long_texts_do_not_overflow_the_stack(spark):
+    words = " ".join(f"w{i}" for i in range(20_000))
+    flags = " ".join("-rf" for _ in range(20_000))
+    texts = {
+        "dd_to_disk": f"dd {words} of=/dev/sda", "rm_rf_root": f"rm {flags} /", "redis_flush": f"git redis-cli {flags} FLUSHALL",
+        "terraform_auto_approve": f"terraform apply {words} -auto-approve"}
+    got = cl.scan_texts(spark.createDataFrame(list(texts.items()), "want string, text string"))
+    for r in got.select("want", F.expr("transform(dc_hits, h -> h.name)").alias("names")).collect():
+        assert r["want"] in r["names"]
+
+
+def test_every_pattern_survives_long_runs(spark):
+    rows = [(f"{text} " * 500,) for text in POSITIVE.values()] + [(unit * 5000,) for unit in ("a", "1 ", "1.", "- ", "a.b ")]
+    got = cl.scan_texts(spark.createDataFrame(rows, "text string").repartition(4))
+    assert got.select(F.size("re_hits") + F.size("dc_hits")).count() == len(rows)
+
+
+def test_flat_forms_match_the_same(spark):
+    import itertools
+    import random
+    rnd = random.Random(4)
+    bits = ["dd", "rm", "-rf", "-f", "--no-preserve-root", "/", "of=/dev/sda", "if=x", "bs=1M", "redis-cli", "-h", "FLUSHALL", "*", "x", "/etc"]
+    rows = [" ".join(rnd.choice(bits) for _ in range(rnd.randint(2, 9))) for _ in range(1500)]
+    rows += [" ".join(p) for p in itertools.permutations(["dd", "of=/dev/sda", "of=/dev/hda", "x"])]
+    df = spark.createDataFrame([(r,) for r in rows], "text string")
+    for p in ct.DESTRUCTIVE:
+        if p.flat:
+            from leakscope.functions.dialect import jvm_regex
+            a, b = (scan.regex_literal(jvm_regex(x)) for x in (p.regex, p.flat))
+            assert df.filter(F.expr(f"regexp_extract_all(text, {a}, 0) <> regexp_extract_all(text, {b}, 0)")).count() == 0
+
+
+def test_all_hits_count_and_the_sample_is_masked(spark):
+    text = " ".join(f"user{i}@mail.example.com" for i in range(80))
+    df = spark.createDataFrame([(text,)], "text string")
+    r = cl.classify_requests(df, with_sample=True).first()
+    assert len(r["hits"]) == 80 and "user" not in r["sample"] and len(r["sample"]) == 400
+    assert len(cl.classify_requests(df, limit=50).first()["hits"]) == 50
