@@ -1,12 +1,15 @@
-"""Synthetic labelled corpus: every choice is a hash of the row id and a salt.
+"""Labelled corpus: given texts with sensitive values written into some of them.
 
-A row depends on its id alone, so the corpus is the same however it is partitioned, and a
-lost task rebuilds the same rows.
+Every choice is a hash of the row id and a salt. A row depends on its id and its text alone,
+so the corpus is the same however it is partitioned, and a lost task rebuilds the same rows.
+
+A sensitive clause is a frame around the name of a thing and a fresh value of it. Frames and
+things are drawn apart from each other, so each value kind is seen in every frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions.text import collapse_whitespace
@@ -14,37 +17,38 @@ from leakscope.functions.text import collapse_whitespace
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 DIGITS = "0123456789"
-
-# --- fixed values: shape of a sample -----------------------------------------
-MIN_WORDS, MAX_WORDS = 120, 240
-SENTENCES = ((1, 5), (2, 3), (3, 1))                      # count, weight
-KINDS = (("pii", 3), ("secret", 4), ("financial", 2), ("medical", 2), ("credentials", 3),
-         ("internal", 2))
-CODE_SHARE_PERCENT = 10
-
-FIRST = ("Ada", "Bruno", "Chen", "Dalia", "Emeka", "Freya", "Goran", "Hana", "Ivo", "Jaya")
-LAST = ("Abbott", "Bianchi", "Costa", "Dimitrov", "Eriksen", "Fofana", "Gupta", "Haddad")
-MAIL_HOSTS = ("mailbox.example", "post.example", "corporate.example", "letters.example")
-FIRMS = ("Juniper Mills", "Harbor Freight Lines", "Quill Bank", "Tern Biologics")
-TOPICS = (
-    "planning a garden for a shady balcony", "the water cycle in mountain regions",
-    "choosing a bicycle for daily commuting", "how a compiler turns text into programs",
-    "the rules of contract bridge", "writing a polite reminder to a colleague",
-    "why bread dough needs to rest", "naming conventions in a large code base",
-    "the history of the printing press", "reading a topographic map",
-)
-OPENERS = ("Could you outline", "I would like to understand", "Give me a short summary of",
-           "Draft a friendly note about", "What should I know about", "Compare two views on")
-FILLER = (
-    "we keep the explanation short and concrete so that somebody new to the subject can "
-    "follow every step without looking up further reading while the main trade offs are "
-    "named in plain words and each example builds on the one before it"
-).split()
-CODE = (
-    "for item in basket: total = total + item.price * item.count",
-    "select name, count(*) from visits group by name order by name",
-    "if ready and not done: queue.append(task); done = True",
+WORD = UPPER + LOWER + DIGITS
+
+#: Half of the rows are labelled; a labelled row holds one to MOST clauses.
+MOST = 3
+#: Before the name, between name and value, after the value.
+FRAMES = (
+    ("", ": ", "."),
+    ("for the record, the ", " is ", " until further notice."),
+    ("(", " = ", ")"),
+    ("somebody pasted the ", " '", "' into the ticket."),
+    ("does ", " ", " still work?"),
 )
+#: Each kind of value and what a clause calls it.
+THINGS = {
+    "email": "mail address",
+    "phone": "call back number",
+    "ssn": "social security number",
+    "credit_card": "card",
+    "iban": "bank account",
+    "aws_key": "cloud key id",
+    "aws_secret": "aws secret access key",
+    "api_key": "api key",
+    "github_token": "repository token",
+    "jwt": "session cookie",
+    "password": "root password",
+    "db_url": "database",
+    "internal_host": "build machine",
+    "internal_ip": "gateway",
+    "private_key": "signing key",
+}
+NAMES = ("orla", "pavel", "quentin", "rania", "sten", "tamsin", "ugo")
+SITES = ("lantern.example", "orchard.example", "pebble.example")
 
 
 def draw(salt: str, choices: int, ident: str = "id") -> str:
@@ -52,11 +56,7 @@ def draw(salt: str, choices: int, ident: str = "id") -> str:
     return f"cast(pmod(xxhash64({ident}, '{salt}'), {choices}) AS int)"
 
 
-def number(salt: str, low: int, high: int, ident: str = "id") -> str:
-    return f"cast({low} + {draw(salt, high - low + 1, ident)} AS string)"
-
-
-def one_of(salt: str, values: tuple[str, ...], ident: str = "id") -> str:
+def one_of(salt: str, values, ident: str = "id") -> str:
     listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
     return f"get(array({listed}), {draw(salt, len(values), ident)})"
 
@@ -67,153 +67,81 @@ def run_of(salt: str, alphabet: str, size: int, ident: str = "id") -> str:
             f"cast(pmod(xxhash64({ident}, '{salt}', k), {len(alphabet)}) AS int) + 1, 1)), '')")
 
 
+def _card(salt: str, ident: str) -> str:
+    """Fifteen drawn digits after a 4 and the digit that makes their weighted sum a ten."""
+    body = f"concat('4', {run_of(salt, DIGITS, 14, ident)})"
+    twice = "(int(substr(c, k, 1)) * 2)"
+    total = (f"aggregate(sequence(1, 15), 0, (t, k) -> t + if(k % 2 = 1, "
+             f"cast({twice} div 10 + {twice} % 10 AS int), int(substr(c, k, 1))))")
+    return f"transform(array({body}), c -> concat(c, cast(pmod(-{total}, 10) AS string)))[0]"
+
+
 def value_makers(salt: str, ident: str = "id") -> dict[str, str]:
-    """The twelve kinds of sensitive value as SQL expressions over the id."""
-    def s(part: str) -> str:
-        return f"{salt}/{part}"
-
-    word = UPPER + LOWER + DIGITS
-    body = run_of(s("card"), DIGITS, 15, ident)
-    # doubled digits are those at odd distance from the check digit
-    weighted = ("aggregate(sequence(1, 15), 0, (t, k) -> t + if(k % 2 = 1, "
-                "int(substr(c, k, 1)) * 2 - if(int(substr(c, k, 1)) > 4, 9, 0), "
-                "int(substr(c, k, 1))))")
-    card = (f"element_at(transform(array({body}), c -> concat(c, "
-            f"cast(pmod(10 - {weighted} % 10, 10) AS string))), 1)")
-    password = run_of(s("password"), word + "!@#$%", 14, ident)
-    jwt_part = [run_of(s(f"jwt{i}"), word + "_-", n, ident) for i, n in enumerate((20, 40, 40))]
+    """The kinds of sensitive value as SQL expressions over the id; lengths and first
+    characters are those the patterns ask for."""
+    def run(part: str, alphabet: str, size: int) -> str:
+        return run_of(f"{salt}/{part}", alphabet, size, ident)
+
+    def pick(part: str, values) -> str:
+        return one_of(f"{salt}/{part}", values, ident)
+
     return {
-        "email": f"concat(lower({one_of(s('first'), FIRST, ident)}), '.', "
-                 f"lower({one_of(s('last'), LAST, ident)}), {number(s('n'), 1, 99, ident)}, '@', "
-                 f"{one_of(s('host'), MAIL_HOSTS, ident)})",
-        "phone": f"concat('+1-', {number(s('area'), 200, 999, ident)}, '-', "
-                 f"{number(s('mid'), 200, 999, ident)}, '-', "
-                 f"{number(s('line'), 1000, 9999, ident)})",
-        "ssn": f"concat({number(s('a'), 100, 799, ident)}, '-', "
-               f"{number(s('b'), 10, 99, ident)}, '-', {number(s('c'), 1000, 9999, ident)})",
-        "credit_card": card,
-        "aws_key": f"concat('AK', 'IA', {run_of(s('aws'), UPPER + DIGITS, 16, ident)})",
-        "aws_secret": run_of(s("secret"), word + "/+", 40, ident),
-        "api_key": f"concat('sk', '-', {run_of(s('api'), word, 40, ident)})",
-        "github_token": f"concat('gh', 'p_', {run_of(s('gh'), word, 36, ident)})",
-        "jwt": f"concat('ey', 'J', {jwt_part[0]}, '.', {jwt_part[1]}, '.', {jwt_part[2]})",
-        "password": password,
-        "db_url": f"concat('postgresql', '://admin:', {password}, '@db-prod-', "
-                  f"{number(s('db'), 1, 9, ident)}, '.internal.quill.example:5432/ledger')",
-        "internal_host": f"concat({one_of(s('svc'), ('vault', 'cache', 'build'), ident)}, '-', "
-                         f"{number(s('node'), 1, 9, ident)}, '.', "
-                         f"{one_of(s('env'), ('prod', 'staging', 'internal'), ident)}, "
-                         f"'.quill.example')",
+        "email": f"concat({pick('name', NAMES)}, '_', {run('mail', LOWER, 5)}, '@', {pick('site', SITES)})",
+        "phone": f"concat('(4', {run('area', DIGITS, 2)}, ') ', {run('mid', DIGITS[2:], 3)}, '-', {run('line', DIGITS, 4)})",
+        "ssn": f"concat('4', {run('a', DIGITS, 2)}, '-', {run('b', DIGITS, 2)}, '-', {run('c', DIGITS, 4)})",
+        "credit_card": _card(f"{salt}/card", ident),
+        "iban": f"concat({pick('land', ('DE', 'FR', 'ES', 'NL'))}, {run('iban', DIGITS, 18)})",
+        "aws_key": f"concat('AK', 'IA', {run('aws', UPPER + DIGITS, 16)})",
+        "aws_secret": run("secret", WORD + "/+", 40),
+        "api_key": f"concat('sk', '-', {run('api', WORD, 32)})",
+        "github_token": f"concat('gh', 's_', {run('gh', WORD, 34)})",
+        "jwt": f"concat('ey', 'J', {run('head', WORD, 18)}, '.', {run('claims', WORD, 30)}, '.', {run('sign', WORD, 24)})",
+        "password": run("password", WORD + "-_.:", 16),
+        "db_url": f"concat({pick('engine', ('mysql', 'redis', 'postgres'))}, '://', {pick('user', NAMES)}, ':', "
+                  f"{run('dbpass', WORD, 9)}, '@', {pick('dbsite', SITES)}, '/main')",
+        "internal_host": f"concat('n', {run('node', DIGITS, 2)}, '.', {pick('zone', ('corp', 'dev', 'staging'))}, '.', {pick('home', SITES)})",
+        "internal_ip": f"concat('192.168.', {draw(salt + '/x', 256, ident)}, '.', {draw(salt + '/y', 256, ident)})",
+        "private_key": "concat('-----BEGIN OPENSSH ', 'PRIVATE KEY-----')",
     }
 
 
-def _weighted(salt: str, items: tuple[tuple, ...], ident: str = "id") -> str:
-    pool = tuple(value for value, weight in items for _ in range(weight))
-    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in pool)
-    return f"get(array({listed}), {draw(salt, len(pool), ident)})"
-
-
-def sensitive_sentence(slot: int, ident: str = "id") -> str:
-    """A sentence of a weighted kind, one of its wordings, with fresh values."""
-    salt = f"s{slot}"
-    v = value_makers(salt, ident)
-    person = f"{one_of(salt + '/p', FIRST, ident)}, ' ', {one_of(salt + '/q', LAST, ident)}"
-    wordings = {
-        "pii": (
-            f"concat('The client ', {person}, ' can be reached at ', {v['email']}, ' or ', "
-            f"{v['phone']}, ' and gave SSN ', {v['ssn']}, '.')",
-            f"concat('Charge the order of ', {v['email']}, ' to card ', {v['credit_card']}, "
-            f"' valid until ', {number(salt + '/yy', 26, 32, ident)}, '.')",
-            f"concat('Visitor ', {person}, ' left the number ', {v['phone']}, ' at the desk.')"),
-        "secret": (
-            f"concat('The access key ', {v['aws_key']}, ' with secret ', {v['aws_secret']}, "
-            f"' opens the archive.')",
-            f"concat('My API_KEY=', {v['api_key']}, ' stopped working today.')",
-            f"concat('The build uses token ', {v['github_token']}, ' to publish.')",
-            f"concat('Send the header Authorization: Bearer ', {v['jwt']}, ' with each call.')",
-            "concat('-----BEGIN RSA ', 'PRIVATE KEY-----\\n(content removed)\\n-----END RSA ', "
-            "'PRIVATE KEY-----')"),
-        "financial": (
-            f"concat('Unpublished revenue of ', {one_of(salt + '/f', FIRMS, ident)}, ' is $', "
-            f"{number(salt + '/m', 20, 500, ident)}, 'M this quarter.')",
-            f"concat('Transfer $', {number(salt + '/k', 50, 950, ident)}, ',000 to IBAN GB', "
-            f"{number(salt + '/i', 10, 99, ident)}, 'QUIL', "
-            f"{number(salt + '/j', 10000000, 99999999, ident)}, '.')"),
-        "medical": (
-            f"concat('The patient has diabetes and takes metformin ', "
-            f"{number(salt + '/mg', 500, 1000, ident)}, 'mg twice a day.')",
-            f"concat('The scan shows a ', {number(salt + '/mm', 2, 9, ident)}, "
-            f"'mm lesion, follow up in ', {number(salt + '/w', 2, 12, ident)}, ' weeks.')"),
-        "credentials": (
-            f"concat('Admin login is user=root password=', {v['password']}, ' for now.')",
-            f"concat('Connect with ', {v['db_url']}, ' please.')",
-            f"concat('The certificate password of ', {person}, ' is ', {v['password']}, '.')"),
-        "internal": (
-            f"concat('Log in to ', {v['internal_host']}, ' and read the journal.')",
-            f"concat('The page http://', {v['internal_host']}, '/status is down.')",
-            f"concat('The worker listens on 10.0.', {number(salt + '/x', 1, 254, ident)}, '.', "
-            f"{number(salt + '/y', 1, 254, ident)}, ' only.')"),
-    }
-    cases = " ".join(
-        f"WHEN '{kind}' THEN CASE {draw(salt + '/wording', len(texts), ident)} "
-        + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
-        for kind, texts in wordings.items())
-    return f"CASE {_weighted(salt + '/kind', KINDS, ident)} {cases} END"
-
-
-def _benign(k: str, ident: str = "id") -> str:
-    """The k-th benign sentence: code now and then, else an opener, a topic and filler."""
-    def pick(salt: str, values) -> str:
-        listed = ", ".join(f"'{v}'" for v in values)
-        return f"get(array({listed}), cast(pmod(xxhash64({ident}, '{salt}', {k}), {len(values)}) AS int))"
-
-    size = f"cast(20 + pmod(xxhash64({ident}, 'len', {k}), 41) AS int)"
-    fill = ", ".join(f"'{w}'" for w in FILLER)
-    filler = (f"array_join(transform(sequence(1, {size}), w -> get(array({fill}), "
-              f"cast(pmod(xxhash64({ident}, 'fill', {k}, w), {len(FILLER)}) AS int))), ' ')")
-    return (f"if(pmod(xxhash64({ident}, 'code', {k}), 100) < {CODE_SHARE_PERCENT}, "
-            f"{pick('snippet', CODE)}, concat({pick('opener', OPENERS)}, ' ', "
-            f"{pick('topic', TOPICS)}, '. ', {filler}))")
-
-
-def samples(ids: DataFrame, ident: str = "id") -> DataFrame:
-    """Adds text, label and spans (character ranges of the sensitive sentences)."""
-    spaces = r"'\\s+'"
-    df = (ids.withColumn("label", F.expr(draw("label", 2, ident)))
-          .withColumn("_target", F.expr(f"{MIN_WORDS} + {draw('words', MAX_WORDS - MIN_WORDS + 1, ident)}"))
-          .withColumn("_count", F.expr(f"if(label = 1, {_weighted('count', SENTENCES, ident)}, 0)")))
-    for slot in (1, 2, 3):
-        df = df.withColumn(f"_s{slot}", F.when(F.col("_count") >= slot,
-                                               F.expr(sensitive_sentence(slot, ident))))
-        df = df.withColumn(f"_s{slot}", collapse_whitespace(f"_s{slot}"))
-    hot = ("transform(filter(array(_s1, _s2, _s3), s -> s IS NOT NULL), "
-           "s -> named_struct('text', s, 'hot', true))")
-    df = df.withColumn("_hot", F.expr(hot)).withColumn("_hot_words", F.expr(
-        f"aggregate(_hot, 0, (n, s) -> n + size(split(s.text, {spaces})))"))
-    # benign sentences are added until the target is reached; most have over 20 words
-    most = MAX_WORDS // 6
-    benign = (f"aggregate(sequence(1, {most}), named_struct('n', _hot_words, 'list', "
-              f"cast(array() AS array<string>)), (a, k) -> if(a.n >= _target, a, "
-              f"element_at(transform(array({_benign('k', ident)}), t -> named_struct("
-              f"'n', a.n + size(split(t, {spaces})), 'list', concat(a.list, array(t)))), 1)), "
-              f"a -> transform(a.list, t -> named_struct('text', t, 'hot', false)))")
-    shuffled = (f"transform(array_sort(transform(concat(_hot, _cold), (p, i) -> named_struct("
-                f"'key', xxhash64({ident}, 'order', i), 'nth', i, 'text', p.text, "
-                f"'hot', p.hot))), p -> named_struct('text', p.text, 'hot', p.hot))")
-    df = df.withColumn("_cold", F.expr(benign)).withColumn("_parts", F.expr(shuffled))
-    spans = ("aggregate(_parts, named_struct('at', 0, 'spans', cast(array() AS "
-             "array<array<int>>)), (a, p) -> named_struct('at', a.at + length(p.text) + 1, "
-             "'spans', if(p.hot, concat(a.spans, array(array(a.at, a.at + length(p.text)))), "
-             "a.spans)), a -> a.spans)")
-    df = (df.withColumn("_full", F.expr("array_join(transform(_parts, p -> p.text), ' ')"))
-          .withColumn("_spans", F.expr(spans)))
-    # cut at the target word, but never before the end of the last sensitive sentence
-    cut = ("greatest(length(array_join(slice(split(_full, ' '), 1, _target), ' ')), "
-           "coalesce(array_max(transform(_spans, s -> s[1])), 0))")
-    return (df.withColumn("_cut", F.expr(cut))
-            .withColumn("text", F.expr("left(_full, _cut)")).withColumn("spans", F.col("_spans"))
-            .select(*ids.columns, "text", "label", "spans"))
+def sensitive_clause(slot: int, ident: str = "id") -> str:
+    """A frame around a thing and its value, all drawn."""
+    salt = f"clause{slot}"
+    values = value_makers(salt, ident)
+    kinds = tuple(THINGS)
+    made = " ".join(f"WHEN {i} THEN named_struct('name', '{THINGS[k]}', 'value', {values[k]})" for i, k in enumerate(kinds))
+    frames = ", ".join("named_struct('a', '{}', 'b', '{}', 'c', '{}')".format(*(x.replace("'", "\\'") for x in f)) for f in FRAMES)
+    thing = f"CASE {draw(salt + '/kind', len(kinds), ident)} {made} END"
+    frame = f"get(array({frames}), {draw(salt + '/frame', len(FRAMES), ident)})"
+    return f"transform(array(named_struct('t', {thing}, 'f', {frame})), x -> concat(x.f.a, x.t.name, x.f.b, x.t.value, x.f.c))[0]"
+
+
+def samples(rows: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
+    """`rows` with text, label and spans (character ranges of the sensitive clauses).
+
+    The text is the given one with its white space collapsed, whole; clauses stand between its
+    sentences, at drawn places. A null text is an empty one.
+    """
+    df = (rows.withColumn("label", F.expr(draw("label", 2, ident)))
+          .withColumn("_count", F.expr(f"if(label = 1, 1 + {draw('count', MOST, ident)}, 0)"))
+          .withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_text", collapse_whitespace("_text"))
+          .withColumn("_sentences", F.expr(r"filter(split(_text, r'(?<=[.!?]) '), s -> s <> '')")))
+    clauses = ", ".join(sensitive_clause(slot, ident) for slot in range(MOST))
+    df = df.withColumn("_clauses", F.expr(f"slice(array({clauses}), 1, _count)"))
+    # a sentence sorts at an odd key, a clause at the even one before a drawn sentence
+    df = df.withColumn("_parts", F.expr(
+        f"array_sort(concat(transform(_sentences, (s, i) -> named_struct('key', 2 * i + 1, 'nth', 0, 'text', s, 'hot', false)), "
+        f"transform(_clauses, (c, i) -> named_struct('key', 2 * cast(pmod(xxhash64({ident}, 'place', i), size(_sentences) + 1) AS int), "
+        f"'nth', i, 'text', c, 'hot', true))))"))
+    # where a clause begins: the parts before it and a space for each
+    df = df.withColumn("_hot", F.expr("filter(transform(_parts, (p, i) -> named_struct('i', i, 'hot', p.hot, 'size', length(p.text))), h -> h.hot)"))
+    before = "aggregate(slice(_parts, 1, h.i), 0, (n, p) -> n + length(p.text) + 1)"
+    df = df.withColumn("spans", F.expr(f"transform(transform(_hot, h -> named_struct('at', {before}, 'size', h.size)), s -> array(s.at, s.at + s.size))"))
+    kept = [c for c in rows.columns if c not in (text, "label", "spans")]
+    return df.select(*kept, F.expr("array_join(transform(_parts, p -> p.text), ' ')").alias("text"), "label", "spans")
 
 
 def generate(spark: SparkSession, n: int) -> DataFrame:
-    return samples(spark.range(n))
+    """`n` samples of clauses alone, by number; `samples` writes them into given texts."""
+    return samples(spark.range(n).withColumn("text", F.lit("")))

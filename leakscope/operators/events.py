@@ -11,14 +11,29 @@ from leakscope.operators.classify import with_destructive_hits, with_scan_gates
 from leakscope.functions.scan import hit_score, public_hits
 
 HIT = "array<struct<name:string,category:string,weight:double,snippet:string>>"
-SCHEMA = ("id bigint, ts timestamp, host string, provider string, method string, path string, "
-          "sensitivity double, tier1_score double, tier2_score double, label string, "
-          f"categories array<string>, hits {HIT}, summary string, bytes_out bigint, "
-          "sample string, intent string, intent_conf double, effective_sensitivity double, "
-          "direction string")
-COLUMNS = tuple(part.split(" ")[0] for part in (
-    "id ts host provider method path sensitivity tier1_score tier2_score label categories "
-    "hits summary bytes_out sample intent intent_conf effective_sensitivity direction").split())
+FIELDS = {
+    "id": "bigint",
+    "ts": "timestamp",
+    "host": "string",
+    "provider": "string",
+    "method": "string",
+    "path": "string",
+    "sensitivity": "double",
+    "tier1_score": "double",
+    "tier2_score": "double",
+    "label": "string",
+    "categories": "array<string>",
+    "hits": HIT,
+    "summary": "string",
+    "bytes_out": "bigint",
+    "sample": "string",
+    "intent": "string",
+    "intent_conf": "double",
+    "effective_sensitivity": "double",
+    "direction": "string",
+}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
+COLUMNS = tuple(FIELDS)
 
 # --- fixed values: what older tables lack ------------------------------------
 DEFAULTS = {"intent": "unknown", "intent_conf": 0.0, "effective_sensitivity": 0.0,
@@ -29,6 +44,7 @@ EXPORT_COLUMNS = (
     "categories", "hit_names", "hit_categories", "summary", "bytes_out", "sample",
 )
 EXPORT_FLOOR = 0.15
+# --- fixed values: what each purge scope runs --------------------------------
 PURGE_SCOPES = {
     "events": ("DELETE FROM events", "DELETE FROM sqlite_sequence WHERE name='events'"),
     "events_and_admin": ("DELETE FROM events", "DELETE FROM domains",
@@ -117,9 +133,12 @@ def flagged(events: DataFrame) -> DataFrame:
 
 def export_rows(events: DataFrame, min_sensitivity: float = EXPORT_FLOOR,
                 provider: str | None = None, label: str | None = None,
-                intent: str | None = None, limit: int = 10000) -> DataFrame:
-    """Flat rows for a CSV.  Label and intent lists apply to the page, after its limit."""
-    rows = page(events, limit, provider=provider, min_sensitivity=min_sensitivity)
+                intent: str | None = None, limit: int | None = None) -> DataFrame:
+    """Flat rows for a CSV, all of them or one page of the latest.  Label and intent lists
+    apply after the limit of a page."""
+    rows = filter_events(events, provider=provider, min_sensitivity=min_sensitivity)
+    if limit is not None:
+        rows = page(rows, limit)
     for column, wanted in (("label", label), ("intent", intent)):
         names = [x.strip() for x in (wanted or "").split(",") if x.strip()]
         if names:
@@ -153,7 +172,8 @@ def audit_event(spark: SparkSession, scope: str, ts: str) -> DataFrame:
     row = with_destructive_hits(with_scan_gates(row), "text", DESTRUCTIVE)
     row = row.withColumn("score", hit_score("dc_hits"))
     score = F.col("score")
-    label = F.when(score >= 0.85, "critical").when(score >= 0.65, "high").otherwise("medium")
+    shown = scoring.label_for(score)   # a purge is never shown below medium
+    label = F.when(shown.isin("critical", "high"), shown).otherwise("medium")
     return row.select(
         F.lit(ts).cast("timestamp").alias("ts"), F.lit("internal").alias("host"),
         F.lit("Administration").alias("provider"), F.lit("POST").alias("method"),

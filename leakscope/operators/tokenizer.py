@@ -129,23 +129,19 @@ def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
 
 
 def _spell(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of one word, merging the earliest learned pair first."""
-    symbols, last = [*word, END_OF_WORD], -1
-    while len(symbols) > 1:
-        known = [(rank[p], p) for p in zip(symbols, symbols[1:]) if rank.get(p, -1) > last]
-        if not known:
-            break
-        last, (a, b) = min(known)
-        out, i = [], 0
-        while i < len(symbols):
-            if symbols[i] == a and symbols[i + 1:i + 2] == [b]:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return symbols
+    """Symbols of one word, merging the earliest learned pair first.
+
+    The word is one string of symbols between spaces, as in training, so a merge is a replace.
+    """
+    line, done = " ".join([*word, END_OF_WORD]), -1
+    while True:
+        parts = line.split()
+        later = {rank[p]: p for p in zip(parts, parts[1:]) if rank.get(p, -1) > done}
+        if not later:
+            return parts
+        done = min(later)
+        a, b = later[done]
+        line = re.sub(rf"(?<!\S){re.escape(a)} {re.escape(b)}(?!\S)", lambda m: m[0].replace(" ", ""), line)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([

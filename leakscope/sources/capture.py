@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HIT = "array<struct<name:string,category:string,weight:double,snippet:string>>"
-SCHEMA = (
-    "ts timestamp, event_id bigint, tenant_id string, flow_id string, host string, "
-    "provider string, method string, path string, headers map<string,string>, "
-    "body_bytes bigint, body_truncated boolean, body_text string, body_base64 string, "
-    "classifier struct<intent:string,intent_conf:double,label:string,sensitivity:double,"
-    "effective_sensitivity:double,tier1_score:double,tier2_score:double,"
-    f"categories:array<string>,hits:{_HIT}>")
+FIELDS = {
+    "ts": "timestamp",
+    "event_id": "bigint",
+    "tenant_id": "string",
+    "flow_id": "string",
+    "host": "string",
+    "provider": "string",
+    "method": "string",
+    "path": "string",
+    "headers": "map<string,string>",
+    "body_bytes": "bigint",
+    "body_truncated": "boolean",
+    "body_text": "string",
+    "body_base64": "string",
+    "classifier": "struct<intent:string,intent_conf:double,label:string,sensitivity:double,"
+                  "effective_sensitivity:double,tier1_score:double,tier2_score:double,"
+                  f"categories:array<string>,hits:{_HIT}>",
+}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
 _CORRUPT = "_corrupt"
 
 # --- fixed values ------------------------------------------------------------
@@ -20,14 +32,16 @@ KEPT_HEADERS = (
     "content-type", "accept", "user-agent", "x-stainless-os", "x-stainless-runtime",
     "x-stainless-package-version", "anthropic-version", "openai-version", "x-request-id",
 )
-BODY_CAP_BYTES = 256 * 1024
 
 
 def read_captures(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Records with ``_corrupt`` set on lines that are not JSON; blank lines are skipped."""
     reader = spark.readStream if stream else spark.read
-    return (reader.schema(f"{SCHEMA}, {_CORRUPT} string").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    # parsed by a function, as a file reader refuses queries on the corrupt lines alone
+    record = F.from_json("value", f"{SCHEMA}, {_CORRUPT} string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return (reader.text(path).filter(F.trim("value") != "")
+            .select(record.alias("record")).select("record.*"))
 
 
 def good_records(records: DataFrame) -> DataFrame:
@@ -49,22 +63,22 @@ def kept_headers(headers: str) -> Column:
                   f"e -> e.key IN ({names})))")
 
 
-def build_records(flows: DataFrame, body_cap: int = BODY_CAP_BYTES) -> DataFrame:
-    """Capture records of classified flows: ``body`` binary in, text or base64 out."""
-    piece = F.substring(F.col("body"), 1, body_cap)
+def build_records(flows: DataFrame, body_cap: int | None = None) -> DataFrame:
+    """Capture records of classified flows: ``body`` binary in, text or base64 out, whole
+    unless a cap is given."""
+    piece = F.col("body") if body_cap is None else F.substring(F.col("body"), 1, body_cap)
+    cut = F.lit(False) if body_cap is None else F.octet_length("body") > body_cap
     return (flows
             .withColumn("headers", kept_headers("headers"))
             .withColumn("body_bytes", F.octet_length("body").cast("bigint"))
-            .withColumn("body_truncated", F.octet_length("body") > body_cap)
+            .withColumn("body_truncated", cut)
             .withColumn("_text", piece.cast("string"))
             .withColumn("body_text", F.when(F.is_valid_utf8("_text"), F.col("_text")))
             .withColumn("body_base64", F.when(F.col("body_text").isNull(), F.base64(piece)))
             .withColumn("classifier", F.struct(
                 "intent", "intent_conf", "label", "sensitivity", "effective_sensitivity",
                 "tier1_score", "tier2_score", "categories", "hits"))
-            .select(*[f.split(" ")[0] for f in (
-                "ts event_id tenant_id flow_id host provider method path headers body_bytes "
-                "body_truncated body_text body_base64 classifier").split()]))
+            .select(*FIELDS))
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -33,7 +33,7 @@ def append(events: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The table with every column; files written before a column existed get its default."""
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    rows = spark.read.schema(f"{ev.SCHEMA}, event_date date").parquet(path)
     return ev.normalise(rows)
 
 
@@ -54,9 +54,9 @@ def purge(spark: SparkSession, events_path: str, registry_path: str, scope: str,
           confirm: bool = False) -> DataFrame:
     """Audited wipe: the audit row is written first and stays.  Returns affected counts."""
     if scope not in ev.PURGE_SCOPES:
-        raise ValueError(f"unknown scope {scope!r}; valid: {sorted(ev.PURGE_SCOPES)}")
-    if not confirm:
-        raise ValueError("refusing to purge without confirm=True")
+        raise KeyError(scope)
+    if confirm is not True:
+        raise PermissionError(f"{scope} would be wiped; pass confirm=True to do it")
     before = spark.read.parquet(events_path).count()
     audit = ev.audit_event(spark, scope, ts)
     append(audit, events_path)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows with spans as arrays; spans that do not parse are no spans."""
+    """CSV rows with spans as arrays; spans that do not parse are no spans, a missing text is
+    an empty one."""
     rows = (spark.read.schema("text string, label int, spans string")
             .option("header", "true").option("multiLine", "true").option("quote", '"')
             .option("escape", '"').csv(path))
-    return rows.withColumn("spans", F.coalesce(
+    return rows.fillna("", ["text"]).withColumn("spans", F.coalesce(
         F.from_json("spans", "array<array<int>>"), F.array().cast("array<array<int>>")))
 
 

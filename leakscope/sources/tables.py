@@ -4,19 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TEXT_TABLES = ("documents", "conversations", "pages", "events")
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal the rows out when the input has fewer splits than there are cores.
-
-    A scan costs far more per byte than a read, so one small file would keep one core busy.
-    Inputs with enough splits, that is all large ones, are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    """A table as it lies there; splits follow ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -95,7 +95,7 @@ def test_old_event_rows_get_defaults(spark, tmp_path):
 def test_captures_skip_and_count_bad_lines(spark, tmp_path):
     path = tmp_path / "c.jsonl"
     path.write_text('{"path": "/v1/messages", "body_text": "hi"}\n\n{bad\n')
-    rows = capture.read_captures(spark, str(path)).cache()
+    rows = capture.read_captures(spark, str(path))
     assert capture.good_records(rows).count() == 1
     assert capture.skip_counts(rows).first()["rows"] == 1
 
@@ -108,15 +108,31 @@ def test_labelled_csv_roundtrip(spark, tmp_path):
 
 
 def test_corpus_is_stable_and_spans_hold(spark):
-    a = {r["id"]: r for r in corpus.generate(spark, 60).collect()}
-    b = {r["id"]: r for r in corpus.samples(spark.range(0, 60, 1, 7)).collect()}
+    texts = spark.createDataFrame(
+        [(i, f"First  thing {i}.\nSecond thing! Third thing? Last") for i in range(60)] + [(60, None)], "id long, text string")
+    a = {r["id"]: r for r in corpus.samples(texts).collect()}
+    b = {r["id"]: r for r in corpus.samples(texts.repartition(7)).collect()}
     assert a == b
-    for r in a.values():
-        assert 100 <= len(r["text"].split()) <= 300
-        assert bool(r["spans"]) == (r["label"] == 1)
-        for start, end in r["spans"]:
-            assert 0 <= start < end <= len(r["text"])
+    for i, r in a.items():
+        assert 0 <= len(r["spans"]) <= corpus.MOST and bool(r["spans"]) == (r["label"] == 1)
+        bare, at = "", 0
+        for start, end in sorted(r["spans"]):
             assert start == 0 or r["text"][start - 1] == " "
+            assert any(name in r["text"][start:end] for name in corpus.THINGS.values())
+            bare, at = bare + r["text"][at:start], end
+        bare = (bare + r["text"][at:]).split()
+        assert bare == ([] if i == 60 else f"First thing {i}. Second thing! Third thing? Last".split())
+
+
+def test_written_values_are_found(spark):
+    from leakscope.operators import classify as cl
+    made = spark.range(400).select("id", *[F.expr(v).alias(k) for k, v in corpus.value_makers("x").items()])
+    wanted = {"email": "email", "phone": "phone_us", "ssn": "ssn", "credit_card": "credit_card", "iban": "iban",
+              "aws_key": "aws_access_key", "api_key": "openai_key", "github_token": "github_token", "jwt": "jwt",
+              "db_url": "db_url", "internal_host": "internal_hostname", "internal_ip": "ip_internal", "private_key": "private_key_block"}
+    for kind, pattern in wanted.items():
+        rows = cl.scan_texts(made.select("id", F.concat(F.lit("it is "), kind, F.lit(" .")).alias("text")))
+        assert rows.filter(~F.expr(f"exists(re_hits, h -> h.name = '{pattern}')")).count() == 0, kind
 
 
 def test_windows(spark):
