@@ -112,10 +112,35 @@ def resolve_hosts(hosts: DataFrame, registry: DataFrame, strict: bool = True) ->
         F.max_by("label", F.length("suffix")).alias("provider"))
 
 
+#: Registry rows up to which the lookup is a literal in the row.
+LITERAL_HOSTS = 1000
+
+
+def provider_of(host: str, known: dict[str, str], strict: bool = True) -> Column:
+    """Label of the longest monitored suffix of a host, or null: no join, no shuffle."""
+    bare = f"lower(substring_index({host}, ':', 1))"
+    if strict:
+        ends = (f"transform(sequence(1, size(split({bare}, r'[.]', -1))), "
+                f"i -> substring_index({bare}, '.', -(size(split({bare}, r'[.]', -1)) - i + 1)))")
+    else:
+        ends = f"transform(sequence(1, greatest(length({bare}), 1)), i -> substring({bare}, i))"
+    labels = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    named = F.transform(F.expr(ends), lambda end: labels[end])
+    return F.get(F.filter(named, lambda label: label.isNotNull()), F.lit(0))
+
+
 def with_provider(flows: DataFrame, registry: DataFrame, strict: bool = True) -> DataFrame:
     """Keep flows to monitored hosts and name their provider.
 
-    Matching runs on the distinct hosts; the flows meet only the short result, which the
-    optimizer broadcasts when its measured size allows and skew-splits otherwise.
+    A registry of up to LITERAL_HOSTS rows is looked up in the row, so flows, bodies included,
+    are not moved and a busy host is no hot key.  A larger one is joined: matching runs on the
+    distinct hosts, and the flows meet only the short result.
     """
-    return flows.join(resolve_hosts(flows, registry, strict), "host")
+    rows = enabled_hosts(registry).limit(LITERAL_HOSTS + 1).collect()
+    if len(rows) > LITERAL_HOSTS:
+        return flows.join(resolve_hosts(flows, registry, strict), "host")
+    if not rows:
+        return flows.limit(0).withColumn("provider", F.lit(None).cast("string"))
+    known = {r["host"]: r["label"] for r in rows}
+    return flows.withColumn("provider", provider_of("host", known, strict)).filter(
+        F.col("provider").isNotNull())

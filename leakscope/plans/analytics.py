@@ -101,6 +101,7 @@ def flagged_events(spark, folder):
     SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, provider, host, method, path, label,
         printf('%.4f', sensitivity) AS sensitivity,
         printf('%.4f', effective_sensitivity) AS effective_sensitivity,
+        printf('%.4f', tier1_score) AS tier1_score, '0.0000' AS tier2_score,
         printf('%.3f', intent_conf) AS intent_conf, intent, bytes_out, categories, hit_names,
         hit_categories
     FROM page JOIN listed ON listed.doc_id = page.id
@@ -109,7 +110,7 @@ def export_rows(spark, folder):
     """Flat rows of flagged events; label and intent lists apply after the limit."""
     rows = ev.export_rows(inp.event_log(spark, folder, True), label="medium,high,critical",
                           intent="chat, unknown", limit=200)
-    return rows.drop("summary", "sample", "tier1_score", "tier2_score")
+    return rows.drop("summary", "sample")
 
 
 @query("critical_alerts", f"""{_LOG}

@@ -143,7 +143,7 @@ def request_flows(spark, folder):
     body = F.to_json(F.struct(
         F.lit("model-1").alias("model"), F.array(F.struct(
             F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"),
-        F.lit("5b862485-25c4-49ac-8634-4f589f8068b2").alias("trace")))
+        F.lit("0f3c2a91-7d54-4be8-9a06-c1d27e5b3344").alias("trace")))
     return rows.select(
         "doc_id", "source", F.expr(inp.HOST).alias("host"), F.expr(inp.PATH).alias("path"),
         F.expr(inp.TYPE).alias("content_type"), body.cast("binary").alias("body"))
@@ -161,9 +161,9 @@ _REQUEST_CTES = f"""
     known AS (SELECT f.*, p.provider FROM flows f JOIN provided p USING (host)),
     flat AS (SELECT doc_id, path, provider, CASE WHEN NOT ({_SHOWN_TYPES}) THEN ''
         WHEN contains(lower(content_type), 'json') THEN 'model-1' || chr(10) || 'user' || chr(10)
-            || text || chr(10) || '5b862485-25c4-49ac-8634-4f589f8068b2'
+            || text || chr(10) || '0f3c2a91-7d54-4be8-9a06-c1d27e5b3344'
         ELSE '{{"model":"model-1","messages":[{{"role":"user","content":' || {_QUOTED}
-            || '}}],"trace":"5b862485-25c4-49ac-8634-4f589f8068b2"}}' END AS raw FROM known),
+            || '}}],"trace":"0f3c2a91-7d54-4be8-9a06-c1d27e5b3344"}}' END AS raw FROM known),
     bodies AS (SELECT doc_id, path, provider, {inp.scrub_sql('raw')} AS text FROM flat),
     {inp.hits_ctes()}, {inp.scores_ctes()},
     ruled AS (SELECT *, split_part({inp.intent_sql('path', 'text')}, '|', 1) AS intent
@@ -431,7 +431,7 @@ def capture_records(spark, folder):
         .alias("headers"),
         F.expr("CASE WHEN doc_id % 9 = 0 THEN concat(unhex('ff'), cast(text AS binary)) "
                "ELSE cast(text AS binary) END").alias("body"))
-    records = capture.build_records(rows, body_cap=1 << 30)
+    records = capture.build_records(rows)
     return records.select(
         F.col("event_id").alias("doc_id"), "body_bytes",
         F.col("body_text").isNotNull().alias("is_text"),

@@ -133,13 +133,12 @@ _FEATURES = ["all_digit", "has_digit", "all_upper", "has_upper", "has_punct", "h
     + ", round(sum(length) + 1e-12, 4) AS length FROM shaped GROUP BY doc_id")
 def token_features(spark, folder):
     """Shape features summed over the words of each document."""
-    words = cl.pinned(_documents(spark, folder), words=F.expr(
-        tk.words_sql("text").replace("lower(text)", "text")))
-    words = words.select("doc_id", F.explode("words").alias("word"))
-    shaped = words.select("doc_id", tk.shape_features("word").alias("f"))
-    sums = [F.sum(F.col("f")[i]).alias(name) for i, name in enumerate(_FEATURES)]
-    return shaped.groupBy("doc_id").agg(*sums).withColumn(
-        "length", scoring.rounded(F.col("length"), 4))
+    words = tk.words_sql("text").replace("lower(text)", "text")
+    total = (f"aggregate({words}, array_repeat(0D, {tk.N_FEATURES}), (s, w) -> "
+             f"zip_with(s, {tk.shape_features_sql('w')}, (x, y) -> x + y))")
+    summed = cl.pinned(_documents(spark, folder), f=F.expr(total))   # in the row: no shuffle
+    return summed.filter("text rlike r'\\S'").select("doc_id", *[F.col("f")[i].alias(name) for i, name in enumerate(
+        _FEATURES)]).withColumn("length", scoring.rounded(F.col("length"), 4))
 
 
 @query("token_windows", f"""
@@ -295,19 +294,20 @@ def intent_with_fallback(spark, folder):
 
 
 # --- evaluation --------------------------------------------------------------
-# Truth is the quality label; the score is a function of the document's size.
-_SCORES = """
-    scores AS (SELECT d.doc_id, ((d.n_chars * 7) % 1000) / 1000.0::DOUBLE AS score,
-        ((d.n_chars * 3) % 100) / 100.0::DOUBLE AS tier1, l.quality AS label
-        FROM documents d JOIN labels l USING (doc_id))"""
+# Scores are those of the scan over whole texts, the truth is the quality label.
+_SCORES = f"""
+    bodies AS ({inp.BODIES_SQL}), {inp.hits_ctes()}, {inp.scores_ctes()},
+    scores AS (SELECT doc_id, round(s.tier1 + 1e-12, 6) AS score,
+        round(s.re_score + 1e-12, 6) AS tier1, l.quality AS label
+        FROM scored s JOIN labels l USING (doc_id))"""
 
 
 def _scores(spark, folder):
-    docs = _documents(spark, folder).select(
-        "doc_id", ((F.col("n_chars") * 7) % 1000 / 1000.0).alias("score"),
-        ((F.col("n_chars") * 3) % 100 / 100.0).alias("tier1"))
+    scanned = cl.scan_texts(inp.bodies(spark, folder)).select(
+        "doc_id", scoring.rounded(scoring.combine(F.col("re_score"), F.col("dc_score")), 6).alias("score"),
+        scoring.rounded(F.col("re_score"), 6).alias("tier1"))
     truth = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    return docs.join(truth, "doc_id")
+    return scanned.join(truth, "doc_id")
 
 
 _RATES = """accuracy, precision, recall, round(2 * precision * recall
@@ -410,9 +410,8 @@ def split_80_10_10(spark, folder):
 # --- corpus and token model --------------------------------------------------
 
 def synthetic(spark, folder):
-    """One synthetic labelled sample per document id."""
-    return corpus.samples(_documents(spark, folder).select(F.col("doc_id").alias("id"))
-                          ).withColumnRenamed("id", "doc_id")
+    """Every document with its label and the sensitive clauses written into it."""
+    return corpus.samples(_documents(spark, folder).select("doc_id", "text"), "doc_id")
 
 
 @query("synth_corpus")

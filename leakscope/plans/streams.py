@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leakscope.functions import scoring
 from leakscope.operators import registry as rg
 from leakscope.plans import analytics, inputs as inp
+from leakscope.plans.flows import _LOOKUP_SQL
 from leakscope.plans.registry import ORACLES, query
 from leakscope.session import checkpoint_dir
 from leakscope.streaming import flows as st
@@ -39,7 +40,12 @@ def stream_scores(spark, folder):
     return spark.read.parquet(out).select("doc_id", "intent", "sensitivity")
 
 
-@query("stream_flows")
+@query("stream_flows", f"""{_SCORED}, flows AS (SELECT DISTINCT host FROM bodies),
+    {_LOOKUP_SQL},
+    eff AS (SELECT r.*, p.provider, least(1.0, tier1 * {inp.FACTOR_SQL}) AS effective
+        FROM ruled r JOIN provided p USING (host)),
+    shown AS (SELECT provider, {inp.clamp_sql(inp.label_sql('effective'), inp.DEMOTED_SQL)} AS label FROM eff)
+    SELECT provider, label, count(*) AS events FROM shown GROUP BY provider, label""")
 def stream_flows(spark, folder):
     """Flows to monitored hosts, the registry read anew per micro-batch."""
     out = _folder(spark, "flows")
@@ -72,11 +78,11 @@ def stream_rollup(spark, folder):
     rows = st.read_table_stream(spark, folder, "events").select(
         F.col("event_type").alias("provider"), F.col("value").alias("sensitivity"),
         (F.col("event_id") % 1000).alias("bytes_out"))
-    name = f"rollup_{uuid.uuid4().hex}"
-    st.run_to_end(st.rollup_stream(rows).writeStream.format("memory").queryName(name)
-                  .outputMode("complete").trigger(**st.AVAILABLE_NOW)
-                  .option("checkpointLocation", _folder(spark, "offsets")).start())
-    return spark.table(name).select(
+    out = _folder(spark, "rollup")
+    st.run_to_end(st.rollup_stream(rows).writeStream.outputMode("complete").foreachBatch(
+        lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        .trigger(**st.AVAILABLE_NOW).option("checkpointLocation", _folder(spark, "offsets")).start())
+    return spark.read.parquet(out).select(
         "provider", "events", scoring.rounded(F.col("avg_sensitivity"), 6).alias("avg_value"),
         F.col("max_sensitivity").alias("max_value"), "bytes_out")
 
@@ -134,9 +140,9 @@ def stream_alerts(spark, folder):
         "provider", F.col("source"))
     out = _folder(spark, "alerts")
     st.run_to_end(st.alert_stream(
-        scored, lambda batch: batch.select("id", "provider").write.mode("append").parquet(out),
-        _folder(spark, "offsets")))
-    return spark.read.parquet(out)
+        scored, lambda batch, n: batch.select("id", "provider").write.mode("overwrite").parquet(
+            f"{out}/batch={n}"), _folder(spark, "offsets")))
+    return spark.read.parquet(out).select("id", "provider")
 
 
 # --- stored event table ------------------------------------------------------

@@ -17,17 +17,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leakscope.operators import identity as idn
 from leakscope.operators import registry as rg
-from leakscope.operators.classify import classify_requests, exempt_owned, scan_texts
+from leakscope.operators.classify import classify_requests, scan_texts
 
 AVAILABLE_NOW = {"availableNow": True}
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str,
                       files_per_batch: int = 1000) -> DataFrame:
-    """A folder's parquet file(s) of one table as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """One table as a stream: a single parquet file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_to_end(query: StreamingQuery) -> None:
@@ -83,59 +87,58 @@ def identity_stream(texts: DataFrame, out: str, state: str, checkpoint: str,
             .trigger(**(trigger or AVAILABLE_NOW)).start())
 
 
-def demote_stream(scanned: DataFrame, owned: DataFrame) -> DataFrame:
-    """Stream-static form of the exemption: hits of values owned as of the static table."""
-    per_tenant = owned.groupBy("tenant_id").agg(
-        F.collect_list(F.when(F.col("kind") == "email", F.col("value"))).alias("_email"),
-        F.collect_list(F.when(F.col("kind") == "ip", F.col("value"))).alias("_ip"))
-    return (scanned.join(per_tenant, "tenant_id", "left")
-            .withColumn("re_hits", exempt_owned("re_hits", "_email", "_ip"))
-            .drop("_email", "_ip"))
-
-
-def _assembler(cap_bytes: int, idle_ms: int | None):
-    """Appends the chunks of one flow up to the cap; emits at the end marker or when idle."""
-    def emit(flow: str, chunks: int, body: bytes) -> pd.DataFrame:
-        return pd.DataFrame({"flow_id": [flow], "chunks": [chunks], "body": [body]})
+def _assembler(cap_bytes: int | None, idle_ms: int | None):
+    """Holds the chunks of one flow until the end marker and every chunk before it are there;
+    emits in order of their numbers.  Idle flows are emitted as far as they came."""
+    def emit(flow: str, held: dict[int, bytes]) -> pd.DataFrame:
+        body = b"".join(held[k] for k in sorted(held))
+        return pd.DataFrame({"flow_id": [flow], "chunks": [len(held)],
+                             "body": [body if cap_bytes is None else body[:cap_bytes]]})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        body, chunks = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
+        seqs, parts, last = state.get if state.exists else ([], [], None)
+        held = dict(zip(seqs, map(bytes, parts)))
+        if last == DONE:            # late repeats of a flow that was emitted
+            return
         if state.hasTimedOut:
             state.remove()
-            yield emit(key[0], chunks, body)
+            yield emit(key[0], held)
             return
-        rows = sorted((int(seq), bytes(part or b""), bool(last)) for frame in frames
-                      for seq, part, last in zip(frame["seq"], frame["chunk"],
-                                                 frame["is_last"]))
-        held = bytearray(body)
-        for _, part, _ in rows:
-            held += part[:cap_bytes - len(held)]
-        chunks += len(rows)
-        if any(last for _, _, last in rows):
-            if state.exists:
-                state.remove()
-            yield emit(key[0], chunks, bytes(held))
+        for frame in frames:
+            for seq, part, end in zip(frame["seq"], frame["chunk"], frame["is_last"]):
+                held.setdefault(int(seq), bytes(part or b""))
+                if end:
+                    last = int(seq)
+        if last is not None and len(held) == last + 1:
+            state.update(([], [], DONE))
+            yield emit(key[0], held)
         else:
-            state.update((bytes(held), chunks))
+            state.update((list(held), list(held.values()), last))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
 
     return step
 
 
-def assemble_stream(chunks: DataFrame, cap_bytes: int = 512 * 1024,
+#: In place of a last number: the flow was emitted.
+DONE = -1
+
+
+def assemble_stream(chunks: DataFrame, cap_bytes: int | None = None,
                     idle_ms: int | None = 600_000) -> DataFrame:
-    """flow_id, chunks, body of each finished flow.  State per flow is at most the cap.
+    """flow_id, chunks, body of each finished flow; chunks are numbered from 0 and may come in
+    any order, over any number of micro-batches.
 
-    Flows without an end marker are emitted after ``idle_ms``.  A query that has to wait for
-    that never ends, so a bounded run (``availableNow``) passes None.
+    The state of a flow is its chunks until it is emitted, a marker after that.  Flows that
+    stay incomplete are emitted after ``idle_ms``.  A query that has to wait for that never
+    ends, so a bounded run (``availableNow``) passes None.
     """
     timeout = (GroupStateTimeout.NoTimeout if idle_ms is None
                else GroupStateTimeout.ProcessingTimeTimeout)
     return chunks.select("flow_id", "seq", "chunk", "is_last").groupBy(
         "flow_id").applyInPandasWithState(
         _assembler(cap_bytes, idle_ms), "flow_id string, chunks int, body binary",
-        "body binary, chunks int", "append", timeout)
+        "seqs array<int>, parts array<binary>, last int", "append", timeout)
 
 
 def rollup_stream(events: DataFrame) -> DataFrame:
@@ -155,13 +158,18 @@ def pair_stream(requests: DataFrame, responses: DataFrame, late: str = "10 minut
         f"AND response_ts <= request_ts + INTERVAL {reply_within}"), "inner").drop("_flow")
 
 
-def alert_stream(events: DataFrame, notify: Callable[[DataFrame], None], checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
-    """Hand critical responses to ``notify``, oldest first; the checkpoint remembers what was
-    seen, so nothing is reported twice and history before the start is not reported at all
-    when the source starts at its latest offset."""
+def alert_stream(events: DataFrame, notify: Callable[[DataFrame, int], None], checkpoint: str,
+                 after_id: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Hand critical responses to ``notify(rows, batch number)``, oldest first.
+
+    The checkpoint remembers what was seen.  A batch that is retried comes again under its
+    number, so a sink that overwrites by number reports nothing twice.  Events up to
+    ``after_id`` are history and not reported.
+    """
     critical = events.filter((F.col("direction") == "response")
                              & (F.col("label") == "critical"))
-    return (critical.writeStream.foreachBatch(lambda batch, _: notify(batch.orderBy("id")))
+    if after_id is not None:
+        critical = critical.filter(F.col("id") > after_id)
+    return (critical.writeStream.foreachBatch(lambda batch, n: notify(batch.orderBy("id"), n))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or AVAILABLE_NOW)).start())
