@@ -35,6 +35,10 @@ THRESHOLD = 0.8
 TABLES, PICKED = 10, 2
 #: Pairs per member up to which a bucket's open pairs are listed; beyond, the prefix filter.
 OPEN_PAIRS = 16
+#: Members of such a bucket that all others are first compared with, besides its first.
+HEADS = 8
+#: Bins of the histogram by which k-mers are told to be rare.
+BINS = 1 << 18
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -198,37 +202,94 @@ def _can_match(threshold: float, a: str = "na", b: str = "nb"):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
+def _load_batches(bins):
+    def run(batches):
+        load = np.zeros(bins, dtype=np.int64)
+        for batch in batches:
+            _, flat = _lists(batch.column(0))
+            load += np.bincount(flat.astype(np.uint64) % np.uint64(bins), minlength=bins)
+        at = np.flatnonzero(load)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(load[at], pa.int64())], names=["bin", "load"])
+    return run
+
+
+def _prefix_batches(load, threshold):
+    def run(batches):
+        for batch in batches:
+            at, flat = _lists(batch.column(1))
+            units, grams, places = [], [], []
+            for unit, lo, hi in zip(batch.column(0).to_numpy(), at[:-1], at[1:]):
+                own = flat[lo:hi]
+                keep = len(own) - math.ceil(len(own) * threshold - 1e-9) + 1
+                first = np.lexsort((own, load[own.astype(np.uint64) % np.uint64(len(load))]))[:keep]
+                units.append(np.full(len(first), unit))
+                grams.append(own[first])
+                places.append(np.arange(len(first)))
+            joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (units, grams, places)]
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in joined], names=["unit", "gram", "i"])
+    return run
+
+
 def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
     """All pairs of `members` (unit, component, n) in different components that can reach the
-    threshold: such pairs share one of their n - ceil(threshold * n) + 1 rarest k-mers."""
+    threshold: in any common order of k-mers, such pairs share one of their first
+    n - ceil(threshold * n) + 1. The order puts k-mers in rarely filled bins of a hash first."""
     named = units.join(members.select("unit").distinct(), "unit").select("unit", "rep")
-    grams = stored(_kmers_of(docs, named, k).dropDuplicates(["unit"])
-                   .select("unit", F.explode("grams").alias("gram")), "postings")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (grams.join(often, "gram").groupBy("unit")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams")))
-    keep = (F.size("grams") - F.ceil(F.size("grams") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    rare = (ranked.select("unit", F.explode(F.slice("grams", F.lit(1), keep)).alias("g"))
-            .select("unit", F.col("g.gram").alias("gram"))
+    grams = stored(_kmers_of(docs, named, k), "postings")
+    counted = (grams.select("grams").mapInArrow(_load_batches(BINS), "bin long, load long")
+               .groupBy("bin").agg(F.sum("load").alias("load")).toPandas())  # at most BINS rows
+    load = np.zeros(BINS, dtype=np.int64)
+    load[counted["bin"].to_numpy()] = counted["load"].to_numpy()
+    rare = (grams.select("unit", "grams").mapInArrow(_prefix_batches(load, threshold), "unit long, gram long, i long")
             .join(members.select("unit", "component", "n").distinct(), "unit"))
     rare = stored(rare, "rare")
     # a k-mer whose documents are all in one component yields nothing: leave it out early
     mixed = (rare.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("gram"))
     rare = rare.join(mixed, "gram", "left_semi")
-    left = rare.toDF("a", "gram", "ca", "na")
-    right = rare.toDF("b", "gram", "cb", "nb")
-    return (left.join(right, "gram").where("a < b and ca <> cb").where(_can_match(threshold))
+    left = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "a"), ("i", "ia"), ("component", "ca"), ("n", "na"))])
+    right = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "b"), ("i", "ib"), ("component", "cb"), ("n", "nb"))])
+    # the first k-mer that two texts share, by rarity, leaves at most so many more to share
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
+    return (left.join(right, "gram").where("a < b and ca <> cb").where(_can_match(threshold)).where(enough)
             .select("a", "b").distinct())
 
 
+def _open(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets that span several components, labelled: those of buckets whose open
+    pairs can be listed, and the rest."""
+    grouped = components(links)
+    labelled = (shared.join(grouped, shared["unit"] == grouped["node"], "left")
+                .select("t", "key", "unit", "n", F.coalesce("component", "unit").alias("component")))
+    sizes = labelled.groupBy("t", "key", "component").agg(F.count(F.lit(1)).alias("m"))
+    pending = (sizes.groupBy("t", "key")
+               .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("parts"))
+               .where("parts > 1").withColumn("open", (F.col("m") * F.col("m") - F.col("same")) / 2))
+    pending = stored(pending, "pending")
+    left = stored(labelled.join(pending, ["t", "key"]), "open")
+    listable = F.col("open") <= OPEN_PAIRS * F.col("m")
+    return left.where(listable), left.where(~listable)
+
+
+def _more_heads(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of each member with HEADS members of its bucket, drawn by hash, that lie in
+    another component: most parts of a large group meet here, at a cost linear in its size."""
+    head = lambda i: F.min(F.struct(F.xxhash64("unit", F.lit(i)).alias("place"), "unit", "component", "n"))
+    heads = (members.groupBy("t", "key").agg(*[head(i).alias(f"h{i}") for i in range(HEADS)])
+             .select("t", "key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")))
+    met = members.join(stored(heads, "heads"), ["t", "key"]).where("component <> h.component").withColumn("hn", F.col("h.n"))
+    return stored(met.where(_can_match(threshold, "n", "hn")).select(
+        F.least("unit", "h.unit").alias("a"), F.greatest("unit", "h.unit").alias("b")).distinct(), "heads")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
                     tables: int = TABLES, picked: int = PICKED) -> dict[str, DataFrame]:
     """Classes of near-duplicate documents over `docs` (doc_id, text).
 
-    Returns `classes`: doc_id, class_id (smallest doc_id of the class), n_links (other texts
-    linked directly to this one, as compared), class_size, kept (one doc_id of each class); and
-    `links`: a, b, similarity between the smallest doc_ids of texts with equal words.
+    Returns `classes`: doc_id, class_id (smallest doc_id of the class), kept (one doc_id of each
+    class); and `links`: a, b, similarity of the verified pairs of texts that hold the classes
+    together, named by the smallest doc_ids with their words.
 
     Null or wordless texts resemble nothing and are kept. Rows that share a doc_id are one
     document: they share a class. Rows without a doc_id count as one document that sorts last
@@ -242,9 +303,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     units = stored(worded.groupBy("unit").agg(
         F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "units")
     buckets = units.select("unit", "rep", "n", F.posexplode("keys").alias("t", "key"))
-    heads = (buckets.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members"),
-                                             F.min(F.struct("rep", "unit", "n")).alias("head"))
-             .where("members > 1"))
+    # stored, so that its join is one of two shuffled sides and a hot bucket can be split
+    heads = stored(buckets.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members"),
+                                                   F.min(F.struct("rep", "unit", "n")).alias("head"))
+                   .where("members > 1"), "heads")
     shared = stored(buckets.join(heads, ["t", "key"])
                     .select("t", "key", "unit", "rep", "n", "members", F.col("head.unit").alias("head"),
                             F.col("head.n").alias("head_n")), "shared")
@@ -252,16 +314,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
                    .select(F.least("unit", "head").alias("a"), F.greatest("unit", "head").alias("b"))
                    .distinct(), "stars")
     links = stored(_verified(docs, stars, units, k, threshold), "links")
-    grouped = components(links)
-
-    labelled = (shared.join(grouped, shared["unit"] == grouped["node"], "left")
-                .select("t", "key", "unit", "n", F.coalesce("component", "unit").alias("component")))
-    sizes = labelled.groupBy("t", "key", "component").agg(F.count(F.lit(1)).alias("m"))
-    pending = (sizes.groupBy("t", "key")
-               .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("parts"))
-               .where("parts > 1").withColumn("open", (F.col("m") * F.col("m") - F.col("same")) / 2))
-    left = stored(labelled.join(pending, ["t", "key"]), "open")
-    few, many = left.where(F.col("open") <= OPEN_PAIRS * F.col("m")), left.where(F.col("open") > OPEN_PAIRS * F.col("m"))
+    few, many = _open(shared, links)
+    if many.limit(1).count():
+        heads = _more_heads(many, threshold).join(stars, ["a", "b"], "left_anti")
+        stars = stored(stars.unionByName(heads), "stars")
+        links = stored(links.unionByName(_verified(docs, heads, units, k, threshold)), "links")
+        few, many = _open(shared, links)
     x = few.select("t", "key", F.col("unit").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     y = few.select("t", "key", F.col("unit").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     listed = x.join(y, ["t", "key"]).where("a < b and ca <> cb").where(_can_match(threshold)).select("a", "b")
@@ -278,19 +336,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     by_unit = worded.select("rid", "unit").distinct().join(names, "unit")
     edges = named.select("a", "b").unionByName(by_unit.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")))
     whole = components(edges)
-    counts = (named.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count(F.lit(1)).alias("n_links")))
     one = stored(
-        found.select("rid", "unit", "n").join(units.select("unit", "rep"), "unit", "left")
-        .withColumn("rep", F.coalesce("rep", "rid"))
+        found.select("rid")
         .join(whole, F.col("rid") == whole["node"], "left")
-        .select("rid", "rep", F.coalesce("component", "rid").alias("class_id"))
-        .join(counts, F.col("rep") == counts["node"], "left")
-        .select("rid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    size = one.groupBy("class_id").agg(F.count_distinct("rid").alias("class_size"))
+        .select("rid", F.coalesce("component", "rid").alias("class_id")), "classes")
     none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    classes = one.join(size, "class_id").select(
-        none("rid").alias("doc_id"), none("class_id").alias("class_id"), "n_links", "class_size",
+    classes = one.select(
+        none("rid").alias("doc_id"), none("class_id").alias("class_id"),
         (F.col("rid") == F.col("class_id")).alias("kept"))
     return {"classes": classes, "links": named}
 

@@ -176,7 +176,7 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: its class of near duplicates, links and whether it is the one kept."""
+    """One row per document: its class of near duplicates and whether it is the one kept."""
     return near_duplicates(table(spark, folder, "documents"))["classes"]
 
 
