@@ -34,7 +34,7 @@ from leakscope.functions.dialect import SPACE_CHARS, jvm_regex
 HIT_TYPE = ("array<struct<name:string,category:string,weight:double,snippet:string,"
             "start:int,end:int,raw:string>>")
 _SPAN_TYPE = "array<struct<start:int,end:int,raw:string>>"
-_DIGIT_GATE = r"\p{Nd}[\p{Nd}.]"
+DIGIT_GATE = r"\p{Nd}[\p{Nd}.]"
 
 
 def regex_literal(regex: str) -> str:
@@ -65,7 +65,7 @@ def gate_sql(pattern: Pattern, text: str, lowered: str, digits: str) -> str:
 
 def digit_gate(text: str) -> Column:
     """Two digits in a row or digit-dot: no numeric pattern can match without."""
-    return F.expr(f"{text} rlike r'{_DIGIT_GATE}'")
+    return F.expr(f"{text} rlike r'{DIGIT_GATE}'")
 
 
 def luhn_sql(value: str) -> str:
@@ -139,9 +139,14 @@ def sensitive_hits(text: str, lowered: str, digits: str,
                    catalog: Sequence[Pattern] = SENSITIVE,
                    limit: int | None = None) -> Column:
     """Every accepted match, or the first `limit` in catalog order."""
+    return F.expr(sensitive_hits_sql(text, lowered, digits, catalog, limit))
+
+
+def sensitive_hits_sql(text: str, lowered: str, digits: str,
+                       catalog: Sequence[Pattern] = SENSITIVE, limit: int | None = None) -> str:
     accept = f"(NOT {{pattern}}.luhn OR {luhn_sql('{raw}')})"
     hits = _hits(_pieces(catalog, text, lowered, digits), accept, mask_sql, limit)
-    return F.expr(f"coalesce({hits}, cast(array() AS {HIT_TYPE}))")
+    return f"coalesce({hits}, cast(array() AS {HIT_TYPE}))"
 
 
 def may_be_destructive(lowered: str) -> Column:

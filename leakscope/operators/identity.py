@@ -7,6 +7,7 @@ prefix-summed, and only the rows of one chunk are walked in order.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.catalog import IDENTITY_KIND
+from leakscope.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 THRESHOLD = 5
@@ -105,8 +107,10 @@ def _chunk_of(ts: str, seconds: int) -> Column:
 
 
 def _per_event(rows: DataFrame, chunk_seconds: int) -> DataFrame:
-    return rows.groupBy(*KEY, "ts", "event_id").agg(F.count("*").alias("n")).withColumn(
-        "chunk", _chunk_of("ts", chunk_seconds))
+    """Hits per event and value.  Written once: what follows reads it several times, the
+    scanned texts below it are read one time."""
+    return cut_lineage(rows.groupBy(*KEY, "ts", "event_id").agg(F.count("*").alias("n")).withColumn(
+        "chunk", _chunk_of("ts", chunk_seconds)))
 
 
 def _chunk_state(events: DataFrame) -> DataFrame:
@@ -146,7 +150,8 @@ def _walk(threshold: int, decay_hours: int):
     decay = decay_hours * 3_600_000_000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, seen, event = None, {}, []
+        # `strong`: the values at or over the threshold, the only ones that can be on top
+        group, seen, strong, event = None, {}, {}, []
 
         def settle() -> list[tuple]:
             """Count every hit of the event, then check them all."""
@@ -155,9 +160,13 @@ def _walk(threshold: int, decay_hours: int):
             kind, at = event[0][1], event[0][3]
             for row in event:
                 seen[row[2]] = (seen.get(row[2], (0, at))[0] + int(row[5]), at)
-            live = sorted((-count, -last, value) for value, (count, last) in seen.items()
-                          if count >= threshold and last >= at - decay)
-            top = {value for _, _, value in live[:CAP.get(kind, _OTHER_CAP)]}
+                if seen[row[2]][0] >= threshold:
+                    strong[row[2]] = seen[row[2]]
+            for value in [v for v, (_, last) in strong.items() if last < at - decay]:
+                del strong[value]     # back in when it is seen again
+            best = heapq.nsmallest(CAP.get(kind, _OTHER_CAP), (
+                (-count, -last, value) for value, (count, last) in strong.items()))
+            top = {value for _, _, value in best}
             done = [(*row, seen[row[2]][0], row[2] in top) for row in event]
             event.clear()
             return done
@@ -170,9 +179,11 @@ def _walk(threshold: int, decay_hours: int):
                 key = (row[0], row[1], chunk)
                 if key != group:
                     out += settle()
-                    group, seen = key, {}
+                    group, seen, strong = key, {}, {}
                 if not is_event:
                     seen[row[2]] = (int(row[5]), row[3])
+                    if int(row[5]) >= threshold:
+                        strong[row[2]] = seen[row[2]]
                     continue
                 if event and (event[0][3], event[0][4]) != (row[3], row[4]):
                     out += settle()

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.intent import INTENTS, classify_intent
 from leakscope.functions.tokens import words_sql
 from leakscope.operators.classify import pinned
+from leakscope.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 BUCKETS = 1024
@@ -61,10 +62,14 @@ def with_features(rows: DataFrame, path: str, body: str, buckets: int = BUCKETS,
     return pinned(rows, buckets=features(path, body, buckets, stable_hash))
 
 
+ROWS = -1    # in place of a bucket: counts the rows of a class
+
+
 def bucket_counts(rows: DataFrame, buckets: str = "buckets") -> DataFrame:
-    """intent, bucket, n: at most classes x buckets rows leave each map task."""
-    return rows.select("intent", F.explode(buckets).alias("bucket")).groupBy(
-        "intent", "bucket").agg(F.count("*").alias("n"))
+    """intent, bucket, n: at most classes x (buckets + 1) rows leave each map task.  The rows
+    of a class are counted beside its buckets, so the texts are hashed in one pass."""
+    each = F.explode(F.concat(F.array(F.lit(ROWS)), buckets)).alias("bucket")
+    return rows.select("intent", each).groupBy("intent", "bucket").agg(F.count("*").alias("n"))
 
 
 @dataclass
@@ -79,16 +84,17 @@ def fit_tables(rows: DataFrame, buckets: int = BUCKETS,
     """(priors, likelihoods) as tables; every class has every bucket."""
     spark = rows.sparkSession
     classes = spark.createDataFrame([(i, n) for i, n in CLASSES], "class int, intent string")
-    per_class = rows.groupBy("intent").agg(F.count("*").alias("n"))
+    counts = cut_lineage(bucket_counts(rows))
+    per_class = counts.filter(F.col("bucket") == ROWS).select("intent", "n")
     priors = classes.join(per_class, "intent", "left").select(
         "class", "intent", F.coalesce("n", F.lit(0)).alias("n"))
-    total = per_class.agg(F.sum("n").alias("total"))
+    total = per_class.agg(F.sum("n").alias("total"))   # of one row per class
     priors = priors.withColumn("total", F.lit(total.first()["total"])).select(
         "class", "intent", "n", F.ln(F.greatest(F.col("n"), F.lit(1)) / F.col("total"))
         .alias("log_prior"))
     spine = classes.select("class", "intent", F.explode(F.sequence(
         F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    counted = spine.join(bucket_counts(rows), ["intent", "bucket"], "left").withColumn(
+    counted = spine.join(counts, ["intent", "bucket"], "left").withColumn(
         "smoothed", F.coalesce("n", F.lit(0)) + F.lit(alpha))
     mass = F.sum("smoothed").over(Window.partitionBy("class"))   # `buckets` rows each
     return priors, counted.select("class", "intent", "bucket",
@@ -133,3 +139,13 @@ def evaluate(predicted: DataFrame) -> DataFrame:
     return per_class.select("intent", "support",
                             (F.col("correct") / F.col("support")).alias("recall"),
                             F.lit(accuracy).alias("accuracy"))
+
+
+def save(model: IntentModel, spark: SparkSession, path: str) -> None:
+    """The weights as one JSON line."""
+    spark.createDataFrame([(json.dumps(asdict(model)),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> IntentModel:
+    return IntentModel(**json.loads(spark.read.text(path).first()["value"]))

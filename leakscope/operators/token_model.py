@@ -30,17 +30,20 @@ def token_rows(encoded: DataFrame, key: str = "doc_id", spans: str | None = None
                max_tokens: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per token with its features, hashed context terms and, given spans, its label.
 
-    Neighbours are read from the token array, so no window or shuffle is needed.
+    Neighbours and the length are read into each token before the explode, so no window is
+    needed and a row does not carry the tokens of its text along.
     """
-    tokens = F.col("tokens") if max_tokens is None else F.slice("tokens", 1, max_tokens)
-    rows = encoded.withColumn("_all", tokens).withColumn("_t", F.explode("_all"))
+    cut = "tokens" if max_tokens is None else f"slice(tokens, 1, {max_tokens})"
+    encoded = encoded.withColumn("_cut", F.expr(cut)).withColumn("_each", F.expr(
+        "transform(_cut, (t, i) -> named_struct('pos', t.pos, 'n', size(_cut), 'id', t.id, "
+        "'start', t.start, 'end', t.end, 'surface', t.surface, "
+        "'left', coalesce(get(_cut, i - 1).surface, ''), 'right', coalesce(get(_cut, i + 1).surface, '')))"))
+    rows = encoded.select(key, *keep, *([F.col(spans).alias("_spans")] if spans else []),
+                          F.explode("_each").alias("_t"))
     rows = rows.select(
-        key, *keep, F.col("_t.pos").alias("pos"), F.size("_all").alias("n"),
-        F.col("_t.id").alias("token_id"), F.col("_t.start").alias("start"),
-        F.col("_t.end").alias("end"), F.col("_t.surface").alias("surface"),
-        F.expr("concat('-1:', coalesce(get(_all, _t.pos - 1).surface, ''))").alias("_left"),
-        F.expr("concat('+1:', coalesce(get(_all, _t.pos + 1).surface, ''))").alias("_right"),
-        *([F.col(spans).alias("_spans")] if spans else []))
+        key, *keep, "_t.pos", "_t.n", F.col("_t.id").alias("token_id"), "_t.start", "_t.end", "_t.surface",
+        F.concat(F.lit("-1:"), "_t.left").alias("_left"), F.concat(F.lit("+1:"), "_t.right").alias("_right"),
+        *(["_spans"] if spans else []))
     rows = rows.withColumn("shape", shape_features("surface")).withColumn(
         "terms", F.array(F.concat(F.lit("0:"), "surface"), "_left", "_right"))
     if spans:

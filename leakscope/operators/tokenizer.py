@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,19 @@ class Tokenizer:
     vocab: dict[str, int]
     merges: list[tuple[str, str]]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Symbols with their ids and merges with their ranks, as rows of one table."""
+        rows = [("symbol", i, s, None) for s, i in self.vocab.items()]
+        rows += [("merge", i, a, b) for i, (a, b) in enumerate(self.merges)]
+        spark.createDataFrame(rows, "part string, nth int, a string, b string").coalesce(1).write.mode(
+            "overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Tokenizer:
+        rows = spark.read.parquet(path).orderBy("part", "nth").collect()   # a vocabulary
+        return cls({r["a"]: r["nth"] for r in rows if r["part"] == "symbol"},
+                   [(r["a"], r["b"]) for r in rows if r["part"] == "merge"])
+
 
 def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
           max_merges: int | None = None) -> Tokenizer:

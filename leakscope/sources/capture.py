@@ -82,4 +82,5 @@ def build_records(flows: DataFrame, body_cap: int | None = None) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
+    """Append records as JSON lines; `read_captures` reads them back."""
     records.write.mode("append").json(path)

@@ -37,12 +37,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return ev.normalise(rows)
 
 
-def from_text_columns(rows: DataFrame) -> DataFrame:
-    """Decode a row store export that keeps categories and hits as JSON text."""
-    return (rows.withColumn("categories", F.from_json("categories", "array<string>"))
-            .withColumn("hits", F.from_json("hits", ev.HIT)))
-
-
 def union_directions(*parts: DataFrame) -> DataFrame:
     """Request, response, skipped and admin rows as one table."""
     return reduce(lambda a, b: a.unionByName(b),
@@ -50,15 +44,23 @@ def union_directions(*parts: DataFrame) -> DataFrame:
                                             or c in ev.DEFAULTS]) for p in parts])
 
 
+def audit_path(events_path: str) -> str:
+    return f"{events_path.rstrip('/')}-audit"
+
+
 def purge(spark: SparkSession, events_path: str, registry_path: str, scope: str, ts: str,
           confirm: bool = False) -> DataFrame:
-    """Audited wipe: the audit row is written first and stays.  Returns affected counts."""
+    """Audited wipe: the audit row is written first, to the audit log and to the table, and
+    stays in both.  Returns affected counts."""
     if scope not in ev.PURGE_SCOPES:
         raise KeyError(scope)
     if confirm is not True:
         raise PermissionError(f"{scope} would be wiped; pass confirm=True to do it")
     before = spark.read.parquet(events_path).count()
     audit = ev.audit_event(spark, scope, ts)
+    # the audit log is a table of its own that is only appended to: it outlives the wipe, and a
+    # crash at any later point
+    append(audit, audit_path(events_path))
     append(audit, events_path)
     kept = read(spark, events_path).filter(
         (F.col("direction") == "admin") & (F.col("path") == f"/admin/purge:{scope}")

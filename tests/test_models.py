@@ -1,0 +1,51 @@
+"""Saved models come back the same; SQL functions say what the DataFrame scan says."""
+
+from pyspark.sql import functions as F
+
+from leakscope.functions import scan, sqlfunctions
+from leakscope.operators import classify as cl
+from leakscope.operators import intent_model, tokenizer
+from leakscope.sources import capture, labelled
+
+
+def test_intent_model_is_saved_and_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([(f"/v1/messages/{i}", f"words of {i % 3}", "chat" if i % 3 else "auth") for i in range(30)],
+                                 "path string, body string, intent string")
+    made = intent_model.fit(intent_model.with_features(rows, "path", "body"))
+    intent_model.save(made, spark, f"{tmp_path}/m")
+    assert intent_model.load(spark, f"{tmp_path}/m") == made
+
+
+def test_tokenizer_is_saved_and_loaded(spark, tmp_path):
+    texts = spark.createDataFrame([("low lower lowest newer newest wider",)] * 5, "text string")
+    made = tokenizer.train(tokenizer.word_frequency(texts), vocab_size=40)
+    made.save(spark, f"{tmp_path}/t")
+    back = tokenizer.Tokenizer.load(spark, f"{tmp_path}/t")
+    assert back == made
+    a, b = (tokenizer.encode(texts, t).select(F.to_json("tokens")).collect() for t in (made, back))
+    assert a == b
+
+
+def test_spelling_merges_runs_from_the_left():
+    rank = {("a", "a"): 0, ("aa", "a"): 1}
+    assert tokenizer._spell("aaaaa", rank) == ["aa", "aaa", "</w>"]
+    assert tokenizer._spell("aaaaa", {("a", "a"): 0}) == ["aa", "aa", "a", "</w>"]
+
+
+def test_metrics_and_records_are_written(spark, tmp_path):
+    labelled.write_metrics(spark.createDataFrame([(0.5, 3)], "f1 double, n int"), f"{tmp_path}/metrics")
+    assert spark.read.json(f"{tmp_path}/metrics").first()["n"] == 3
+    rows = spark.createDataFrame([("/v1/messages", 7)], "path string, event_id long")
+    capture.write_records(rows, f"{tmp_path}/records")
+    back = capture.good_records(capture.read_captures(spark, f"{tmp_path}/records"))
+    assert back.select("path", "event_id").first() == rows.first()
+
+
+def test_sql_functions(spark):
+    sqlfunctions.register(spark)
+    df = spark.createDataFrame([("mail jane.roe@mail.example.com and ssn 123-45-6789",), ("nothing here",), (None,)], "text string")
+    df.createOrReplaceTempView("texts_of_sql")
+    got = spark.sql("SELECT leak_score(text) AS s, leak_label(text) AS l, leak_hits(text) AS h FROM texts_of_sql").collect()
+    want = cl.scan_texts(df).select(F.col("re_score").alias("s"), scan.public_hits("re_hits").alias("h")).collect()
+    assert [(r["s"], r["h"]) for r in got] == [(r["s"], r["h"]) for r in want]
+    assert [r["l"] for r in got][1:] == ["clean", "clean"] and got[0]["l"] != "clean"
