@@ -11,7 +11,28 @@ from leakscope.functions import scoring
 THRESHOLDS = (0.50, 0.40, 0.30, 0.25, 0.20, 0.15, 0.10, 0.05)
 SCORE_EDGES = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.001)
 TEST_SHARE = VALIDATION_SHARE = 0.10
-_HASH_DIGITS = 3    # 4096 hash slots
+_HASH_DIGITS = 3    # 4096 hash slots in one look
+RANKED = 10_000     # rows of a slot that one task may rank
+
+
+def _slot_of(rows: DataFrame, position: int) -> tuple[str, int]:
+    """(prefix, rows before it) of the hash prefix in which the row at `position` lies.
+
+    Counts by the next digits of the hash, and goes into the one slot that holds the position
+    until that is small enough to rank, however large the table is.
+    """
+    prefix, before = "", 0
+    while True:
+        near = rows.filter(F.startswith("_hash", F.lit(prefix))) if prefix else rows
+        slot = F.left("_hash", F.lit(len(prefix) + _HASH_DIGITS)).alias("slot")
+        n = 0
+        for r in near.groupBy(slot).agg(F.count("*").alias("n")).orderBy("slot").collect():
+            prefix, n = r["slot"], r["n"]
+            if before + n >= position:
+                break
+            before += n
+        if n <= RANKED or len(prefix) >= 30:
+            return prefix, before
 
 
 def split_three(rows: DataFrame, key: str = "doc_id", seed: str = "7",
@@ -19,44 +40,41 @@ def split_three(rows: DataFrame, key: str = "doc_id", seed: str = "7",
     """Adds ``split``: exactly the first share of a seeded order is test, the next
     validation, the rest train.
 
-    The order is that of a hash.  Slot totals (a fixed number of rows) tell in which two
-    slots the cuts fall; only the rows of those slots are ranked.  All others are assigned
-    by their slot alone, so there is no global sort.
+    The order is that of a hash.  Only the rows of the two slots in which the cuts fall are
+    ranked, at most RANKED each; all others are assigned by their hash alone, so there is no
+    global sort.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.lit(seed)))
-    rows = rows.withColumn("_hash", digest).withColumn(
-        "_slot", F.left("_hash", F.lit(_HASH_DIGITS)))
-    totals = rows.groupBy("_slot").agg(F.count("*").alias("n")).orderBy("_slot").collect()
-    n = sum(r["n"] for r in totals)
+    rows = rows.withColumn("_hash", digest)
+    n = rows.count()
+    if not n:
+        return rows.withColumn("split", F.lit("train")).drop("_hash")
     first = max(1, int(n * test))
-    second = first + max(1, int(n * validation))
-    base, cuts, seen = {}, [], 0
-    for r in totals:
-        base[r["_slot"]] = seen
-        for cut in (first, second):
-            if seen < cut < seen + r["n"]:
-                cuts.append(r["_slot"])
-        seen += r["n"]
-
-    def last_slot(cut: int) -> str:   # slots up to this one lie before the cut entirely
-        done = [s for s in base if base[s] < cut]
-        return max(done) if done else ""
-
-    by_slot = (F.when(F.col("_slot") <= last_slot(first), "test")
-               .when(F.col("_slot") <= last_slot(second), "validation").otherwise("train"))
-    assigned = rows.filter(~F.col("_slot").isin(*cuts)).withColumn("split", by_slot)
-    if cuts:
-        cut_slots = sorted(set(cuts))
-        offset = F.lit(0)
-        for slot in cut_slots:
-            offset = F.when(F.col("_slot") == slot, F.lit(base[slot])).otherwise(offset)
-        rank = offset + F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", key))
-        ranked = rows.filter(F.col("_slot").isin(*cut_slots)).withColumn("_rank", rank)
-        ranked = ranked.withColumn("split", F.when(F.col("_rank") <= first, "test")
-                                   .when(F.col("_rank") <= second, "validation")
-                                   .otherwise("train")).drop("_rank")
-        assigned = assigned.unionByName(ranked)
-    return assigned.drop("_hash", "_slot")
+    second = min(n, first + max(1, int(n * validation)))
+    slots = sorted({_slot_of(rows, first), _slot_of(rows, second)}, key=lambda s: len(s[0]))
+    # one slot may lie in the other: the wider one ranks for both
+    slots = [s for i, s in enumerate(slots) if not any(s[0].startswith(t[0]) for t in slots[:i])]
+
+    def where_in(value) -> Column:
+        inside = F.lit(None).cast("int")
+        for prefix, before in slots:
+            inside = F.when(F.startswith("_hash", F.lit(prefix)), F.lit(value(prefix, before))).otherwise(inside)
+        return inside
+
+    ranked_slot, base = where_in(lambda p, _: slots.index((p, _))), where_in(lambda _, before: before)
+
+    def before_cut(position: int) -> Column:
+        prefix = next(p for p, b in reversed(sorted(slots)) if b < position)
+        return F.col("_hash") < prefix
+
+    by_hash = F.when(before_cut(first), "test").when(before_cut(second), "validation").otherwise("train")
+    rows = rows.withColumn("_slot", ranked_slot)
+    assigned = rows.filter(F.col("_slot").isNull()).withColumn("split", by_hash)
+    place = base + F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", key))
+    ranked = rows.filter(F.col("_slot").isNotNull()).withColumn("_rank", place)
+    ranked = ranked.withColumn("split", F.when(F.col("_rank") <= first, "test").when(
+        F.col("_rank") <= second, "validation").otherwise("train")).drop("_rank")
+    return assigned.unionByName(ranked).drop("_hash", "_slot")
 
 
 def confusion(prediction: Column, label: Column) -> list[Column]:
