@@ -279,8 +279,8 @@ def _more_heads(members: DataFrame, threshold: float) -> DataFrame:
     heads = (members.groupBy("t", "key").agg(*[head(i).alias(f"h{i}") for i in range(HEADS)])
              .select("t", "key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")))
     met = members.join(stored(heads, "heads"), ["t", "key"]).where("component <> h.component").withColumn("hn", F.col("h.n"))
-    return stored(met.where(_can_match(threshold, "n", "hn")).select(
-        F.least("unit", "h.unit").alias("a"), F.greatest("unit", "h.unit").alias("b")).distinct(), "heads")
+    return met.where(_can_match(threshold, "n", "hn")).select(
+        F.least("unit", "h.unit").alias("a"), F.greatest("unit", "h.unit").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     links = stored(_verified(docs, stars, units, k, threshold), "links")
     few, many = _open(shared, links)
     if many.limit(1).count():
-        heads = _more_heads(many, threshold).join(stars, ["a", "b"], "left_anti")
+        heads = stored(_more_heads(many, threshold).join(stars, ["a", "b"], "left_anti"), "heads")
         stars = stored(stars.unionByName(heads), "stars")
         links = stored(links.unionByName(_verified(docs, heads, units, k, threshold)), "links")
         few, many = _open(shared, links)
