@@ -32,12 +32,13 @@ COSINE = 0.95
 #: Points a shard should hold, bound on the number of shards, vectors that the centres are fitted on.
 SHARD, MOST_SHARDS, SAMPLE = 2000, 16_384, 20_000
 #: A point also belongs to shards whose centre's cosine is at most this much below its home's.
-OVERLAP = 0.15
+OVERLAP = 0.1
 #: Neighbours looked at and kept when the graph is built, pruning factor, width of the beam.
 POOL, FAR, DEGREE, ALPHA, BEAM = 32, 16, 24, 1.2, 32
 #: Audited searches of a shard, and how often it is searched again with doubled sizes.
 AUDIT, RETRIES = 64, 4
-BLOCK = 512
+#: Searches that walk together; pairs looked at in one piece.
+BLOCK, EDGE = 512, 16_384
 
 
 def centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -101,6 +102,14 @@ def _table(lists: list[np.ndarray], n: int) -> np.ndarray:
     return table
 
 
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, a bounded piece at a time."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), EDGE):
+        out[lo:lo + EDGE] = np.einsum("ij,ij->i", x[a[lo:lo + EDGE]], x[b[lo:lo + EDGE]])
+    return out
+
+
 def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start: int, cosine: float,
                  beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in `queries`, point) with cosine in range, found along the graph.
@@ -131,7 +140,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, star
             key = np.unique(rr.astype(np.int64) * n + pp)
             rr, pp = key // n, key % n
             seen[rr, pp] = True
-            s = np.einsum("ij,ij->i", x[q[rr]], x[pp])
+            s = _dots(x, q[rr], pp)
             # merge: the new points of each query beside its beam, the best of both stay
             counts = np.bincount(rr, minlength=len(q))
             wide = int(counts.max()) if len(rr) else 0
@@ -148,18 +157,26 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, star
         rr, pp = np.nonzero(hit)[0], ids[hit]
         # the point's own place is in range and may lie where the beam did not come
         key = np.unique(np.r_[rr.astype(np.int64) * n + pp, rows.astype(np.int64) * n + q])
-        inside = key
+        inside, edge = [key], [key]
         looked = np.zeros((len(q), n), bool)
         looked[key // n, key % n] = True
-        while len(key):
+        while edge:
+            # a dense group is walked a piece of its edge at a time, whatever its size
+            key = edge.pop()
+            if len(key) > EDGE:
+                edge.append(key[EDGE:])
+                key = key[:EDGE]
             near = adjacency[key % n]
             rr, pp = np.repeat(key // n, near.shape[1]), near.ravel().astype(np.int64)
             fresh = ~looked[rr, pp]
             fresh_key = np.unique(rr[fresh] * n + pp[fresh])
             rr, pp = fresh_key // n, fresh_key % n
             looked[rr, pp] = True
-            key = fresh_key[np.einsum("ij,ij->i", x[q[rr]], x[pp]) >= cosine]
-            inside = np.r_[inside, key]
+            key = fresh_key[_dots(x, q[rr], pp) >= cosine]
+            if len(key):
+                inside.append(key)
+                edge.append(key)
+        inside = np.concatenate(inside)
         rr, pp = inside // n, inside % n
         own = pp == q[rr]
         found_q.append(rr[~own] + lo)
