@@ -127,7 +127,7 @@ def stream_pairs(spark, folder):
     st.run_to_end(st.pair_stream(asked, answered).writeStream.format("parquet")
                   .option("path", out).option("checkpointLocation", _folder(spark, "offsets"))
                   .outputMode("append").trigger(**st.AVAILABLE_NOW).start())
-    return spark.read.parquet(out).select("flow_id", "asked", "answered")
+    return spark.read.parquet(out).filter("asked IS NOT NULL").select("flow_id", "asked", "answered")
 
 
 @query("stream_alerts", ORACLES.get("critical_alerts", "").replace("AND id > 100", "") or None)

@@ -149,13 +149,18 @@ def rollup_stream(events: DataFrame) -> DataFrame:
 
 
 def pair_stream(requests: DataFrame, responses: DataFrame, late: str = "10 minutes",
-                reply_within: str = "1 hour") -> DataFrame:
-    """Requests with their responses in flight; watermarks let finished pairs leave the state."""
-    q = requests.withWatermark("request_ts", late)
-    a = responses.withWatermark("response_ts", late).withColumnRenamed("flow_id", "_flow")
+                reply_within: str = "1 hour", keep_unmatched: bool = True) -> DataFrame:
+    """Responses with their requests in flight; watermarks let finished pairs leave the state.
+
+    As in the batch form a response without a request is kept, with nulls for the request: it
+    comes out once the watermark has passed the time in which its request could have come.
+    """
+    q = requests.withWatermark("request_ts", late).withColumnRenamed("flow_id", "_asked_flow")
+    a = responses.withWatermark("response_ts", late)
     return q.join(a, F.expr(
-        f"flow_id = _flow AND response_ts >= request_ts "
-        f"AND response_ts <= request_ts + INTERVAL {reply_within}"), "inner").drop("_flow")
+        f"_asked_flow = flow_id AND response_ts >= request_ts "
+        f"AND response_ts <= request_ts + INTERVAL {reply_within}"),
+        "rightOuter" if keep_unmatched else "inner").drop("_asked_flow")
 
 
 def alert_stream(events: DataFrame, notify: Callable[[DataFrame, int], None], checkpoint: str,

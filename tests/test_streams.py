@@ -45,6 +45,17 @@ def test_chunks_out_of_order_over_batches(spark, tmp_path):
     assert got == {"a": (3, b"abc"), "b": (2, b"0" + big)}
 
 
+def test_unmatched_responses_come_after_the_watermark(spark, tmp_path):
+    day = "2024-01-0{} 10:0{}:00".format
+    kind = "flow_id string, ts string, text string"
+    asked = parts(spark, tmp_path, "asked", [[("a", day(1, 0), "q")], [("z", day(5, 0), "q")], [("y", day(6, 0), "q")]], kind)
+    told = parts(spark, tmp_path, "told", [[("a", day(1, 1), "r"), ("b", day(1, 2), "r")], [("w", day(5, 0), "r")], [("v", day(6, 0), "r")]], kind)
+    at = lambda df, name, text: df.select("flow_id", F.to_timestamp("ts").alias(name), F.col("text").alias(text))
+    pairs = st.pair_stream(at(asked, "request_ts", "asked"), at(told, "response_ts", "answered"))
+    got = {r["flow_id"]: r["asked"] for r in run(pairs, tmp_path).collect()}
+    assert got["a"] == "q" and "b" in got and got["b"] is None
+
+
 def test_alerts_come_once_and_not_from_history(spark, tmp_path):
     batches = [[(i, "response", "critical" if i % 2 else "clean") for i in range(n, n + 4)] for n in (0, 4, 8)]
     rows = parts(spark, tmp_path, "events", batches, "id long, direction string, label string")
