@@ -132,7 +132,7 @@ def json_leaves(text: str) -> Column:
     literals = (f"filter(regexp_extract_all({text}, {regex_literal(_JSON_STRING)}, 0), "
                 f"v -> NOT endswith(v, ':'))")
     return F.expr(
-        f"CASE WHEN try_parse_json({text}) IS NOT NULL THEN "
+        f"CASE WHEN from_json({text}, 'variant', map('maxStringLen', '2147483647')) IS NOT NULL THEN "
         f"from_json(concat('[', array_join({literals}, ','), ']'), 'array<string>', "
         f"map('maxStringLen', '2147483647')) END")
 

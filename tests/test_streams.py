@@ -108,3 +108,10 @@ def test_chat_keys_late_in_the_text(spark):
     from leakscope.functions import text as tx
     late = spark.createDataFrame([("x" * 10_000 + '{"messages": []}',), ("x" * 10_000,)], "t string")
     assert [r[0] for r in late.select(tx.looks_chat("t")).collect()] == [True, False]
+
+
+def test_json_strings_of_any_length_are_flattened(spark):
+    from leakscope.functions import text as tx
+    body = spark.range(1).select(F.expr("concat('{\"k\": \"', repeat('x', 21000000), '\", \"n\": [\"y\"]}')").alias("b"), F.lit("application/json").alias("c"))
+    flat = body.select(tx.flatten_json("b", "c").alias("t")).select(F.length("t"), F.right("t", F.lit(2))).first()
+    assert tuple(flat) == (21_000_002, "\ny")
