@@ -53,7 +53,8 @@ def shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
         held = F.count_distinct("rid")
     shared = (keyed.groupBy("h1", "h2").agg(F.min("rid").alias("first"), held.alias("held"))
               .where(F.col("held") >= least_docs).select("h1", "h2", "first"))
-    return (keyed.join(shared, ["h1", "h2"]).where("rid <> first")
+    # stored, so that its join is one of two shuffled sides and a very common line can be split
+    return (keyed.join(stored(shared, "shared"), ["h1", "h2"]).where("rid <> first")
             .groupBy("rid", "name").agg(F.array_sort(F.collect_set("pos")).alias("drop")))
 
 
