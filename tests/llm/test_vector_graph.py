@@ -59,3 +59,24 @@ def test_awkward_vectors(spark):
     assert all(by[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10))
     assert vg.link_vectors(frame(spark, rows).limit(0))["vectors"].count() == 0
     assert vg.link_vectors(frame(spark, rows[3:7]))["vectors"].count() == 4
+
+
+def links_of(spark, x, shard=150):
+    out = vg.link_vectors(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), shard=shard)
+    return out, {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out["vectors"].collect()}
+
+
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(vg, "BLOCK_VALUES", 1)
+    monkeypatch.setattr(vg, "LEAST_BLOCK", 60)
+
+
+def test_links_across_shard_borders_are_all_found(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 3)).astype(np.float32)  # no clusters: every border cuts through links
+    out, got = links_of(spark, x, 40)
+    want = brute(list(range(len(x))), x)
+    assert got == want
+    audit = out["audit"].first()
+    assert audit["found"] == audit["there"] > 0
