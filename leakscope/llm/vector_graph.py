@@ -95,6 +95,14 @@ def layout(sizes: pd.DataFrame, count: int, most: int) -> dict[str, np.ndarray]:
     block, filled = 0, 0
     for shard, points, core, least in sizes.sort_values("shard")[["shard", "points", "core", "least"]].itertuples(index=False):
         out["radius"][shard] = _angle(least)
+        if points > most:
+            if filled:
+                block, filled = block + 1, 0
+            out["rim"][shard], out["rims"][shard] = block, math.ceil((points - core) / most)
+            block += out["rims"][shard]
+            out["inner"][shard], out["inners"][shard] = block, math.ceil(core / most)
+            block += out["inners"][shard]
+            continue
         if filled + points > most:
             block, filled = block + 1, 0
         out["rim"][shard], out["rims"][shard] = block, 1
@@ -115,7 +123,7 @@ def _place(middle: dict[int, np.ndarray], cosine: float):
                         here = at[lo:lo + TILE]
                         s = _unit(frame["vector"].iloc[here]) @ middle[width].T
                         shard[here], own[here] = s.argmax(1), s.max(1)
-            yield frame.assign(shard=shard, own=own, core=False)
+            yield frame.assign(shard=shard, own=own, core=own >= inner)
     return run
 
 

@@ -80,3 +80,26 @@ def test_links_across_shard_borders_are_all_found(spark, monkeypatch):
     assert got == want
     audit = out["audit"].first()
     assert audit["found"] == audit["there"] > 0
+
+
+def test_a_dense_group_is_split_and_dealt_once(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(12)
+    tight = rng.normal(size=16) + 0.02 * rng.normal(size=(500, 16))
+    loose = rng.normal(size=16) + 0.17 * rng.normal(size=(400, 16))
+    x = np.vstack([tight, loose, rng.normal(size=(300, 16))]).astype(np.float32)
+    compare = vg._compare
+    accumulated = spark.sparkContext.accumulator(0)
+
+    def counted(cosine):
+        run = compare(cosine)
+
+        def one(part):
+            assert len(part) <= 2 * 60 * 2  # salted: about the bound, never the group
+            accumulated.add(len(part))
+            return run(part)
+        return one
+    monkeypatch.setattr(vg, "_compare", counted)
+    _, got = links_of(spark, x, 50)
+    assert got == brute(list(range(len(x))), x)
+    assert accumulated.value < 24 * len(x)  # 24 centres; the tight group meets no copy of itself
