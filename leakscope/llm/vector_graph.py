@@ -248,9 +248,6 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, shard: int = SHA
     # one vec_id may come with several vectors: places are numbered by their vector
     points = stored(equal.select(F.xxhash64("vector").alias("point"), F.size("vector").alias("width"), "vector", "copies", "first"), "points")
 
-    # only the most frequent length is linked
-    most = points.groupBy("width").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "width").limit(1).select("width")
-    points = points.join(F.broadcast(most), "width")
     many = {r["width"]: r["count"] for r in points.groupBy("width").count().where(F.col("count") > shard).collect()}
     total, middle = sum(many.values()), {}
     if many:

@@ -103,3 +103,15 @@ def test_a_dense_group_is_split_and_dealt_once(spark, monkeypatch):
     _, got = links_of(spark, x, 50)
     assert got == brute(list(range(len(x))), x)
     assert accumulated.value < 24 * len(x)  # 24 centres; the tight group meets no copy of itself
+
+
+def test_each_length_links_among_itself(spark):
+    rng = np.random.default_rng(13)
+    wide, thin = rng.normal(size=(120, 8)), rng.normal(size=(60, 3))
+    x = [*wide, *thin, *thin[:10], *(2 * thin[10:20]), wide[0]]
+    _, got = links_of(spark, [v.astype(np.float32) for v in x], 20)
+    ids = {8: [i for i, v in enumerate(x) if len(v) == 8], 3: [i for i, v in enumerate(x) if len(v) == 3]}
+    want = {}
+    for some in ids.values():
+        want |= brute(some, [x[i].astype(np.float32) for i in some])
+    assert got == want and sum(n for i, (n, _) in want.items() if len(x[i]) == 3) > 0
