@@ -13,7 +13,9 @@ So a text of a million parts yields as many rows, and no bin is larger than its
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,9 +34,9 @@ STRONG = (
 #: Weak parts: (kind, role, pattern, group). They count only beside a complementary role.
 WEAK = (
     ("ident", "identifier", r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", 0),
-    ("weakpass", "secret", r"\b(?:password|passwd|pwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])", 0),
-    ("opaque", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/=_-])", 0),
-    ("endpoint", "endpoint", r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,300}", 0),
+    ("weakpass", "secret", r"\b(?:password|passwd|pwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{4,})", 0),
+    ("opaque", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])", 0),
+    ("endpoint", "endpoint", r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}", 0),
 )
 KINDS = tuple(k for k, *_ in STRONG) + tuple(k for k, *_ in WEAK)
 ROLE = {kind: role for kind, role, *_ in WEAK} | {"assign": "secret", "access": "identifier", "hex": "secret"}
@@ -65,11 +67,10 @@ def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
     out = []
     if not _CUES.search(text) and not _OPAQUE_CUE.search(text):
         return out
-    at = 0
+    starts, ends = [s for s, *_ in strong], list(accumulate((e for _, e, _ in strong), max))
     for start, end, kind in sorted((m.start(), m.end(), kind) for kind, p in _WEAK for m in p.finditer(text)):
-        while at < len(strong) and max(e for _, e, _ in strong[max(0, at - 3):at + 1]) <= start:
-            at += 1
-        if not any(s < end and start < e for s, e, _ in strong[max(0, at - 3):at + 8]):
+        before = bisect_left(starts, end)  # strong spans that begin before this one ends
+        if not before or ends[before - 1] <= start:
             out.append((start, end, kind))
     return out
 

@@ -52,3 +52,20 @@ def test_query_and_awkward_rows(spark, tmp_path):
     assert {r["base_sha256"] for r in got} == {"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
     assert sl.find_secrets(empty(spark)).count() == 0
     assert re.fullmatch(r"[0-9a-f]{64}", got[0]["base_sha256"])
+
+
+def test_weak_parts_of_any_length(spark):
+    key, url = "aB3" + "xY7z" * 40, "https://h.example/" + "p" * 600
+    docs = documents(spark, [
+        (1, "user=alice pwd=CorrectHorse1", "en", "s"), (2, "AKIA12345678901234 " + key, "en", "s"),
+        (3, url + " " + "y " * 60 + "pwd=hunter2", "en", "s"), (4, "user=alice password=abcdefghijklmnop", "en", "s")])
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["linked"]] for r in sl.find_secrets(docs).collect()}
+    assert got[1] == [("ident", 0, 10), ("weakpass", 11, 28)]
+    assert got[2] == [("opaque", 19, 19 + len(key))]
+    assert got[3] == [("endpoint", 0, len(url)), ("weakpass", len(url) + 121, len(url) + 132)]
+    assert got[4] == [("ident", 0, 10)]  # the long value is the strong kind's
+
+
+def test_a_weak_part_deep_in_a_long_strong_span_is_dropped():
+    text = "token=" + ".".join(["deadbeefdeadbeef"] * 12) + ".aB3" + "xY7z" * 8 + ".end"
+    assert not any(k == "opaque" for *_, k in sl.weak_spans(text, sl.strong_spans(text)))
