@@ -1,6 +1,6 @@
 """Byte-pair tokenizer: corpus statistics, training, encoding.
 
-Training works on the table of distinct words.  A round ranks the adjacent symbol pairs
+Training works on the table of distinct words, in the driver if it was counted to be short.  A round ranks the adjacent symbol pairs
 and merges every leading pair that cannot influence the others, which is what one pair
 per round would do, in far fewer passes.  Symbols of a word are kept as one
 space-separated string, so a merge is a ``regexp_replace``; a word never contains a space.
@@ -8,7 +8,9 @@ space-separated string, so a merge is a ``regexp_replace``; a word never contain
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +27,7 @@ RESERVED = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
 UNKNOWN = RESERVED["<unk>"]
 CANDIDATES = 64        # pairs looked at per round
 CHECKPOINT_EVERY = 6   # rounds
+LOCAL_WORDS = 100_000  # distinct words up to which the driver merges them itself
 TOKEN_TYPE = "array<struct<pos:int,id:int,start:int,end:int,surface:string>>"
 
 
@@ -106,6 +109,45 @@ class Tokenizer:
                    [(r["a"], r["b"]) for r in rows if r["part"] == "merge"])
 
 
+class FewWords:
+    """A short table of words: the same counts and merges without a Spark job for each round."""
+
+    def __init__(self, rows) -> None:
+        self.words = list(rows)
+        self.counts: Counter = Counter()
+        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for i in range(len(self.words)):
+            self._count(i, 1)
+
+    def _count(self, i: int, sign: int) -> None:
+        parts, n = self.words[i]
+        for pair in zip(parts, parts[1:]):
+            self.counts[pair] += sign * n
+            if sign > 0:
+                self.where[pair].add(i)
+            else:
+                self.where[pair].discard(i)
+                if not self.counts[pair]:
+                    del self.counts[pair]
+
+    def ranked(self, most: int) -> list[tuple[str, str, int]]:
+        """As the first rows of `ranked_pairs`."""
+        return [(a, b, n) for (a, b), n in heapq.nsmallest(most, self.counts.items(), key=lambda p: (-p[1], p[0]))]
+
+    def merge(self, pairs: list[tuple[str, str]]) -> None:
+        """As `merge_symbols`, in the words that hold the pair."""
+        for a, b in pairs:
+            for i in list(self.where[a, b]):
+                self._count(i, -1)
+                parts, out, at = self.words[i][0], [], 0
+                while at < len(parts):
+                    two = parts[at:at + 2] == [a, b]
+                    out.append(a + b if two else parts[at])
+                    at += 2 if two else 1
+                self.words[i] = (out, self.words[i][1])
+                self._count(i, 1)
+
+
 def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
           max_merges: int | None = None) -> Tokenizer:
     """Learn merges until the vocabulary is full or no pair occurs often enough."""
@@ -120,9 +162,12 @@ def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
     target = max(vocab_size, len(vocab) + 1)
     merges: list[tuple[str, str]] = []
     rounds = 0
+    few = None
+    if symbols.limit(LOCAL_WORDS + 1).count() <= LOCAL_WORDS:
+        few = FewWords((r["symbols"].split(" "), r["n"]) for r in symbols.toLocalIterator())
     while len(vocab) < target and (max_merges is None or len(merges) < max_merges):
-        ranked = [(r["a"], r["b"], r["n"]) for r in
-                  ranked_pairs(symbols).limit(CANDIDATES).collect()]
+        ranked = few.ranked(CANDIDATES) if few else [(r["a"], r["b"], r["n"]) for r in
+                                                     ranked_pairs(symbols).limit(CANDIDATES).collect()]
         if not ranked or ranked[0][2] < min_freq:
             break
         batch: list[tuple[str, str]] = []
@@ -134,6 +179,9 @@ def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
                 break
             vocab[a + b] = len(vocab)
         merges += batch
+        if few:
+            few.merge(batch)
+            continue
         symbols = symbols.select("n", merge_symbols("symbols", batch).alias("symbols"))
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:

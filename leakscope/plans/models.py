@@ -54,14 +54,13 @@ def most_frequent_pair(spark, folder):
     return tokenizer.ranked_pairs(tokenizer.as_symbols(frequency)).limit(1)
 
 
-def trained_tokenizer(spark, folder, merges=24):
-    frequency = tokenizer.word_frequency(_documents(spark, folder))
-    return tokenizer.train(frequency, vocab_size=1 << 20, max_merges=merges)
+def trained_tokenizer(spark, folder):
+    return tokenizer.train(tokenizer.word_frequency(_documents(spark, folder)))
 
 
 @query("bpe_merges")
 def bpe_merges(spark, folder):
-    """The first merges learned from all documents."""
+    """All merges of a full vocabulary, learned from all documents."""
     learned = trained_tokenizer(spark, folder)
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(learned.merges)],
                                  "rank int, a string, b string")
@@ -69,9 +68,9 @@ def bpe_merges(spark, folder):
 
 @query("bpe_encode")
 def bpe_encode(spark, folder):
-    """Token and unknown counts of each document under a small vocabulary."""
+    """Token and unknown counts of each document under a full vocabulary."""
     rows = tokenizer.encode(_documents(spark, folder).select("doc_id", "text"),
-                            trained_tokenizer(spark, folder, 16))
+                            trained_tokenizer(spark, folder))
     return rows.select("doc_id", F.size("tokens").alias("tokens"), F.expr(
         "size(filter(tokens, t -> t.id = 1))").alias("unknown"))
 
@@ -434,18 +433,22 @@ def synth_corpus_scan(spark, folder):
 def _model_rows(spark, folder):
     """Documents and their token rows; the split is settled before the texts are cut up."""
     samples = evaluate.split_three(synthetic(spark, folder))
-    encoded = tokenizer.encode(samples, trained_tokenizer(spark, folder, 16))
+    encoded = tokenizer.encode(samples, trained_tokenizer(spark, folder))
     rows = token_model.token_rows(encoded, spans="spans", keep=("split",))
     return samples.select("doc_id", "label"), rows
 
 
+#: Regularisation of the candidates, in powers of ten around the default.
+STRENGTHS = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
+
+
 @query("model_select")
 def model_select(spark, folder):
-    """Token models of two strengths and their validation F1."""
+    """Token models of six strengths and their validation F1."""
     documents, rows = _model_rows(spark, folder)
     _, table_of_fits = token_model.select_model(
         rows.filter("split = 'train'"), rows.filter("split = 'validation'"), documents,
-        max_iter=5)
+        grid=STRENGTHS)
     return table_of_fits
 
 
@@ -453,7 +456,7 @@ def model_select(spark, folder):
 def token_model_scores(spark, folder):
     """Document scores of a fitted token model on the test part, blended with the scan."""
     documents, rows = _model_rows(spark, folder)
-    model = token_model.fit(rows.filter("split = 'train'"), max_iter=5)
+    model = token_model.fit(rows.filter("split = 'train'"))
     tier2 = token_model.score_documents(token_model.score_tokens(
         rows.filter("split = 'test'"), model))
     texts = synthetic(spark, folder).join(tier2.withColumnRenamed("score", "t2"), "doc_id")

@@ -49,3 +49,22 @@ def test_sql_functions(spark):
     want = cl.scan_texts(df).select(F.col("re_score").alias("s"), scan.public_hits("re_hits").alias("h")).collect()
     assert [(r["s"], r["h"]) for r in got] == [(r["s"], r["h"]) for r in want]
     assert [r["l"] for r in got][1:] == ["clean", "clean"] and got[0]["l"] != "clean"
+
+
+def test_few_words_merge_as_the_table_does(spark, monkeypatch):
+    texts = spark.createDataFrame([("banana bandana aaaaa aaaa a.b a.b $x$x (c)(c) Éé éé",), ("banana aaaaa ana an",)], "text string")
+    frequency = tokenizer.word_frequency(texts)
+    here = tokenizer.train(frequency, vocab_size=60)
+    monkeypatch.setattr(tokenizer, "LOCAL_WORDS", 0)
+    there = tokenizer.train(frequency, vocab_size=60)
+    assert here.merges == there.merges and here.vocab == there.vocab and len(here.merges) > 8
+
+
+def test_the_query_trains_a_full_vocabulary(spark, tiny):
+    from leakscope.plans.models import trained_tokenizer
+    learned = trained_tokenizer(spark, tiny)
+    if len(learned.vocab) < 4000:  # full, or no pair is left that occurs twice
+        words = [(tokenizer._spell(r["word"], {p: i for i, p in enumerate(learned.merges)}), r["n"]) for r in
+                 tokenizer.word_frequency(spark.read.parquet(f"{tiny}/documents.parquet")).collect()]
+        assert tokenizer.FewWords(words).ranked(1)[0][2] < 2
+    assert len(learned.merges) > 24
