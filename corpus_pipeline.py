@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leakscope.llm import toxic_grammar
 from leakscope.llm.common import stored, table
-from leakscope.llm.contain import drop_contaminated
+from leakscope.llm.contain import drop_contaminated_rows
 from leakscope.llm.kd_shards import shard
 from leakscope.llm.mix import mix
 from leakscope.llm.order_minhash import drop_near_duplicates
@@ -19,13 +19,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    """One document of each group of near duplicates, the one of the smallest doc_id, or
+    where no document of the group has a doc_id, one of them."""
     return drop_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, with or without ids."""
+    return drop_contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     `docs` (doc_id, text), `items` (item_id, text). An item counts as held if at least the
     share `containment` of its distinct word shingles occurs in the document. Null, empty and
     wordless texts hold nothing and are held by nothing. Rows that share a doc_id are one
-    document, rows that share an item_id one item; a row without doc_id is not reported, as it
-    cannot be named. One row per pair; other columns are not looked at.
+    document, rows that share an item_id one item; a row without doc_id or item_id is not reported,
+    as it cannot be named. One row per pair; other columns are not looked at.
     """
     items = stored(item_shingles(items.where("item_id is not null"), k), "shingles")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most k values
@@ -120,3 +120,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CO
     """`docs` without those that hold an item; rows without doc_id stay."""
     held = contaminated(docs, items, containment).select("doc_id").distinct()
     return without(docs, stored(held, "contaminated"))
+
+
+def drop_contaminated_rows(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """As `drop_contaminated`, but rows without an id count too: each of `docs` by its own text,
+    and each of `items` as an item of its own."""
+    key = F.coalesce(F.concat(F.lit("i"), F.col("item_id").cast("string")), F.concat(F.lit("t"), F.xxhash64(text_of()).cast("string")))
+    items = items.select(key.alias("item_id"), "text")
+    named = drop_contaminated(docs.where("doc_id is not null"), items, containment)
+    nameless = docs.where("doc_id is null")
+    if not nameless.limit(1).count():
+        return named
+    by_text = F.xxhash64(text_of())
+    held = small_side(stored(contaminated(nameless.select(by_text.alias("doc_id"), "text"), items, containment)
+                             .select(F.col("doc_id").alias("held")).distinct(), "contaminated"))
+    return named.unionByName(nameless.join(held, by_text == held["held"], "left_anti").select(*docs.columns))

@@ -183,6 +183,8 @@ def _kmers_of(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
     hashed = (docs.withColumn("rid", row_id()).join(ids, "rid", "left_semi")
               .transform(_hashed_docs))
     grams = hashed.mapInArrow(_kmer_batches(k), "rid long, unit long, grams array<long>")
+    if ids.where(F.col("rid") == NO_ID).limit(1).count():
+        grams = grams.dropDuplicates(["rid", "unit"])  # rows without id may come with many copies
     # a doc_id may come with several texts: only those named; equal rows count once
     return (grams.join(units.select(F.col("rep").alias("rid"), "unit").distinct(), ["rid", "unit"], "left_semi")
             .select("unit", "grams"))
@@ -292,8 +294,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     together, named by the smallest doc_ids with their words.
 
     Null or wordless texts resemble nothing and are kept. Rows that share a doc_id are one
-    document: they share a class. Rows without a doc_id count as one document that sorts last
-    (class_id null when alone). Repeated rows are repeated in the result. Other columns are
+    document: they share a class. A row without a doc_id is a document of its own text that sorts
+    last (class_id null where no row of the class has one); copies of it are kept or not together.
+    `nameless` has unit, kept of such rows. Repeated rows are repeated in the result. Other columns are
     not looked at.
     """
     docs = docs.select("doc_id", "text")
@@ -332,6 +335,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     names = units.select("unit", "rep")
     named = stored(links.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b")
                    .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity"), "named")
+    nameless = stored(found.where(F.col("rid") == NO_ID), "nameless")
+    if nameless.limit(1).count():
+        classes, kept = _classes_without_ids(found, worded, units, links, nameless)
+        return {"classes": classes, "links": named, "nameless": kept}
     # texts that share a doc_id meet there, copies at their unit's smallest doc_id
     by_unit = worded.select("rid", "unit").distinct().join(names, "unit")
     edges = named.select("a", "b").unionByName(by_unit.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")))
@@ -344,16 +351,62 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     classes = one.select(
         none("rid").alias("doc_id"), none("class_id").alias("class_id"),
         (F.col("rid") == F.col("class_id")).alias("kept"))
-    return {"classes": classes, "links": named}
+    return {"classes": classes, "links": named, "nameless": nameless.select("unit", F.lit(True).alias("kept"))}
+
+
+def _classes_without_ids(found: DataFrame, worded: DataFrame, units: DataFrame, links: DataFrame,
+                         nameless: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes where rows lack a doc_id, and (unit, kept) of the worded ones among them.
+
+    A node is (last, id): a doc_id, or behind all of those the unit of a text that only rows
+    without doc_id have.
+    """
+    key = lambda rid: F.struct((F.col(rid) == NO_ID).alias("last"), F.when(F.col(rid) == NO_ID, F.col("unit")).otherwise(F.col(rid)).alias("id"))
+    reps = stored(units.select("unit", key("rep").alias("key")), "reps")
+    named = found.where(F.col("rid") != NO_ID)
+    met = worded.where(F.col("rid") != NO_ID).select("unit", key("rid").alias("a")).distinct()
+    edges = (links.join(reps.toDF("a", "ka"), "a").join(reps.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+             .unionByName(met.join(reps, "unit").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"))))
+    whole = components(edges)
+    rows = (named.select("rid", "n", "unit", key("rid").alias("key"))
+            .unionByName(nameless.join(reps, "unit", "left").select("rid", "n", "unit", "key")))
+    one = stored(rows.join(whole, rows["key"] == whole["node"], "left")
+                 .select("rid", "n", "unit", "key", F.coalesce("component", "key").alias("class")), "classes")
+    alone = (F.col("rid") == NO_ID) & (F.col("n") == 0)
+    # a text that also stands under a doc_id is not kept a second time
+    kept = alone | ((F.col("class") == F.col("key")) & ((F.col("rid") != NO_ID) | F.col("key.last")))
+    classes = one.select(
+        F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"),
+        F.when(~alone & ~F.col("class.last"), F.col("class.id")).alias("class_id"),
+        F.coalesce(kept, F.lit(False)).alias("kept"))
+    return classes, one.where((F.col("rid") == NO_ID) & (F.col("n") > 0)).select("unit", kept.alias("kept")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one row of each class: the smallest doc_id, and of repeated rows one."""
-    classes = stored(near_duplicates(docs, threshold)["classes"], "classes")
+    """`docs` with one row of each class: the smallest doc_id, and of repeated rows one. Rows
+    without doc_id are dropped by their texts; of a class of such rows alone, one stays."""
+    found = near_duplicates(docs, threshold)
+    classes = stored(found["classes"], "classes")
+    whole, docs = docs, docs.where("doc_id is not null")
     out = without(docs, classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     twice = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = stored(twice, "repeated")
     if twice.limit(1).count():
         again = docs.join(small_side(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
         out = without(out, twice).unionByName(again)
+    rest = whole.where("doc_id is null")
+    if rest.limit(1).count():
+        out = out.unionByName(_one_of_each_text(rest, stored(found["nameless"], "kept")))
     return out
+
+
+def _one_of_each_text(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows without doc_id: one of each kept unit, and all without words."""
+    by_text = F.xxhash64(text_of())
+    units = stored(_hashed_docs(rows.select(by_text.alias("doc_id"), "text")).mapInArrow(
+        _sketch_batches(K, TABLES, PICKED), "rid long, unit long, n int, keys array<long>").select("rid", "unit", "n"), "texts")
+    wordless = units.where("n = 0").select("rid").distinct()
+    chosen = units.where("n > 0").join(kept.where("kept").select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min("rid").alias("rid"))
+    name = rows.withColumn("__text", by_text)
+    pick = lambda ids: name.join(small_side(stored(ids.select(F.col("rid").alias("__text")), "chosen")), "__text", "left_semi")
+    return (pick(chosen).dropDuplicates(["__text"]).unionByName(pick(wordless))).select(*rows.columns)

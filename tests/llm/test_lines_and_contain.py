@@ -90,3 +90,12 @@ def test_contained_awkward_rows(spark):
     assert ct.contaminated(empty(spark), items).count() == 0 and ct.contaminated(awkward(spark), items.limit(0)).count() == 0
     left = ct.drop_contaminated(awkward(spark), items)
     assert left.columns == awkward(spark).columns and left.count() == 9
+
+
+def test_rows_without_id_are_filtered(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (None, "red green blue black white grey")], "item_id long, text string")
+    docs = documents(spark, [(1, "say one two three four five six", "en", "s"), (2, "a red green blue black white grey b", "en", "s"), (3, "fine", "en", "s"),
+                             (None, "one two three four five six", "en", "s"), (None, "red green blue black white grey", "en", "s"), (None, "fine too", "en", "s"), (None, None, "en", "s")])
+    left = ct.drop_contaminated_rows(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in left.collect())) == [(0, ""), (0, "fine too"), (3, "fine")]

@@ -111,3 +111,16 @@ def test_one_row_of_each_class_stays(spark):
     ids = sorted((r["doc_id"] for r in left.collect() if r["doc_id"] is not None))
     assert ids == [1, 3, 4, 5, 6, 7, 8, 9]
     assert om.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = documents(spark, [(5, a, "en", "s"), (9, b, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"),
+                             (None, c, "en", "s"), (None, c, "en", "s"), (None, c + " tail", "en", "s"), (None, None, "en", "s"), (None, "", "en", "s")])
+    got = om.near_duplicates(docs)["classes"].collect()
+    assert {(r["doc_id"], r["class_id"], r["kept"]) for r in got if r["doc_id"]} == {(5, 5, True), (9, 9, True)}
+    assert sorted(r["class_id"] for r in got if r["doc_id"] is None and r["class_id"]) == [5, 9] and len(got) == 9
+    left = om.drop_near_duplicates(docs)
+    texts = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert left.columns == docs.columns and len(texts) == 5 and {(5, a), (9, b), (None, None), (None, "")} < set(texts)
+    assert len([t for _, t in texts if t and t.startswith("c0")]) == 1
