@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from leakscope.llm import chat_format, lang_id, toxic_grammar
 from leakscope.llm.common import table
 from leakscope.llm.contain import contaminated
+from leakscope.llm.filter_audit import audit_filters
 from leakscope.llm.kd_shards import shard
 from leakscope.llm.line_dedup import drop_shared_lines
 from leakscope.llm.mix import mixed
 from leakscope.llm.order_minhash import near_duplicates
+from leakscope.llm.piece_codec import encode_documents
 from leakscope.llm.secret_links import all_spans, find_secrets
+from leakscope.llm.simplex_clusters import cluster_vectors
 from leakscope.llm.vector_graph import link_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +189,74 @@ def op10_toxic_grammar(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxic_grammar.learn(docs, table(spark, folder, "labels"))
     return toxic_grammar.score_documents(docs, model, with_clauses=False).drop("clauses")
+
+
+def _cluster_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """A table of centroids (c) and one of the nearest (a) for each round."""
+    parts = ["""k AS (SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+             f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM k
+  QUALIFY c < {clusters})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT r, min(CAST(list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)
+    * {clusters} + m.c) AS best FROM k, c{i} m GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT best % {clusters} AS c, dim, sum(v[dim]) AS s, count(*) AS n
+    FROM (SELECT best, v, unnest(range(1, 65)) AS dim FROM a{i} JOIN k USING (r)) GROUP BY 1, 2),
+c{i + 1} AS (SELECT m.c, coalesce(f.v, m.v) AS v FROM c{i} m LEFT JOIN (
+    SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY dim) AS v FROM s{i} GROUP BY c) f USING (c))""")
+    return f"""WITH {', '.join(parts)},
+d AS (SELECT k.vec_id, CAST(best % {clusters} AS INT) AS cluster, best // {clusters} AS distance FROM a{rounds} JOIN k USING (r))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} m ON m.c = d.cluster"""
+
+
+@query("op11_simplex_clusters", _cluster_sql())
+def op11_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every integer vector after three rounds, and the digest of its centroid."""
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op12_piece_codec")
+def op12_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the pieces of every document and of what they decode to."""
+    import public_tokenizers
+    coded = encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+@query("op13_filter_audit", r"""
+WITH RECURSIVE l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(doc_id > first, first IS NOT NULL) THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, CAST(step AS INT) AS step, o[step] AS x, o[1:step - 1] AS earlier
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)),
+seen AS (SELECT part, filter_order, step, x, n, good, toxic, failed, contains(failed, x) AS fails,
+    regexp_matches(failed, '[' || earlier || '-]') AS gone FROM cells, steps),
+told AS (SELECT part, filter_order, step, x,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (failed = x), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM told
+""")
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters does at each step of every order, by source."""
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
