@@ -218,44 +218,51 @@ def _load_batches(bins):
 def _prefix_batches(load, threshold):
     def run(batches):
         for batch in batches:
-            at, flat = _lists(batch.column(1))
-            units, grams, places = [], [], []
-            for unit, lo, hi in zip(batch.column(0).to_numpy(), at[:-1], at[1:]):
+            at, flat = _lists(batch.column(3))
+            rows, grams, places = [], [], []
+            for row, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
                 own = flat[lo:hi]
                 keep = len(own) - math.ceil(len(own) * threshold - 1e-9) + 1
                 first = np.lexsort((own, load[own.astype(np.uint64) % np.uint64(len(load))]))[:keep]
-                units.append(np.full(len(first), unit))
+                rows.append(np.full(len(first), row))
                 grams.append(own[first])
                 places.append(np.arange(len(first)))
-            joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (units, grams, places)]
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in joined], names=["unit", "gram", "i"])
+            row, gram, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams, places))
+            own = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(3)]
+            yield pa.record_batch([*own, pa.array(gram, pa.int64()), pa.array(place, pa.int32())],
+                                  names=["unit", "component", "n", "gram", "i"])
     return run
 
 
 def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
     """All pairs of `members` (unit, component, n) in different components that can reach the
     threshold: in any common order of k-mers, such pairs share one of their first
-    n - ceil(threshold * n) + 1. The order puts k-mers in rarely filled bins of a hash first."""
-    named = units.join(members.select("unit").distinct(), "unit").select("unit", "rep")
-    grams = stored(_kmers_of(docs, named, k), "postings")
+    n - ceil(threshold * n) + 1, and the shorter text of a pair has it among still fewer. The
+    order puts k-mers in rarely filled bins of a hash first.
+
+    A unit's component and size are joined to it before its k-mers are listed, and k-mers of one
+    component alone, or of no text that could be the shorter one, are left out before any join."""
+    members = stored(members.select("unit", "component", "n").distinct(), "members")
+    named = units.join(members.select("unit"), "unit").select("unit", "rep")
+    grams = stored(_kmers_of(docs, named, k).join(members, "unit").select("unit", "component", "n", "grams"), "postings")
     counted = (grams.select("grams").mapInArrow(_load_batches(BINS), "bin long, load long")
                .groupBy("bin").agg(F.sum("load").alias("load")).toPandas())  # at most BINS rows
     load = np.zeros(BINS, dtype=np.int64)
     load[counted["bin"].to_numpy()] = counted["load"].to_numpy()
-    rare = (grams.select("unit", "grams").mapInArrow(_prefix_batches(load, threshold), "unit long, gram long, i long")
-            .join(members.select("unit", "component", "n").distinct(), "unit"))
-    rare = stored(rare, "rare")
-    # a k-mer whose documents are all in one component yields nothing: leave it out early
-    mixed = (rare.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("gram"))
-    rare = rare.join(mixed, "gram", "left_semi")
-    left = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "a"), ("i", "ia"), ("component", "ca"), ("n", "na"))])
+    # so many k-mers a text shares at least with one that is not shorter
+    least = F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold)) - 1e-9)
+    rare = stored(grams.mapInArrow(_prefix_batches(load, threshold), "unit long, component long, n int, gram long, i int")
+                  .withColumn("shorter", F.col("n") - F.col("i") >= least), "rare")
+    mixed = stored(rare.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("shorter").alias("some"))
+                   .where("lo <> hi and some").select("gram"), "mixed")
+    rare = stored(rare.join(mixed, "gram", "left_semi"), "shared")
+    left = rare.where("shorter").select("gram", *[F.col(c).alias(x) for c, x in (("unit", "a"), ("i", "ia"), ("component", "ca"), ("n", "na"))])
     right = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "b"), ("i", "ib"), ("component", "cb"), ("n", "nb"))])
     # the first k-mer that two texts share, by rarity, leaves at most so many more to share
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-    return (left.join(right, "gram").where("a < b and ca <> cb").where(_can_match(threshold)).where(enough)
-            .select("a", "b").distinct())
+    return (left.join(right, "gram").where("na <= nb and ca <> cb").where(_can_match(threshold)).where(enough)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _open(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
