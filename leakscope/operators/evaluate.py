@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions import scoring
+from leakscope.functions.tokens import STRIDE, WINDOW
 
 # --- fixed values ------------------------------------------------------------
 THRESHOLDS = (0.50, 0.40, 0.30, 0.25, 0.20, 0.15, 0.10, 0.05)
@@ -103,6 +104,16 @@ def binary_metrics(rows: DataFrame, prediction: str = "prediction",
     return with_rates(rows.agg(*confusion(F.col(prediction), F.col(label))))
 
 
+def token_metrics(windowed: DataFrame, width: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Token-level confusion and rates over overlapping windows (pos, window, prediction, label).
+
+    A token that lies in two windows counts in the first of them only: in any window but the
+    first one, the leading width - stride tokens are masked.
+    """
+    own = (F.col("window") == 0) | (F.col("pos") >= F.col("window") * stride + (width - stride))
+    return binary_metrics(windowed.where(own))
+
+
 def document_predictions(tokens: DataFrame, key: str = "doc_id",
                          prediction: str = "prediction") -> DataFrame:
     """A document is positive when any of its tokens is."""

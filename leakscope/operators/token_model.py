@@ -7,6 +7,10 @@ outputs are the same, and both fit and scoring are distributed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.tokens import (
+    N_FEATURES,
     STRIDE,
     WINDOW,
     overlaps_any,
@@ -22,6 +27,7 @@ from leakscope.functions.tokens import (
     window_ids,
 )
 from leakscope.operators import evaluate as ev
+from leakscope.session import written
 
 HASH_SIZE = 1 << 14
 
@@ -81,19 +87,160 @@ def score_documents(token_scores: DataFrame, key: str = "doc_id", width: int = W
     return ev.document_scores(ev.window_scores(placed, key), key)
 
 
+# --- all strengths at once ----------------------------------------------------
+# Features of a token: its shapes, the buckets of its three terms, and a constant.
+
+def feature_rows(rows: DataFrame, keep: tuple[str, ...] = ("doc_id", "label")) -> DataFrame:
+    """What the solver and the scores of a model path read of token rows: shape, buckets."""
+    buckets = F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(HASH_SIZE)).cast("int"))
+    return rows.select(*keep, "shape", buckets.alias("buckets"))
+
+
+def _margins(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shapes, buckets and the margin of each token under each column of weights."""
+    shape = batch.column("shape").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    buckets = batch.column("buckets").flatten().to_numpy(zero_copy_only=False).reshape(len(shape), -1)
+    margin = shape @ weights[:N_FEATURES] + weights[-1]
+    for i in range(buckets.shape[1]):
+        margin += weights[N_FEATURES + buckets[:, i]]
+    return shape, buckets, margin
+
+
+def _gradients(weights: np.ndarray):
+    """Loss (at -1) and gradient of each feature, summed over a task, for each column of weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss = np.zeros_like(weights), np.zeros(weights.shape[1])
+        for batch in batches:
+            shape, buckets, margin = _margins(batch, weights)
+            label = batch.column("label").to_numpy(zero_copy_only=False)[:, None]
+            loss += (np.logaddexp(0, margin) - label * margin).sum(0)
+            rest = 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - label
+            total[:N_FEATURES] += shape.T @ rest
+            total[-1] += rest.sum(0)
+            for j in range(weights.shape[1]):
+                for i in range(buckets.shape[1]):
+                    total[N_FEATURES:-1, j] += np.bincount(buckets[:, i], rest[:, j], HASH_SIZE)
+        at = np.flatnonzero(total.any(1))
+        values = np.concatenate([loss[None], total[at]])
+        yield pa.record_batch([pa.array(np.r_[-1, at], pa.int32()), *(pa.array(values[:, j]) for j in range(weights.shape[1]))],
+                              names=["feature", *(f"g{j}" for j in range(weights.shape[1]))])
+    return run
+
+
+class _Steps:
+    """Limited-memory quasi-Newton directions of one strength."""
+
+    def __init__(self, kept: int = 10) -> None:
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.kept = kept
+
+    def learn(self, moved: np.ndarray, turned: np.ndarray) -> None:
+        if moved @ turned > 1e-12:
+            self.pairs = [*self.pairs, (moved, turned)][-self.kept:]
+
+    def direction(self, gradient: np.ndarray) -> np.ndarray:
+        q, undo = gradient.copy(), []
+        for s, y in reversed(self.pairs):
+            undo.append((s @ q) / (s @ y))
+            q -= undo[-1] * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(1.0, float(np.linalg.norm(q)))
+        for (s, y), a in zip(self.pairs, reversed(undo)):
+            q += (a - (y @ q) / (s @ y)) * s
+        return -q
+
+
+def fit_path(rows: DataFrame, strengths: tuple[float, ...], max_iter: int = 20) -> np.ndarray:
+    """Weights (feature x strength) of logistic regressions that share every pass over ``rows``.
+
+    ``rows``: feature rows, written once. A pass is one aggregate: each task sums its gradients for
+    all strengths, Spark sums the tasks, and the driver sees as many numbers as there are weights.
+    The mean loss plus strength / 2 times the squared weights (not of the constant) goes down by
+    quasi-Newton steps; a step that does not go down enough is halved, for its strength alone.
+    """
+    count, positive = rows.agg(F.count("*"), F.sum("label")).first()
+    reg = np.array(strengths)
+    weights = np.zeros((N_FEATURES + HASH_SIZE + 1, len(reg)))
+    if not count:
+        return weights
+    rate = min(max((positive or 0.0) / count, 1e-9), 1 - 1e-9)
+    weights[-1] = np.log(rate / (1 - rate))
+    names = [f"g{j}" for j in range(len(reg))]
+    schema = "feature int, " + ", ".join(f"{n} double" for n in names)
+
+    def passed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        told = rows.select("label", "shape", "buckets").mapInArrow(_gradients(w), schema).groupBy("feature").agg(
+            *[F.sum(n).alias(n) for n in names]).toPandas()
+        values, at = told[names].to_numpy() / count, told["feature"].to_numpy()
+        slope = np.zeros_like(w)
+        slope[at[at >= 0]] = values[at >= 0]
+        slope[:-1] += reg * w[:-1]
+        return values[at < 0].sum(0) + reg / 2 * (w[:-1] ** 2).sum(0), slope
+
+    steps = [_Steps() for _ in reg]
+    loss, slope = passed(weights)
+    for _ in range(max_iter):
+        go = np.stack([s.direction(slope[:, j]) for j, s in enumerate(steps)], axis=1)
+        down = (go * slope).sum(0)
+        size = np.where(down < -1e-12, 1.0, 0.0)
+        if not size.any():
+            break
+        for _ in range(6):
+            there = weights + size * go
+            new_loss, new_slope = passed(there)
+            bad = (new_loss > loss + 1e-4 * size * down) & (size > 0)
+            if not bad.any():
+                break
+            size[bad] /= 2
+        size[bad] = 0
+        for j, s in enumerate(steps):
+            if size[j]:
+                s.learn(there[:, j] - weights[:, j], new_slope[:, j] - slope[:, j])
+                weights[:, j], slope[:, j], loss[j] = there[:, j], new_slope[:, j], new_loss[j]
+            elif s.pairs:
+                steps[j] = _Steps()   # start again downhill
+    return weights
+
+
+def _path_scores(weights: np.ndarray, keep: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *_, margin = _margins(batch, weights)
+            p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+            lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), p.ravel())
+            yield pa.record_batch([*(batch.column(k) for k in keep), lists], names=[*keep, "p"])
+    return run
+
+
+def score_path(rows: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id", "label")) -> DataFrame:
+    """P(sensitive) of each token under each column of weights: ``keep`` columns and ``p``."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in keep) + ", p array<double>"
+    return rows.select(*keep, "shape", "buckets").mapInArrow(_path_scores(weights, keep), schema)
+
+
+def path_predictions(scored: DataFrame, strengths: tuple[float, ...], key: str = "doc_id") -> DataFrame:
+    """reg, key, prediction: a document is positive when any of its tokens is."""
+    best = scored.groupBy(key).agg(*[F.max(F.col("p")[j] >= 0.5).alias(f"b{j}") for j in range(len(strengths))])
+    each = ", ".join(f"named_struct('reg', {reg!r}D, 'prediction', cast(b{j} AS int))" for j, reg in enumerate(strengths))
+    return best.select(key, F.expr(f"inline(array({each}))")).select("reg", key, "prediction")
+
+
 def select_model(train: DataFrame, validation: DataFrame, documents: DataFrame,
                  grid: tuple[float, ...] = (1e-4, 1e-2), key: str = "doc_id",
-                 max_iter: int = 20):
-    """Fit one candidate per regularisation; keep the best validation document F1, the first
-    of equals.  ``documents``: key, label.  Returns (model, table of candidates)."""
-    best, best_f1, table = None, -1.0, []
-    for reg in grid:
-        model = fit(train, reg, max_iter)
-        predicted = ev.document_predictions(score_tokens(validation, model), key)
-        metrics = ev.binary_metrics(documents.join(predicted, key)).first().asDict()
-        table.append((reg, metrics["f1"], metrics["precision"], metrics["recall"]))
-        if metrics["f1"] > best_f1:
-            best, best_f1 = model, metrics["f1"]
-    spark = train.sparkSession
-    return best, spark.createDataFrame(
-        table, "reg double, f1 double, precision double, recall double")
+                 max_iter: int = 20) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Fit all strengths together; keep the best validation document F1, the first of equals.
+
+    ``train``, ``validation``: feature rows; ``documents``: key, label. Returns the weights of the
+    best (one column), the table of candidates, and the written validation predictions.
+    """
+    weights = fit_path(train, grid, max_iter)
+    predicted = written(path_predictions(score_path(validation, weights, (key,)), grid, key)
+                        .join(documents.select(key, "label"), key), "predictions")
+    table = ev.with_rates(predicted.groupBy("reg").agg(*ev.confusion(F.col("prediction"), F.col("label"))))
+    f1 = {r["reg"]: r["f1"] for r in table.select("reg", "f1").collect()}   # one row for each strength
+    best = max(range(len(grid)), key=lambda j: (f1.get(grid[j], -1.0), -j))
+    return weights[:, [best]], table.select("reg", "f1", "precision", "recall"), predicted

@@ -1,33 +1,37 @@
 """Byte-pair tokenizer: corpus statistics, training, encoding.
 
-Training works on the table of distinct words, in the driver if it was counted to be short.  A round ranks the adjacent symbol pairs
-and merges every leading pair that cannot influence the others, which is what one pair
-per round would do, in far fewer passes.  Symbols of a word are kept as one
-space-separated string, so a merge is a ``regexp_replace``; a word never contains a space.
+Training works on the table of distinct words, dealt out to as many tasks of one barrier stage as
+it takes for none to hold more than WORDS_PER_TASK. A task indexes, for its words, which hold a
+symbol pair. All tasks keep the same pair counts; a round merges every leading pair that cannot
+influence the others, which is what one pair per round would do, in fewer rounds. Each task
+touches only the words that hold these pairs, and tells the others by how much its pair counts
+changed. The driver holds no words; what all tasks hold grows with the distinct pairs.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakscope.functions.tokens import END_OF_WORD, words
 from leakscope.operators.classify import pinned
-from leakscope.session import cut_lineage
+from leakscope.session import written
 
 # --- fixed values ------------------------------------------------------------
 RESERVED = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
 UNKNOWN = RESERVED["<unk>"]
-CANDIDATES = 64        # pairs looked at per round
-CHECKPOINT_EVERY = 6   # rounds
-LOCAL_WORDS = 100_000  # distinct words up to which the driver merges them itself
+WORDS_PER_TASK = 1_000_000   # some hundred bytes each in a training task
 TOKEN_TYPE = "array<struct<pos:int,id:int,start:int,end:int,surface:string>>"
 
 
@@ -58,38 +62,6 @@ def ranked_pairs(symbols: DataFrame) -> DataFrame:
     return pair_frequency(symbols).orderBy(F.col("n").desc(), "a", "b")
 
 
-def independent_prefix(ranked: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
-    """Leading pairs that share no symbol: merging them one by one takes a most frequent
-    pair at every step.
-
-    A pair born from a merge is at most as frequent as an older pair it shares a symbol
-    with, and that one ranks behind the prefix.  Among equals the older pair goes first.
-    """
-    used: set[str] = set()
-    size = 0
-    for a, b, _ in ranked:
-        if a in used or b in used:
-            break
-        used.update((a, b))
-        size += 1
-    return ranked[:size]
-
-
-def merge_symbols(symbols: str, pairs: list[tuple[str, str]]) -> Column:
-    """Merge pairs one after the other, each from left to right without overlap."""
-    rules = F.array(*[F.struct(
-        F.lit(f"{a} {b}").alias("needle"),
-        F.lit(rf"(?<![^ ]){_quote(a)} {_quote(b)}(?![^ ])").alias("pattern"),
-        F.lit(re.sub(r"([\\$])", r"\\\1", a + b)).alias("merged")) for a, b in pairs])
-    return F.aggregate(rules, F.col(symbols), lambda s, rule: F.when(
-        F.contains(s, rule["needle"]),
-        F.regexp_replace(s, rule["pattern"], rule["merged"])).otherwise(s))
-
-
-def _quote(symbol: str) -> str:
-    return "".join(c if c.isalnum() or ord(c) > 127 else f"\\x{ord(c):02x}" for c in symbol)
-
-
 @dataclass
 class Tokenizer:
     vocab: dict[str, int]
@@ -109,100 +81,163 @@ class Tokenizer:
                    [(r["a"], r["b"]) for r in rows if r["part"] == "merge"])
 
 
-class FewWords:
-    """A short table of words: the same counts and merges without a Spark job for each round."""
+def merged(parts: list[str], a: str, b: str) -> list[str]:
+    """`parts` with each a b made one symbol, from left to right without overlap."""
+    out, at, last = [], 0, len(parts) - 1
+    while at <= last:
+        if parts[at] == a and at < last and parts[at + 1] == b:
+            out.append(a + b)
+            at += 2
+        else:
+            out.append(parts[at])
+            at += 1
+    return out
 
-    def __init__(self, rows) -> None:
-        self.words = list(rows)
-        self.counts: Counter = Counter()
-        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
-        for i in range(len(self.words)):
-            self._count(i, 1)
-
-    def _count(self, i: int, sign: int) -> None:
-        parts, n = self.words[i]
-        for pair in zip(parts, parts[1:]):
-            self.counts[pair] += sign * n
-            if sign > 0:
-                self.where[pair].add(i)
-            else:
-                self.where[pair].discard(i)
-                if not self.counts[pair]:
-                    del self.counts[pair]
 
-    def ranked(self, most: int) -> list[tuple[str, str, int]]:
-        """As the first rows of `ranked_pairs`."""
-        return [(a, b, n) for (a, b), n in heapq.nsmallest(most, self.counts.items(), key=lambda p: (-p[1], p[0]))]
+class Shard:
+    """The words of one task and where each symbol pair stands, or stood, in them."""
+
+    def __init__(self, words: list[tuple[list[str], int]]) -> None:
+        self.words = words
+        self.where: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.changed: Counter = Counter()
+        for i, (parts, n) in enumerate(words):
+            for pair in zip(parts, parts[1:]):
+                self.changed[pair] += n
+                self.where[pair].append(i)
 
     def merge(self, pairs: list[tuple[str, str]]) -> None:
-        """As `merge_symbols`, in the words that hold the pair."""
         for a, b in pairs:
-            for i in list(self.where[a, b]):
-                self._count(i, -1)
-                parts, out, at = self.words[i][0], [], 0
-                while at < len(parts):
-                    two = parts[at:at + 2] == [a, b]
-                    out.append(a + b if two else parts[at])
-                    at += 2 if two else 1
-                self.words[i] = (out, self.words[i][1])
-                self._count(i, 1)
+            new = a + b
+            for i in dict.fromkeys(self.where.pop((a, b), ())):
+                old, n = self.words[i]
+                parts = merged(old, a, b)
+                if len(parts) == len(old):
+                    continue   # another merge has taken the pair since
+                self.words[i] = parts, n
+                for pair in zip(old, old[1:]):
+                    self.changed[pair] -= n
+                for pair in zip(parts, parts[1:]):
+                    self.changed[pair] += n
+                    if new in pair:
+                        self.where[pair].append(i)
+
+    def changes(self) -> Counter:
+        """By how much the counts changed since this was last asked."""
+        out, self.changed = self.changed, Counter()
+        return out
+
+
+class Leaders:
+    """Counts of all pairs, most frequent first, of equals by name."""
+
+    def __init__(self) -> None:
+        self.counts: Counter = Counter()
+        self.queue: list[tuple[int, str, str]] = []
+
+    def add(self, changes: dict[tuple[str, str], int]) -> None:
+        for pair, n in changes.items():
+            if n:
+                self.counts[pair] += n
+                if self.counts[pair]:
+                    heapq.heappush(self.queue, (-self.counts[pair], *pair))
+                else:
+                    del self.counts[pair]
+
+    def independent(self, most: int, min_freq: int, known: set[str]) -> list[tuple[str, str]]:
+        """Leading pairs that share no symbol: merging them one by one takes a most frequent pair
+        at every step.
+
+        A pair born from a merge is at most as frequent as an older pair it shares a symbol with,
+        and that one ranks behind these. Among equals the older pair goes first. A pair that
+        grows a symbol there already is ends the run, as its other pairs need a new count.
+        """
+        out, used = [], set()
+        while self.queue and len(out) < most:
+            n, a, b = self.queue[0]
+            if -n != self.counts.get((a, b), 0):
+                heapq.heappop(self.queue)   # counted anew since
+                continue
+            if -n < min_freq or a in used or b in used:
+                break
+            heapq.heappop(self.queue)       # its new count comes back as a change
+            out.append((a, b))
+            used.update((a, b))
+            if a + b in known:
+                break
+            known.add(a + b)
+        return out
+
+
+def learn_merges(shard: Shard, together: Callable[[Counter], dict], alphabet: list[str],
+                 vocab_size: int, min_freq: int, max_merges: int | None) -> list[tuple[str, str]]:
+    """Merges until the vocabulary is full or no pair occurs often enough. ``together`` sums the
+    changes of all shards."""
+    known = set(RESERVED) | set(alphabet)
+    target = max(vocab_size, len(known) + 1)
+    leaders, merges = Leaders(), []
+    while len(known) < target and (max_merges is None or len(merges) < max_merges):
+        leaders.add(together(shard.changes()))
+        most = target - len(known)
+        batch = leaders.independent(most if max_merges is None else min(most, max_merges - len(merges)), min_freq, known)
+        if not batch:
+            break
+        shard.merge(batch)
+        merges += batch
+    return merges
+
+
+def _trained(alphabet, vocab_size, min_freq, max_merges):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        alone = len(context.getTaskInfos()) == 1
+
+        def together(own: Counter) -> Counter:
+            if alone:
+                return own
+            total: Counter = Counter()
+            for told in context.allGather(json.dumps([[a, b, n] for (a, b), n in own.items() if n])):
+                for a, b, n in json.loads(told):
+                    total[a, b] += n
+            return total
+
+        words = [(s.split(" "), n) for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        learned = learn_merges(Shard(words), together, alphabet, vocab_size, min_freq, max_merges)
+        if context.partitionId() == 0:
+            yield pa.record_batch([pa.array(range(len(learned)), pa.int32()), pa.array([a for a, _ in learned], pa.string()),
+                                   pa.array([b for _, b in learned], pa.string())], names=["rank", "a", "b"])
+    return run
 
 
 def train(frequency: DataFrame, vocab_size: int = 4000, min_freq: int = 2,
           max_merges: int | None = None) -> Tokenizer:
-    """Learn merges until the vocabulary is full or no pair occurs often enough."""
-    # spread by number: a size-based coalesce would leave the small word table in one task
-    width = int(frequency.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    symbols = cut_lineage(as_symbols(frequency).select("n", "symbols").repartition(width))
-    singles = [r[0] for r in symbols.select(F.explode(F.split("symbols", " ")).alias("s"))
-               .distinct().orderBy("s").collect()]   # the alphabet
+    """Learn merges until the vocabulary is full or no pair occurs often enough.
+
+    The tasks of the barrier stage run at once; one of them alone waits for nobody, several wait
+    about a second for each other in a round. If one is lost, Spark runs the stage again from the
+    written words.
+    """
+    symbols = written(as_symbols(frequency).select("symbols", "n"), "symbols")
+    alphabet = [r[0] for r in symbols.select(F.explode(F.split("symbols", " ")).alias("s"))
+                .distinct().orderBy("s").collect()]   # the characters that occur
+    dealt = symbols.repartition(max(1, -(-symbols.count() // WORDS_PER_TASK)), "symbols")
+    merges = [(r["a"], r["b"]) for r in dealt.mapInArrow(
+        _trained(alphabet, vocab_size, min_freq, max_merges), "rank int, a string, b string", barrier=True).orderBy("rank").collect()]
     vocab = dict(RESERVED)
-    for symbol in singles:
+    for symbol in [*alphabet, *(a + b for a, b in merges)]:
         vocab.setdefault(symbol, len(vocab))
-    target = max(vocab_size, len(vocab) + 1)
-    merges: list[tuple[str, str]] = []
-    rounds = 0
-    few = None
-    if symbols.limit(LOCAL_WORDS + 1).count() <= LOCAL_WORDS:
-        few = FewWords((r["symbols"].split(" "), r["n"]) for r in symbols.toLocalIterator())
-    while len(vocab) < target and (max_merges is None or len(merges) < max_merges):
-        ranked = few.ranked(CANDIDATES) if few else [(r["a"], r["b"], r["n"]) for r in
-                                                     ranked_pairs(symbols).limit(CANDIDATES).collect()]
-        if not ranked or ranked[0][2] < min_freq:
-            break
-        batch: list[tuple[str, str]] = []
-        for a, b, n in independent_prefix(ranked):
-            if n < min_freq or len(vocab) >= target or len(merges) + len(batch) == max_merges:
-                break
-            batch.append((a, b))
-            if a + b in vocab:   # grows an existing symbol: its pairs need a new count
-                break
-            vocab[a + b] = len(vocab)
-        merges += batch
-        if few:
-            few.merge(batch)
-            continue
-        symbols = symbols.select("n", merge_symbols("symbols", batch).alias("symbols"))
-        rounds += 1
-        if rounds % CHECKPOINT_EVERY == 0:
-            symbols = cut_lineage(symbols)
     return Tokenizer(vocab, merges)
 
 
 def _spell(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of one word, merging the earliest learned pair first.
-
-    The word is one string of symbols between spaces, as in training, so a merge is a replace.
-    """
-    line, done = " ".join([*word, END_OF_WORD]), -1
+    """Symbols of one word, merging the earliest learned pair first."""
+    parts, done = [*word, END_OF_WORD], -1
     while True:
-        parts = line.split()
-        later = {rank[p]: p for p in zip(parts, parts[1:]) if rank.get(p, -1) > done}
+        later = [(r, pair) for pair in zip(parts, parts[1:]) if (r := rank.get(pair, -1)) > done]
         if not later:
             return parts
-        done = min(later)
-        a, b = later[done]
-        line = re.sub(rf"(?<!\S){re.escape(a)} {re.escape(b)}(?!\S)", lambda m: m[0].replace(" ", ""), line)
+        done, pair = min(later)
+        parts = merged(parts, *pair)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([

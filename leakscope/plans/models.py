@@ -11,6 +11,7 @@ from leakscope.operators import corpus, evaluate, intent_model, token_model, tok
 from leakscope.operators import classify as cl
 from leakscope.plans import inputs as inp
 from leakscope.plans.registry import query
+from leakscope.session import written
 from leakscope.sources.tables import table
 
 _WORDS = "regexp_extract_all(lower(text), '\\S+')"
@@ -431,11 +432,12 @@ def synth_corpus_scan(spark, folder):
 
 
 def _model_rows(spark, folder):
-    """Documents and their token rows; the split is settled before the texts are cut up."""
+    """Documents and their feature rows, tokenised once and written."""
     samples = evaluate.split_three(synthetic(spark, folder))
     encoded = tokenizer.encode(samples, trained_tokenizer(spark, folder))
     rows = token_model.token_rows(encoded, spans="spans", keep=("split",))
-    return samples.select("doc_id", "label"), rows
+    rows = token_model.feature_rows(rows, ("doc_id", "split", "pos", "n", "label"))
+    return samples.select("doc_id", "label"), written(rows, "tokens")
 
 
 #: Regularisation of the candidates, in powers of ten around the default.
@@ -446,7 +448,7 @@ STRENGTHS = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 def model_select(spark, folder):
     """Token models of six strengths and their validation F1."""
     documents, rows = _model_rows(spark, folder)
-    _, table_of_fits = token_model.select_model(
+    _, table_of_fits, _ = token_model.select_model(
         rows.filter("split = 'train'"), rows.filter("split = 'validation'"), documents,
         grid=STRENGTHS)
     return table_of_fits
@@ -454,11 +456,34 @@ def model_select(spark, folder):
 
 @query("token_model_scores")
 def token_model_scores(spark, folder):
-    """Document scores of a fitted token model on the test part, blended with the scan."""
-    documents, rows = _model_rows(spark, folder)
-    model = token_model.fit(rows.filter("split = 'train'"))
-    tier2 = token_model.score_documents(token_model.score_tokens(
-        rows.filter("split = 'test'"), model))
+    """Score of every document under a token model fitted on the training part, blended with the scan."""
+    _, rows = _model_rows(spark, folder)
+    weights = token_model.fit_path(rows.filter("split = 'train'"), (1e-4,))
+    scored = token_model.score_path(rows, weights, ("doc_id", "pos", "n")).withColumn("p", F.col("p")[0])
+    tier2 = token_model.score_documents(scored)
     texts = synthetic(spark, folder).join(tier2.withColumnRenamed("score", "t2"), "doc_id")
     scored = cl.classify_requests(texts.drop("label"), tier2="t2", windows="windows")
     return scored.select("doc_id", "label", "tier2_score", "sensitivity")
+
+
+_SHAPE = "regexp_matches(word, '\\p{Nd}')"
+
+
+@query("token_metrics", f"""WITH {_WORD_ROWS},
+    judged AS (SELECT (contains(word, '.') OR {_SHAPE})::INT AS prediction,
+        (contains(word, '@') OR contains(word, '://'))::INT AS label FROM words),
+    counts AS (SELECT count(*) FILTER (prediction = 1 AND label = 1) AS tp,
+        count(*) FILTER (prediction = 0 AND label = 0) AS tn,
+        count(*) FILTER (prediction = 1 AND label = 0) AS fp,
+        count(*) FILTER (prediction = 0 AND label = 1) AS fn, count(*) AS n FROM judged),
+    rates AS (SELECT *, (tp + tn) / greatest(n, 1)::DOUBLE AS accuracy, tp / greatest(tp + fp, 1)::DOUBLE AS precision,
+        tp / greatest(tp + fn, 1)::DOUBLE AS recall FROM counts)
+    SELECT tp, tn, fp, fn, n, {_RATES} FROM rates""")
+def token_metrics(spark, folder):
+    """Confusion over the words of overlapping windows, each word counted in one of them."""
+    words = cl.pinned(_documents(spark, folder), w=tk.words("text")).select(
+        "doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    placed = words.select("pos", F.explode(tk.window_ids(F.col("pos"), F.col("n"))).alias("window"),
+                          (F.contains("word", F.lit(".")) | F.col("word").rlike(r"\p{Nd}")).cast("int").alias("prediction"),
+                          (F.contains("word", F.lit("@")) | F.contains("word", F.lit("://"))).cast("int").alias("label"))
+    return _round_f1(evaluate.token_metrics(placed))

@@ -51,20 +51,88 @@ def test_sql_functions(spark):
     assert [r["l"] for r in got][1:] == ["clean", "clean"] and got[0]["l"] != "clean"
 
 
-def test_few_words_merge_as_the_table_does(spark, monkeypatch):
-    texts = spark.createDataFrame([("banana bandana aaaaa aaaa a.b a.b $x$x (c)(c) Éé éé",), ("banana aaaaa ana an",)], "text string")
+def recount(words):
+    counts = {}
+    for parts, n in words:
+        for pair in zip(parts, parts[1:]):
+            counts[pair] = counts.get(pair, 0) + n
+    return counts
+
+
+def assert_greedy(learned, frequency):
+    """Every merge took a pair that no other exceeded, by a plain count of all words; nothing is left that occurs often enough."""
+    words = [([*word, "</w>"], n) for word, n in frequency]
+    for a, b in learned.merges:
+        counts = recount(words)
+        assert counts[a, b] == max(counts.values())
+        words = [(tokenizer.merged(parts, a, b), n) for parts, n in words]
+    return recount(words)
+
+
+def test_merges_equal_a_plain_recount(spark, monkeypatch):
+    texts = spark.createDataFrame([("banana bandana aaaaa aaaa a.b a.b $x$x (c)(c) Éé éé",), ("banana aaaaa ana an 日本 日本語 日本",)], "text string")
     frequency = tokenizer.word_frequency(texts)
-    here = tokenizer.train(frequency, vocab_size=60)
-    monkeypatch.setattr(tokenizer, "LOCAL_WORDS", 0)
-    there = tokenizer.train(frequency, vocab_size=60)
-    assert here.merges == there.merges and here.vocab == there.vocab and len(here.merges) > 8
+    learned = tokenizer.train(frequency)
+    left = assert_greedy(learned, [tuple(r) for r in frequency.collect()])
+    assert len(learned.merges) > 8 and max(left.values(), default=0) < 2
+    monkeypatch.setattr(tokenizer, "WORDS_PER_TASK", 6)   # three tasks
+    assert tokenizer.train(frequency, max_merges=6).merges == learned.merges[:6]
+    none = tokenizer.train(frequency.limit(0))
+    assert none.merges == [] and none.vocab == tokenizer.RESERVED
 
 
 def test_the_query_trains_a_full_vocabulary(spark, tiny):
     from leakscope.plans.models import trained_tokenizer
     learned = trained_tokenizer(spark, tiny)
-    if len(learned.vocab) < 4000:  # full, or no pair is left that occurs twice
-        words = [(tokenizer._spell(r["word"], {p: i for i, p in enumerate(learned.merges)}), r["n"]) for r in
-                 tokenizer.word_frequency(spark.read.parquet(f"{tiny}/documents.parquet")).collect()]
-        assert tokenizer.FewWords(words).ranked(1)[0][2] < 2
-    assert len(learned.merges) > 24
+    frequency = [tuple(r) for r in tokenizer.word_frequency(spark.read.parquet(f"{tiny}/documents.parquet")).collect()]
+    left = assert_greedy(tokenizer.Tokenizer(learned.vocab, learned.merges[:120]), frequency)
+    assert left and (len(learned.vocab) == 4000 or len(learned.merges) > 120)
+
+
+def feature_rows(spark, n=1500, seed=3):
+    """Tokens whose label hangs on one bucket and one shape, with some noise."""
+    import random
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        bucket, digit = rnd.randrange(40), rnd.random() < 0.3
+        label = float(rnd.random() < (0.9 if bucket < 8 or digit and bucket < 20 else 0.05))
+        rows.append((i // 10, "train" if i < n * 0.7 else "validation", label, [float(digit)] + [0.0] * 8, [bucket, 100 + rnd.randrange(50), 500]))
+    return spark.createDataFrame(rows, "doc_id long, split string, label double, shape array<double>, buckets array<int>")
+
+
+def test_fitted_path_is_the_optimum_of_each_strength(spark):
+    import numpy as np
+
+    from leakscope.operators import token_model as tm
+    rows = feature_rows(spark).repartition(3)
+    strengths = (1e-3, 1e-1)
+    weights = tm.fit_path(rows, strengths, max_iter=60)
+    x = np.zeros((1500, weights.shape[0]))
+    y = np.zeros(1500)
+    for k, r in enumerate(rows.collect()):
+        x[k, :9], x[k, -1], y[k] = r["shape"], 1, r["label"]
+        for b in r["buckets"]:
+            x[k, 9 + b] += 1
+    for j, reg in enumerate(strengths):
+        p = 1 / (1 + np.exp(-x @ weights[:, j]))
+        slope = x.T @ (p - y) / len(y) + reg * np.r_[weights[:-1, j], 0]
+        assert np.abs(slope).max() < 1e-4   # convex: no slope, no better weights
+    assert (tm.fit_path(rows.limit(0), strengths) == 0).all()
+
+
+def test_chosen_model_is_the_best_of_its_written_predictions(spark):
+    import duckdb
+
+    from leakscope.operators import token_model as tm
+    rows = feature_rows(spark, 3000)
+    documents = rows.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    grid = (1e-4, 1e-1, 10.0)
+    weights, table, predicted = tm.select_model(rows.where("split = 'train'"), rows.where("split = 'validation'"), documents, grid)
+    told = predicted.toPandas()
+    want = duckdb.sql("""SELECT reg, 2.0 * sum(prediction * label) / greatest(sum(prediction) + sum(label), 1) AS f1 FROM told GROUP BY reg""").fetchall()
+    got = {r["reg"]: r["f1"] for r in table.collect()}
+    assert len(want) == 3 and all(abs(got[reg] - f1) < 1e-9 for reg, f1 in want)
+    best = max(got.values())
+    again = tm.fit_path(rows.where("split = 'train'"), (next(r for r in grid if got[r] == best),))
+    assert abs(again - weights).max() < 1e-6
