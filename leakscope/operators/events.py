@@ -165,6 +165,45 @@ def critical_alerts(events: DataFrame, after_id: int = 0) -> DataFrame:
                          & (F.col("id") > after_id)).orderBy("id")
 
 
+def new_alerts(events: DataFrame, marks: str) -> DataFrame:
+    """Critical responses since the last look, oldest first.
+
+    ``marks`` is a folder of looks, one small table each with the highest event id seen. The first
+    look reports nothing, as all it sees is history; a restart goes on from the last mark. The
+    result is written with the mark's look and read from there, so that a repeated action does
+    not look again.
+    """
+    spark = events.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(marks)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath().getName() for f in there.listStatus(folder)] if there.exists(folder) else []
+    looks = sorted(int(name.removeprefix("look=")) for name in done if there.exists(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/{name}/mark/_SUCCESS")))
+    last = spark.read.parquet(f"{marks}/look={looks[-1]}/mark").first()["last"] if looks else None
+    at = f"{marks}/look={looks[-1] + 1 if looks else 0}"
+    found = critical_alerts(events, last) if last is not None else events.limit(0)
+    found.write.mode("overwrite").parquet(f"{at}/alerts")
+    newest = events.agg(F.max("id").alias("last")).select(F.greatest("last", F.lit(last)).alias("last") if last is not None else F.coalesce("last", F.lit(0)).alias("last"))
+    newest.write.mode("overwrite").parquet(f"{at}/mark")   # last: a look without its mark is done again
+    return spark.read.schema(found.schema).parquet(f"{at}/alerts").orderBy("id")
+
+
+CSV = {"header": "true", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
+       "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N"}
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """The export as CSV files with a header; quotes inside a value are doubled."""
+    rows.write.options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """An export as it was written: all columns are text but id and bytes_out."""
+    types = {"id": "bigint", "bytes_out": "bigint"}
+    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in EXPORT_COLUMNS)
+    return spark.read.schema(schema).options(**CSV).csv(path)
+
+
 def audit_event(spark: SparkSession, scope: str, ts: str) -> DataFrame:
     """The audit row of a purge, scored by the destructive scan of its statements."""
     text = ";\n".join(PURGE_SCOPES[scope]) + ";"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leakscope.functions import scoring
@@ -10,6 +12,7 @@ from leakscope.operators import events as ev
 from leakscope.operators import identity as idn
 from leakscope.plans import inputs as inp
 from leakscope.plans.registry import query
+from leakscope.session import checkpoint_dir
 from leakscope.sources.tables import table
 
 _LOG = f"WITH {inp.EVENTS_CTE}"
@@ -113,6 +116,40 @@ def export_rows(spark, folder):
     return rows.drop("summary", "sample")
 
 
+@query("export_csv", f"""{_LOG},
+    page AS (SELECT * FROM events_log WHERE {_SHOWN} >= 0.15),
+    named AS (SELECT doc_id, 0 AS part, nth, name, category FROM re_hits
+        UNION ALL SELECT doc_id, 1, nth, name, category FROM dc_hits),
+    listed AS (SELECT doc_id, string_agg(name, ';' ORDER BY part, nth) AS hit_names,
+        string_agg(category, ';' ORDER BY part, nth) AS hit_categories,
+        string_agg(DISTINCT category, ';' ORDER BY category) AS categories
+        FROM named GROUP BY doc_id)
+    SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, provider, host, method, path, label,
+        printf('%.4f', sensitivity) AS sensitivity,
+        printf('%.4f', effective_sensitivity) AS effective_sensitivity,
+        printf('%.4f', tier1_score) AS tier1_score, '0.0000' AS tier2_score,
+        printf('%.3f', intent_conf) AS intent_conf, intent, bytes_out, categories, hit_names,
+        hit_categories
+    FROM page JOIN listed ON listed.doc_id = page.id""")
+def export_csv(spark, folder):
+    """Every event of the export, written as CSV files and read back."""
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    ev.write_csv(ev.export_rows(inp.event_log(spark, folder, True)), path)
+    return ev.read_csv(spark, path).drop("summary", "sample")
+
+
+@query("new_alerts", f"""{_LOG}
+    SELECT id, provider FROM events_log WHERE direction = 'response' AND label = 'critical'
+        AND id > (SELECT avg(id) FROM events_log)""")
+def new_alerts(spark, folder):
+    """Alerts of a second look: the first one, at the older half of the events, sets the mark and reports none."""
+    events = inp.event_log(spark, folder, True)
+    last = events.agg(F.avg("id").alias("last"))
+    marks = f"{checkpoint_dir(spark)}/marks-{uuid.uuid4().hex}"
+    ev.new_alerts(events.join(last, F.col("id") <= F.col("last")).drop("last"), marks)
+    return ev.new_alerts(events, marks).select("id", "provider")
+
+
 @query("critical_alerts", f"""{_LOG}
     SELECT id, provider FROM events_log WHERE direction = 'response' AND label = 'critical'
         AND id > 100""")
@@ -210,12 +247,13 @@ def identity_masked(spark, folder):
 
 @query("identity_owned_check", f"""WITH {_SIGNALS}, {_QUALIFIED}
     SELECT DISTINCT c.tenant_id, c.kind, c.value FROM counted c JOIN owned o
-        USING (tenant_id, kind, value) WHERE c.tenant_id % 2 = 0""")
+        USING (tenant_id, kind, value)""")
 def identity_owned_check(spark, folder):
     """Which of the asked values are user-owned."""
-    asked = idn.count_signals(signal_rows(spark, folder)).filter("tenant_id % 2 = 0").select(
+    seen = idn.count_signals(signal_rows(spark, folder)).select(
         "tenant_id", "kind", F.when(F.col("kind") == "email", F.upper("value"))
         .otherwise(F.col("value")).alias("value"))
+    asked = seen.unionByName(seen.withColumn("value", F.concat(F.lit("not."), F.col("value"))))
     return idn.owned_by(asked, _owned(spark, folder))
 
 

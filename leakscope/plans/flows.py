@@ -57,7 +57,7 @@ def provider_lookup(spark, folder):
 
 _SITES_SQL = f"""
     sites AS (SELECT DISTINCT regexp_extract({_PAGE_HOST}, '[^.]+[.][^.]+$') AS host
-        FROM pages WHERE page_id % 3 = 0)"""
+        FROM pages WHERE length({_PAGE_HOST}) % 2 = 0)"""
 
 
 @query("provider_lookup_pages", f"""
@@ -67,7 +67,7 @@ _SITES_SQL = f"""
 def provider_lookup_pages(spark, folder):
     """Page hosts matched to a registry of sites taken from the pages themselves."""
     hosts = _page_hosts(spark, folder)
-    sites = hosts.filter("page_id % 3 = 0").select(
+    sites = hosts.filter("length(host) % 2 = 0").select(
         F.regexp_extract("host", "[^.]+[.][^.]+$", 0).alias("host")).distinct()
     registry = sites.select("host", F.col("host").alias("label"), F.lit(True).alias("enabled"))
     return rg.with_provider(hosts, registry).select("page_id", "host", "provider")
@@ -92,11 +92,11 @@ def registry_seed(spark, folder):
 
 _UPSERTS = (f"SELECT upper({_PAGE_HOST}) || ':8080' AS host, "
             f"CASE WHEN page_id % 2 = 0 THEN 'Site ' || {_PAGE_HOST} ELSE '  ' END AS label "
-            "FROM pages WHERE page_id % 5 = 0")
+            f"FROM pages WHERE length({_PAGE_HOST}) % 3 > 0")
 
 
 @query("registry_upsert", f"""
-    WITH existing AS (SELECT DISTINCT {_PAGE_HOST} AS host FROM pages WHERE page_id % 2 = 1),
+    WITH existing AS (SELECT DISTINCT {_PAGE_HOST} AS host FROM pages WHERE length({_PAGE_HOST}) % 2 = 1),
     asked AS ({_UPSERTS}),
     wanted AS (SELECT lower(split_part(host, ':', 1)) AS host,
         coalesce(nullif(trim(max(label)), ''), lower(split_part(host, ':', 1))) AS label
@@ -108,10 +108,10 @@ _UPSERTS = (f"SELECT upper({_PAGE_HOST}) || ':8080' AS host, "
 def registry_upsert(spark, folder):
     """Hosts added: known ones are relabelled and enabled again, their source stays."""
     hosts = _page_hosts(spark, folder)
-    existing = hosts.filter("page_id % 2 = 1").select("host").distinct().select(
+    existing = hosts.filter("length(host) % 2 = 1").select("host").distinct().select(
         "host", F.col("host").alias("label"), F.lit(False).alias("enabled"),
         F.lit("seed").alias("source"), F.lit(_CREATED).cast("timestamp").alias("created_at"))
-    asked = table(spark, folder, "pages").filter("page_id % 5 = 0").select(
+    asked = table(spark, folder, "pages").filter(F.expr(f"length({_PAGE_HOST}) % 3 > 0")).select(
         F.expr(f"upper({_PAGE_HOST}) || ':8080'").alias("host"),
         F.expr(f"CASE WHEN page_id % 2 = 0 THEN 'Site ' || {_PAGE_HOST} ELSE '  ' END")
         .alias("label"))

@@ -334,17 +334,17 @@ def path_gate(spark, folder):
     return rows.select("page_id", tx.non_model_path("path").alias("non_model"))
 
 
-_BLOB = inp.pick("doc_id", ["'1f8b08'", "'789c'", "'78da'", "'0001020304'", "''"])
-_BLOB_TEXT = "CASE WHEN doc_id % 5 = 4 THEN text ELSE left(text, 6) END"
+_MAGIC = inp.pick("doc_id", ["'1f8b08'", "'789c'", "'78da'", "''", "''"])
+#: Control bytes behind a whole text: as many as it has, or none.
+_CONTROLS = "repeat(chr(1), CASE WHEN doc_id % 5 = 3 THEN octet_length(text) ELSE 0 END)"
 
 
-@query("binary_body", f"""
-    SELECT doc_id, doc_id % 5 < 3 OR (doc_id % 5 = 3 AND
-        5.0 / (5 + strlen(left(text, 6))) > 0.3) AS looks_binary FROM documents""")
+@query("binary_body", """
+    SELECT doc_id, doc_id % 5 < 3 OR (doc_id % 5 = 3 AND strlen(text) > 0) AS looks_binary FROM documents""")
 def binary_body(spark, folder):
-    """Bodies that are compressed or full of control bytes."""
+    """Bodies that are compressed or full of control bytes; here these come last."""
     rows = table(spark, folder, "documents").select("doc_id", F.expr(
-        f"cast(concat(unhex({_BLOB}), cast({_BLOB_TEXT} AS binary)) AS binary)").alias("body"))
+        f"cast(concat(unhex({_MAGIC}), cast(text AS binary), cast({_CONTROLS} AS binary)) AS binary)").alias("body"))
     return rows.select("doc_id", tx.looks_binary("body").alias("looks_binary"))
 
 
