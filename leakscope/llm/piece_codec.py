@@ -25,8 +25,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Characters of parts that a worker remembers, and of one such part; of texts looked at in one piece.
-REMEMBERED, LONG_PART, PIECE = 1 << 23, 256, 1 << 20
+#: Characters of parts in each of the two halves of what a worker remembers, and of one such part;
+#: of texts looked at in one piece.
+REMEMBERED, LONG_PART, PIECE = 6 << 20, 256, 1 << 20
 #: Symbols up to which the agenda is a list that is searched, beyond a heap.
 SHORT = 48
 
@@ -49,19 +50,24 @@ class Codec(dict):
         # characters that some piece has before a space
         self.glued = "".join({p[i - 1] for p in pieces for i in range(1, len(p)) if p[i] == SPACE and p[i - 1] != SPACE})
         self.cut = re.compile(f"(?<=[^{SPACE}{re.escape(self.glued)}])(?={SPACE})" if self.glued else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.held, self.new, self.wrong = 0, [], set()
+        self.held, self.new, self.wrong, self.old = 0, [], set(), {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return np.array(ids, np.int32).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        out = self.merge(part)
-        self.new.append((part, out))
+        out = self.old.pop(part, None)
+        if out is None:
+            out = self.merge(part)
+            self.new.append(part)
+        self._remember(part, out)
+        return out
+
+    def _remember(self, part: str, out: bytes) -> None:
         if len(part) <= LONG_PART:
             self[part] = out
             self.held += len(part)
-        return out
 
     def parts(self, normal: str) -> list[str]:
         return self.cut.split(normal) if self.glued else self.cut.findall(normal)
@@ -133,14 +139,16 @@ class Codec(dict):
 
     def _compare(self) -> None:
         """New parts, as the library encodes them; it puts the space before a text itself."""
-        new = [(p, ids) for p, ids in self.new if p[0] == SPACE and len(p) > 1]
-        theirs = self.library.encode([p[1:].replace(SPACE, " ") for p, _ in new], num_threads=1)
-        self.wrong.update(p for (p, ids), other in zip(new, theirs) if array("i", other).tobytes() != ids)
+        new = [p for p in self.new if p[0] == SPACE and len(p) > 1]
         self.new = []
+        theirs = self.library.encode([p[1:].replace(SPACE, " ") for p in new], num_threads=1)
+        held = self.get
+        self.wrong.update(p for p, other in zip(new, theirs) if array("i", other).tobytes() != (held(p) or self.merge(p)))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Packed ids of each text, and whether the library agrees."""
-        if self.held > REMEMBERED:
+        if self.held > REMEMBERED:  # parts that come again are taken over from the older half
+            self.old = dict(self)
             self.clear()
             self.held = 0
         cut = [self.parts(t) if t else [] for t in self.library.normalize(texts)]

@@ -100,7 +100,10 @@ def test_both_agendas_merge_alike_and_disagreement_shows(monkeypatch):
     monkeypatch.setattr(pc, "SHORT", 0)
     assert [codec.merge(p) for p in parts] == short
     assert codec.encode(["the cat"])[1] == [True]
+    monkeypatch.setattr(pc, "REMEMBERED", 0)
+    assert codec.encode(["a cat"])[0] == codec.encode(["a cat"])[0] and "▁cat" in codec
     codec.clear()
+    codec.old = {}
     codec.rank.pop("▁the")
     assert codec.encode(["the cat", "a cat"])[1] == [False, True]
 
