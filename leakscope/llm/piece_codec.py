@@ -6,7 +6,8 @@ added. Entries whose symbols have changed since are passed over. What is left in
 pieces; a character outside the vocabulary becomes its bytes.
 
 A text is cut before each run of spaces where no piece of the vocabulary reaches across, so that
-the cut parts merge independently; a part is worked out once in a worker and then looked up.
+the cut parts merge independently; a part is worked out once in a worker and then looked up. A new
+part is cut again between characters that stand side by side in no piece.
 Every part that is worked out in an Arrow batch is compared with what the library makes of it.
 """
 
@@ -47,6 +48,8 @@ class Codec(dict):
         self.bytes_ = {int(sp.id_to_piece(i)[3:5], 16): self._pack([i]) for i in every if sp.is_byte(i)}
         self.unknown = self._pack([sp.unk_id()])
         self.unused = {sp.id_to_piece(i) for i in merged if sp.is_unused(i)}
+        # characters that stand side by side in some piece: nothing merges across any others
+        self.inside = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
         # characters that some piece has before a space
         self.glued = "".join({p[i - 1] for p in pieces for i in range(1, len(p)) if p[i] == SPACE and p[i - 1] != SPACE})
         self.cut = re.compile(f"(?<=[^{SPACE}{re.escape(self.glued)}])(?={SPACE})" if self.glued else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -59,7 +62,7 @@ class Codec(dict):
     def __missing__(self, part: str) -> bytes:
         out = self.old.pop(part, None)
         if out is None:
-            out = self.merge(part)
+            out = self._worked_out(part)
             self.new.append(part)
         self._remember(part, out)
         return out
@@ -69,6 +72,22 @@ class Codec(dict):
             self[part] = out
             self.held += len(part)
 
+    def _worked_out(self, part: str) -> bytes:
+        """A new part from what its stretches merge to, between which no piece reaches."""
+        inside = list(map(self.inside.__contains__, map(add, part, part[1:])))
+        if all(inside):
+            return self.merge(part)
+        out, at = [], 0
+        for end in [i for i, joined in enumerate(inside, 1) if not joined] + [len(part)]:
+            stretch = part[at:end]
+            ids = self.get(stretch)
+            if ids is None:
+                ids = self.merge(stretch)
+                self._remember(stretch, ids)
+            out.append(ids)
+            at = end
+        return b"".join(out)
+
     def parts(self, normal: str) -> list[str]:
         return self.cut.split(normal) if self.glued else self.cut.findall(normal)
 
@@ -143,7 +162,7 @@ class Codec(dict):
         self.new = []
         theirs = self.library.encode([p[1:].replace(SPACE, " ") for p in new], num_threads=1)
         held = self.get
-        self.wrong.update(p for p, other in zip(new, theirs) if array("i", other).tobytes() != (held(p) or self.merge(p)))
+        self.wrong.update(p for p, other in zip(new, theirs) if array("i", other).tobytes() != (held(p) or self._worked_out(p)))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Packed ids of each text, and whether the library agrees."""

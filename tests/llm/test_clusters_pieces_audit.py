@@ -100,6 +100,8 @@ def test_both_agendas_merge_alike_and_disagreement_shows(monkeypatch):
     monkeypatch.setattr(pc, "SHORT", 0)
     assert [codec.merge(p) for p in parts] == short
     assert codec.encode(["the cat"])[1] == [True]
+    mixed = ["▁" + "".join(rnd.choice("then,.\n日#😀") for _ in range(rnd.randint(1, 12))) for _ in range(500)]
+    assert [codec._worked_out(p) for p in mixed] == [codec.merge(p) for p in mixed] and not all("," not in p for p in mixed)
     monkeypatch.setattr(pc, "REMEMBERED", 0)
     assert codec.encode(["a cat"])[0] == codec.encode(["a cat"])[0] and "▁cat" in codec
     codec.clear()
