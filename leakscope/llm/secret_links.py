@@ -33,7 +33,7 @@ STRONG = (
 )
 #: Weak parts: (kind, role, pattern, group). They count only beside a complementary role.
 WEAK = (
-    ("ident", "identifier", r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", 0),
+    ("ident", "identifier", r"\b(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", 0),
     ("weakpass", "secret", r"\b(?:password|passwd|pwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{4,})", 0),
     ("opaque", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])", 0),
     ("endpoint", "endpoint", r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}", 0),

@@ -69,3 +69,71 @@ def test_weak_parts_of_any_length(spark):
 def test_a_weak_part_deep_in_a_long_strong_span_is_dropped():
     text = "token=" + ".".join(["deadbeefdeadbeef"] * 12) + ".aB3" + "xY7z" * 8 + ".end"
     assert not any(k == "opaque" for *_, k in sl.weak_spans(text, sl.strong_spans(text)))
+
+
+def test_identifiers_have_no_upper_length(spark):
+    name = "z" * 500
+    docs = documents(spark, [(1, f"user={name} " + "y " * 60 + "pwd=hunter2", "en", "s")])
+    got = [(x["kind"], x["start"], x["end"]) for x in sl.find_secrets(docs).first()["linked"]]
+    assert got == [("ident", 0, 505), ("weakpass", 626, 637)]
+
+
+def walked(text):
+    """The strong kinds by walking the characters."""
+    out, hexes, caps = [], "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    value = caps + caps.lower() + "+/_.=-"
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in hexes:
+            end += 1
+        if end - at >= 16:
+            out.append((at, end, "hex"))
+        at = max(end, at + 1)
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = at + 4
+        while end < len(text) and text[end] in caps:
+            end += 1
+        if end - at >= 18:
+            out.append((at, end, "access"))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        key = next((k for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at:at + len(k)].lower() == k), None)
+        if key is None:
+            at += 1
+            continue
+        to = at + len(key)
+        to += text[to:to + 1] in ("'", '"') and to < len(text)
+        while text[to:to + 1] == " ":
+            to += 1
+        if text[to:to + 1] not in (":", "=") or to >= len(text):
+            at += 1
+            continue
+        to += 1
+        while text[to:to + 1] == " ":
+            to += 1
+        to += text[to:to + 1] in ("'", '"') and to < len(text)
+        end = to
+        while end < len(text) and text[end] in value:
+            end += 1
+        if end == to:
+            at += 1
+            continue
+        if end - to >= 12:
+            out.append((at, end, "assign"))
+        at = end
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(out, key=lambda s: (s[0], order[s[2]]))
+
+
+def test_strong_spans_equal_a_walk_over_characters():
+    import random
+    rnd = random.Random(13)
+    bits = ["password", "Passwd", "TOKEN", "api_key", "apikey", "secret", ":", "=", " ", "'", '"', "AKIA", "AKIAAKIA", "0123456789ABCDEF",
+            "deadbeef", "cafe", "0123456789abcdef", "x", "é", "\n", "a.b/c+d", "ſecret", "="]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25)))
+        order = {"assign": 0, "access": 1, "hex": 2}
+        assert sorted(sl.strong_spans(text), key=lambda s: (s[0], order[s[2]])) == walked(text), text
