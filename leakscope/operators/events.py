@@ -220,7 +220,7 @@ def audit_event(spark: SparkSession, scope: str, ts: str) -> DataFrame:
         score.alias("tier1_score"), F.lit(0.0).alias("tier2_score"), label.alias("label"),
         F.expr("array_sort(array_distinct(transform(dc_hits, h -> h.category)))")
         .alias("categories"), public_hits("dc_hits").alias("hits"),
-        F.lit(f"administrative purge requested (scope={scope})").alias("summary"),
+        F.lit(f"Rows of scope {scope} were purged on request").alias("summary"),
         F.octet_length("text").cast("bigint").alias("bytes_out"), F.col("text").alias("sample"),
         F.lit("admin").alias("intent"), F.lit(1.0).alias("intent_conf"),
         score.alias("effective_sensitivity"), F.lit("admin").alias("direction"))
