@@ -1,10 +1,10 @@
-"""Helpers that several operators share: stored tables, checked broadcasts, words, components."""
+"""Helpers that several operators share: stored tables, checked broadcasts, row numbers, words, components."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscope.session import checkpoint_dir
@@ -34,6 +34,24 @@ def small_side(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
 
 
+def numbered(rows: DataFrame, keys: list[str], run_rows: int = 100_000) -> DataFrame:
+    """`rows` with `number`, counting from 0 without gaps among the rows that agree in `keys`.
+
+    The rows of a key are split over runs of about `run_rows`, numbered apart and moved up by
+    the runs before them, so that a hot key is never in one task. Which of several equal rows
+    gets which number is open; the runs are written first, so a repeated task changes nothing.
+    `keys` hold no nulls; `rows` has no columns `run`, `start` and `number`.
+    """
+    runs = rows.count() // run_rows + 1
+    cut = stored(rows.withColumn("run", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(runs)).cast("int")), "runs")
+    before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (cut.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("start"))
+              .withColumn("start", F.coalesce(F.sum("start").over(before), F.lit(0))))
+    inside = Window.partitionBy(*keys, "run").orderBy(F.lit(0))
+    return (cut.withColumn("number", F.row_number().over(inside) - 1).join(starts, [*keys, "run"])
+            .withColumn("number", F.col("number") + F.col("start")).drop("run", "start"))
+
+
 def row_id(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID))
 

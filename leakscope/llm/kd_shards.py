@@ -2,7 +2,8 @@
 
 Texts that are equal form one unit with one place in the space of metadata (source, kind of
 text, length, order of arrival), so copies stay together, unless they outweigh a part of a
-shard; then each row is a unit of its own, dealt by a hash, so that a hot group spreads.
+shard; then each row is a unit of its own, dealt by a hash of its id, its text and, among rows
+equal in both, a running number, so that a hot group spreads.
 
 The tree is grown from the top: a node that must still become n shards is cut along its widest
 dimension where its bytes divide as floor(n / 2) to the rest. All nodes of a level are cut at
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import stored, text_of
+from leakscope.llm.common import numbered, stored, text_of
 
 SHARDS = 40
 #: A row costs its UTF-8 bytes and this much besides.
@@ -46,10 +47,14 @@ def _units(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
         F.xxhash64("source").alias("from"), F.xxhash64("lang").alias("kind")), "rows")
     total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
     heavy = rows.groupBy("name").agg(F.sum("size").alias("w")).where(F.col("w") > HEAVY * total / shards).select("name")
-    heavy = stored(heavy, "heavy").withColumn("hot", F.lit(True))  # at most shards / HEAVY rows
-    rows = rows.join(F.broadcast(heavy), "name", "left").withColumn(
-        "unit", F.when(F.col("hot"), F.struct("name", "own")).otherwise(F.struct("name", F.lit(0).cast("bigint").alias("own"))))
-    rows = stored(rows.drop("hot", "name", "own"), "rows")
+    heavy = stored(heavy, "heavy")  # at most shards / HEAVY rows
+    if heavy.limit(1).count():
+        hot = numbered(rows.join(F.broadcast(heavy), "name", "left_semi"), ["name", "own"])
+        rows = (rows.join(F.broadcast(heavy), "name", "left_anti").withColumn("own", F.lit(0).cast("bigint"))
+                .unionByName(hot.withColumn("own", F.xxhash64("own", "number")).drop("number")))
+    else:
+        rows = rows.withColumn("own", F.lit(0).cast("bigint"))
+    rows = stored(rows.withColumn("unit", F.struct("name", "own")).drop("name", "own"), "rows")
     units = (rows.groupBy("unit").agg(
         F.sum("size").alias("w"), F.max("size").alias("each"), F.min("from").alias("from"),
         F.min("kind").alias("kind"), F.min("doc_id").alias("doc_id"))
@@ -128,7 +133,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     `docs` has doc_id, text, source, lang. The sizes (UTF-8 bytes and ROW_BYTES) of the shards
     come out near equal. Equal texts share a shard, unless they outweigh HEAVY of one: then
-    their rows are dealt out one by one. Slots count from 0 without gaps within a shard.
+    their rows are dealt out one by one, also rows that share a doc_id or have none. Slots count from 0 without gaps within a shard.
     grown_shard is null: under this law one more shard moves other rows too. Null text has no
     bytes; null metadata is a place of its own; repeated rows each get a slot. Fewer units than
     shards leave some shards empty, an empty table gives no rows. Other columns are not looked at.
@@ -146,7 +151,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     number = {node: at for at, node in enumerate(sorted(leaves, key=lambda n: format(n, "b")))}
     placed = units.select("unit", _path(tree).alias("node")).withColumn("shard", _by_node(number, "int")).select("unit", "shard")
     # a unit of many rows is no heavier than HEAVY of a shard, so no key of this join is hot
-    dealt = stored(rows.join(placed, "unit").select("doc_id", "size", "text_crc32", "shard"), "dealt")
+    dealt = stored(rows.join(placed, "unit").select("doc_id", "size", "text_crc32", "unit.own", "shard"), "dealt")
     return _slots(dealt, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                                         F.lit(None).cast("int").alias("grown_shard"))
 
@@ -155,10 +160,10 @@ def _slots(dealt: DataFrame, shards: int) -> DataFrame:
     """Gapless numbers within each shard: runs of a shard are numbered apart and moved up by
     the rows of the runs before them. Runs grow in number with the rows, not in size."""
     runs = math.ceil(dealt.count() / shards / RUN_ROWS) + 1
-    cut = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(runs)).cast("int"))
+    cut = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", "own"), F.lit(runs)).cast("int"))
     counts = cut.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "run", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "own")
     return (cut.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["shard", "run"])
             .withColumn("slot", (F.col("start") + F.col("at")).cast("long")))
