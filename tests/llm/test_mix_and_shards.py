@@ -5,6 +5,7 @@ from helpers import awkward, documents, empty
 
 from leakscope.llm import kd_shards as kd
 from leakscope.llm import mix as mx
+from leakscope.llm.common import numbered
 
 
 def brute_targets(sizes, share=1.5, most=2):
@@ -59,6 +60,29 @@ def test_mix_awkward_rows(spark):
     assert mx.mixed(empty(spark)).count() == 0 and mx.mix(empty(spark)).count() == 0
 
 
+def test_sources_reach_targets_without_ids(spark):
+    """A third of the rows without id, a third equal rows of one id: off by one document at most."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "ten words " * 5 if i % 3 == 1 else f"t{i} " * 10, "en", "ab"[i % 5 == 0])
+            for i in range(3000)]
+    docs = documents(spark, rows)
+    got = mx.mixed(docs).collect()
+    goal, taken = {}, {}
+    for r in got:
+        goal[r["source"]] = r["target"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in goal) and len(got) == 3000
+    count = lambda ids: sorted(ids, key=lambda d: (d is None, d))
+    assert count(r["doc_id"] for r in mx.mix(docs).collect()) == count(r["doc_id"] for r in got for _ in range(r["passes"]))
+
+
+def test_numbers_of_a_hot_key(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, id, -1) AS k")
+    found = {}
+    for r in numbered(rows, ["k"], 100).collect():
+        found.setdefault(r["k"], []).append(r["number"])
+    assert all(sorted(v) == list(range(len(v))) for v in found.values()) and sum(map(len, found.values())) == 5000
+
+
 def test_mix_repeats_rows_as_planned(spark):
     rows = [(i, "a b c d", "en", "a" if i % 5 else "b") for i in range(100)]
     docs = documents(spark, rows)
@@ -92,6 +116,20 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_shards_of_equal_rows(spark):
+    """Half of the rows equal in id and text, or without id: the shards stay near equal."""
+    rows = [(i, f"text number {i} of many", "en", "x") for i in range(3000)]
+    for same in (None, 5):
+        got = kd.shard(documents(spark, rows + [(same, "a row that is everywhere", "en", "x")] * 3000), 40).collect()
+        sums, slots = {}, {}
+        for r in got:
+            sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        mean = sum(sums.values()) / 40
+        assert len(got) == 6000 and len(sums) == 40 and max(sums.values()) < 1.1 * mean and min(sums.values()) > 0.9 * mean
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_shards_awkward_rows(spark):
     got = kd.shard(awkward(spark), 4).collect()
     assert len(got) == 12 and {r["size"] for r in got if r["doc_id"] == 3} == {16}
