@@ -1,20 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a text: insult and threat words open a match,
-negation, reported speech and target words open a reach of a few words, and punctuation that
-ends a clause closes every reach. Their composition is one pass whose state is the reach left
-to each of them; a match comes out as a clause with its kind and the flags then in reach.
-Clauses are counted by kind and flags, and the weights of these counts give the score.
+Words and punctuation become symbol classes. Five transducers read the classes, each a table of
+(state, class) -> (state, outputs, weight): insult and threat begin or lengthen a match,
+negation and reported speech mark it from the left (a quotation after a verb of speech stays
+reported until it closes), target marks it from either side. An insult is aimed at any person
+beside it, a threat only at its object: a word that can be one after it, or an object form on
+either side. `compose` makes one machine of them that steps all at once, with the outputs of
+all and the sum of the weights. A match comes out as a clause, from the first word that marks
+it to the last. Clauses are counted by kind and marks; the weights of the counts give the score.
 
 The insult words are learned: a word, or a beginning that many words share, belongs to them if
 the contexts it occurs in (the word before it) are far likelier in texts labelled toxic.
 Counting contexts, not texts, keeps copies of one text from teaching their own words. The
-weights are a logistic regression drawn towards the prior below, so that a combination that
+weights are a logistic regression drawn towards the weights of the machine's paths, so that a combination that
 the labels never show keeps a sensible weight.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -32,26 +36,140 @@ SAMPLE = {1: 3000, 0: 6000}
 #: A learned word needs so many contexts in toxic texts, and so much likelier ones (log odds).
 MIN_CONTEXTS, MIN_LIFT = 8, 3.0
 PREFIXES = (4, 5, 6, 7)
-#: Words over which an opened flag reaches.
+#: Words over which a mark reaches.
 REACH = {"negated": 3, "reported": 8, "targeted": 4}
+#: Weights that the transducers give to a match and to its marks.
+WEIGHT = {"insult": 3.0, "threat": 0.5, "negated": -1.8, "reported": -0.9,
+          "targeted": {"insult": 0.5, "threat": 2.5}}
 
 # Fixed words of the transducers, in the languages of the corpus.
 NEGATION = frozenset("not never no isn't aren't nicht kein keine nie pas jamais no nunca ni".split())
 REPORTED = frozenset("said says quoted wrote claimed called sagte sagt schrieb dit disait écrit dijo dice escribió".split())
-TARGET = frozenset("you your you're he she they du dein ihr sie tu vous votre il elle tú usted tu él ella".split())
+ADDRESS = frozenset("you your you're sie ihr tu vous votre tú usted".split())
+SUBJECT = frozenset("he she they du dein il elle él ella".split())
+OBJECT = frozenset("him her them dich euch ihn te toi ti lui eux".split())
 INSULT = frozenset("idiot moron stupid pathetic worthless disgusting scum trash loser".split())
 THREAT = frozenset("kill murder hurt destroy töten umbringen tuer frapper matar golpear".split())
 
-TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n\"“”„«»]")
 FLAGS = tuple(REACH)
 KINDS = ("insult", "threat")
+#: Symbol classes; `word` is any other word.
+PERSONS = ("address", "subject", "object")
+CLASSES = ("word", *KINDS, "negation", "speech", *PERSONS, "stop", "line", "colon", "quote")
+MARKS = ("stop", "line", "colon", "quote")
+CLASS = {w: name for name, among in (("negation", NEGATION), ("speech", REPORTED), ("address", ADDRESS),
+                                     ("subject", SUBJECT), ("object", OBJECT)) for w in among}
+CLASS |= dict.fromkeys(".!?;", "stop") | {"\n": "line", ":": "colon"} | dict.fromkeys('"“”„«»', "quote")
 #: Features: log(1 + clauses) by kind and flags, then matched words per 100 words.
 FEATURES = [(k, n, r, t) for k in KINDS for n in (0, 1) for r in (0, 1) for t in (0, 1)]
 
 
+def match_table(kind: str) -> dict:
+    """A match begins a clause; the same kind again right after it lengthens the clause."""
+    table = {(s, c): (s if c in ("colon", "quote") else 0, (), 0.0) for s in (0, 1) for c in CLASSES}
+    table[0, kind] = (1, (kind,), WEIGHT[kind])
+    table[1, kind] = (1, ("more",), 0.0)
+    return table
+
+
+def negation_table() -> dict:
+    """State: words over which a negation still reaches."""
+    table = {}
+    for left in range(REACH["negated"] + 1):
+        for c in CLASSES:
+            after = left if c in ("colon", "quote") else 0 if c in MARKS else max(0, left - 1)
+            marks = left and c in KINDS
+            table[left, c] = (after, ("negated",) if marks else (), WEIGHT["negated"] if marks else 0.0)
+        table[left, "negation"] = (REACH["negated"], (), 0.0)
+    return table
+
+
+def speech_table() -> dict:
+    """State: words over which a verb of speech reaches, or that its quotation is open."""
+    table = {}
+    for left in (*range(REACH["reported"] + 1), "quoted"):
+        for c in CLASSES:
+            if left == "quoted":
+                after = 0 if c in ("quote", "line") else left
+            elif c in MARKS:
+                after = 0 if c in ("stop", "line") else "quoted" if c == "quote" and left else left
+            else:
+                after = REACH["reported"] if c == "speech" else max(0, left - 1)
+            marks = left and c in KINDS
+            table[left, c] = (after, ("reported",) if marks else (), WEIGHT["reported"] if marks else 0.0)
+    return table
+
+
+def target_table() -> dict:
+    """State: (what was read last, words over which it reaches): a person, or a match not yet aimed."""
+    reach, nothing, table = REACH["targeted"], ("", 0), {}
+    aims = {(k, p) for k in KINDS for p in PERSONS} - {("threat", "subject")}
+    before = aims - {("threat", "address")}
+    for seen, left in [nothing, *[(x, n) for x in (*PERSONS, *KINDS) for n in range(1, reach + 1)]]:
+        less = (seen, left - 1) if left > 1 else nothing
+        for c in CLASSES:
+            after, kind = less, None
+            if c in MARKS:
+                after = nothing if c in ("stop", "line") else (seen, left)
+            elif c in PERSONS:
+                after, kind = (c, reach), seen if (seen, c) in aims else None
+            elif c in KINDS:
+                kind = c if (c, seen) in before else None
+                after = less if kind else (c, reach)
+            table[(seen, left), c] = (after, ("targeted",) if kind else (), WEIGHT["targeted"][kind] if kind else 0.0)
+    return table
+
+
+#: The five transducers, each with its first state.
+TRANSDUCERS = ((match_table("insult"), 0), (match_table("threat"), 0), (negation_table(), 0), (speech_table(), 0),
+               (target_table(), ("", 0)))
+
+
+def compose(one: tuple, two: tuple) -> tuple:
+    """(table, first state) that steps both on the same symbol, over the states that can be reached."""
+    (left, a), (right, b) = one, two
+    table, todo = {}, [(a, b)]
+    seen = set(todo)
+    while todo:
+        state = todo.pop()
+        for c in CLASSES:
+            (x, out_x, w_x), (y, out_y, w_y) = left[state[0], c], right[state[1], c]
+            table[state, c] = ((x, y), out_x + out_y, w_x + w_y)
+            if (x, y) not in seen:
+                seen.add((x, y))
+                todo.append((x, y))
+    return table, (a, b)
+
+
+@functools.cache
+def machine() -> list[dict]:
+    """The composition of all five: for each numbered state, class -> (next state, outputs, weight)."""
+    table, first = functools.reduce(compose, TRANSDUCERS)
+    number = {first: 0}
+    for state, _ in table:
+        number.setdefault(state, len(number))
+    rows: list[dict] = [{} for _ in number]
+    for (state, c), (after, out, weight) in table.items():
+        rows[number[state]][c] = (number[after], out, weight)
+    return rows
+
+
+def path_weight(classes: list[str]) -> float:
+    """Sum of the weights along the path of a sequence of classes."""
+    state, total = 0, 0.0
+    for c in classes:
+        state, _, weight = machine()[state][c]
+        total += weight
+    return total
+
+
 def _prior() -> np.ndarray:
-    weights = [(3.0 if k == "insult" else 0.5 + 2.0 * t) * (0.4 if n else 1.0) * (0.7 if r else 1.0) + 0.5 * t
-               for k, n, r, t in FEATURES]
+    """Each kind of clause at the weight of its shortest path, never below 0.1."""
+    weights = []
+    for k, n, r, t in FEATURES:
+        path = ["speech"] * r + ["negation"] * n + (["object"] * t + [k] if k == "insult" else [k] + ["object"] * t)
+        weights.append(max(0.1, path_weight(path)))
     return np.array([*weights, 0.2, -3.0])
 
 
@@ -71,29 +189,46 @@ class ToxicModel:
         return None
 
 
-def clauses(text: str, kind_of) -> tuple[list[tuple], int]:
-    """Matched clauses (start, end, kind, negated, reported, targeted) and the count of words."""
-    reach, seen, out = dict.fromkeys(FLAGS, 0), 0, []
+#: Mark that a class of words can set on a match, for the span of the clause.
+SETS = {"negation": "negated", "speech": "reported"} | dict.fromkeys(PERSONS, "targeted")
+
+
+def clauses(text: str, kind_of) -> tuple[list[tuple], int, int]:
+    """Clauses (start, end, kind, negated, reported, targeted), the matched words and all words.
+
+    A clause spans its match and the words that set its marks.
+    """
+    rows, state, seen, matched, out, last = machine(), 0, 0, 0, [], {}
     for m in TOKEN.finditer(text.lower()):
         word = m[0]
-        if not word[0].isalnum():
-            reach = dict.fromkeys(FLAGS, 0)
-            continue
-        seen += 1
-        kind = kind_of(word)
+        kind = None
+        if word[0].isalnum():
+            seen += 1
+            kind = kind_of(word)
+        c = kind or CLASS.get(word, "word")
+        state, marks, _ = rows[state][c]
+        if c in SETS:
+            last[SETS[c]] = m.start()
         if kind:
-            out.append((m.start(), m.end(), kind, *(int(reach[f] > 0) for f in FLAGS)))
-        for flag, opens in zip(FLAGS, (NEGATION, REPORTED, TARGET)):
-            reach[flag] = REACH[flag] if word in opens else max(0, reach[flag] - 1)
-    return out, seen
-
-
-def features(found: list[tuple], seen: int) -> np.ndarray:
+            matched += 1
+        for mark in marks:
+            if mark in KINDS:
+                out.append([m.start(), m.end(), mark, 0, 0, 0])
+                continue
+            clause = out[-1]
+            clause[1] = m.end()
+            if mark != "more":
+                clause[3 + FLAGS.index(mark)] = 1
+                clause[0] = min(clause[0], last.get(mark, clause[0]))
+    return [tuple(clause) for clause in out], matched, seen
+
+
+def features(found: list[tuple], matched: int, seen: int) -> np.ndarray:
     x = np.zeros(len(FEATURES) + 2)
     for clause in found:
         x[FEATURES.index(clause[2:])] += 1
     x[:len(FEATURES)] = np.log1p(x[:len(FEATURES)])
-    x[-2] = min(10.0, 100.0 * len(found) / max(seen, 1))
+    x[-2] = min(10.0, 100.0 * matched / max(seen, 1))
     x[-1] = 1.0
     return x
 
@@ -120,9 +255,9 @@ class _Scorer:
         tokens = self.WORD.findall(low)
         # most texts hold no word of the grammar: their words are only looked up
         if not any(self.kind(word) for word in set(tokens)):
-            return [], features([], len(tokens))
-        found, seen = clauses(low, self.kind)
-        return found, features(found, seen)
+            return [], features([], 0, len(tokens))
+        found, matched, seen = clauses(low, self.kind)
+        return found, features(found, matched, seen)
 
     def score(self, x: np.ndarray) -> float:
         return 1.0 / (1.0 + math.exp(-float(np.clip(x @ self.weights, -30, 30))))
@@ -162,7 +297,8 @@ def _sample(docs: DataFrame, labels: DataFrame, held: int, bounds: dict) -> Data
         picked = part if picked is None else picked.unionByName(part)
     # at most sum(bounds) rows of two numbers: bounded by the parameter
     return (docs.select("doc_id", "text").join(F.broadcast(stored(picked, "picked")), "doc_id")
-            .select(text_of().alias("text"), "toxic").dropDuplicates(["text", "toxic"]))
+            .groupBy("doc_id", "toxic").agg(F.min(text_of()).alias("text"))
+            .select("text", "toxic").dropDuplicates(["text", "toxic"]))
 
 
 def _lexicon(rows: DataFrame, contexts: int, lift: float) -> tuple[frozenset, frozenset]:
@@ -208,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 5, bounds: dict | None
     """Model from `docs` (doc_id, text) and `labels` (doc_id, toxic) outside the held-out part.
 
     The fit reads at most `bounds[c]` labelled rows of class c. Rows without id or label are
-    left out; of several labels of one id the largest counts. Without labels of both classes
+    left out; of several labels of one id the largest counts, of several texts the smallest. Without labels of both classes
     the fixed words and the prior weights are the model.
     """
     rows = stored(_sample(docs, labels, held, bounds or SAMPLE), "labelled")
