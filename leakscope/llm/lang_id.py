@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import stored, text_of
+from leakscope.llm.common import small_side, stored, text_of
 
 DIM = 1 << 15
 GRAMS = (1, 2, 3)
@@ -159,7 +159,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> LanguageMode
     """Model from the texts and non-null lang of `docs` (doc_id, text, lang), held-out rows left out.
 
     Document frequencies cover all rows; the fit takes at most `sample` texts of each language.
-    Rows with null text or lang teach nothing. With no such row the model knows no language.
+    Of several texts of one id and lang the fit takes the
+    smallest. Rows with null text or lang teach nothing. With no such row the model knows no language.
     """
     train = docs.select("doc_id", "text", "lang").where(~held_out()).where("lang is not null and text is not null")
     ids = stored(train.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("place")), "train")
@@ -167,14 +168,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> LanguageMode
     languages = tuple(per["lang"])
     if not languages:
         return LanguageModel((), np.zeros(dim), np.zeros((dim, 0)), np.zeros(0), 1.0)
-    picked = None
-    for lang in languages:
-        part = ids.where(F.col("lang") == lang).orderBy("place", "doc_id").limit(sample)
-        picked = part if picked is None else picked.unionByName(part)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")  # Spark keeps `sample` of each before the shuffle
+    picked = ids.distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("doc_id", "lang")
     total, df = _frequencies(train, dim)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     # `sample` rows for each language: bounded by the parameter
-    chosen = train.join(F.broadcast(stored(picked.select("doc_id").distinct(), "picked")), "doc_id", "left_semi")
+    chosen = (train.join(small_side(stored(picked, "picked")), ["doc_id", "lang"], "left_semi")
+              .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
 
     def featurise(frames):
         grams = Grams(dim)

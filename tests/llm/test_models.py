@@ -77,11 +77,94 @@ def test_grammar_flags():
     assert read("this is not stupid") == [("insult", 1, 0, 0)]
     assert read("not now. stupid") == [("insult", 0, 0, 0)]
     assert read('somebody said that the clown is a moron') == [("insult", 0, 1, 0)]
-    assert read("they will kill it") == [("threat", 0, 0, 1)]
+    assert read("they will kill it") == [("threat", 0, 0, 0)]
+    assert read("I will kill you") == read("kill you all") == [("threat", 0, 0, 1)]
+    assert read("ich werde dich töten") == [("threat", 0, 0, 1)]
+    assert read("he said: you idiot") == [("insult", 0, 1, 1)]
+    assert read('she wrote "what a day. you idiot" and left. a moron') == [("insult", 0, 1, 1), ("insult", 0, 0, 0)]
+    assert read("stupid worthless idiot") == [("insult", 0, 0, 0)]
+    spans = lambda t: [t[c[0]:c[1]] for c in tg.clauses(t, model.kind)[0]]
+    assert spans("well, i will kill all of you now") == ["kill all of you"]
+    assert spans("so you are not an idiot today") == ["you are not an idiot"]
     score = lambda t: (lambda s: s.score(s.read(t)[1]))(tg._Scorer(model))
     assert score("you idiot") > score("not an idiot") > score("a word")
 
 
+def test_composed_machine_steps_like_its_parts():
+    """All five tables stepped side by side give the outputs and weights of the one machine."""
+    rnd = random.Random(5)
+    for _ in range(300):
+        states, state = [first for _, first in tg.TRANSDUCERS], 0
+        for c in rnd.choices(tg.CLASSES, k=60):
+            outs, total = (), 0.0
+            for i, (rows, _) in enumerate(tg.TRANSDUCERS):
+                states[i], out, weight = rows[states[i], c]
+                outs, total = outs + out, total + weight
+            state, out, weight = tg.machine()[state][c]
+            assert out == outs and abs(weight - total) < 1e-12
+
+
+def brute_marks(classes):
+    """(kind, negated, reported, targeted) of each match, by looking around its place."""
+    words = [i for i, c in enumerate(classes) if c not in tg.MARKS]
+    rank = {i: n for n, i in enumerate(words)}
+    out = []
+
+    def free(a, b, ends=("stop", "line")):
+        return not any(classes[i] in ends for i in range(a, b))
+
+    def reported(at):
+        opened = None  # place of the open quotation, if a verb of speech reaches it
+        for i in range(at):
+            c = classes[i]
+            if opened is not None:
+                opened = None if c in ("quote", "line") else opened
+                continue
+            if c == "quote":
+                verbs = [j for j in range(i) if classes[j] == "speech" and j > closed(i) and free(j, i) and sum(k in rank for k in range(j + 1, i)) < 8]
+                opened = i if verbs else None
+        if opened is not None:
+            return 1
+        return int(any(classes[j] == "speech" and j > closed(at) and free(j, at) and rank[at] - rank[j] <= 8 for j in range(at)))
+
+    def closed(at):
+        """Place of the last end of a reported quotation before `at`: verbs up to it do not count."""
+        end, opened = -1, None
+        for i in range(at):
+            c = classes[i]
+            if opened is not None:
+                if c in ("quote", "line"):
+                    end, opened = i, None
+            elif c == "quote" and any(classes[j] == "speech" and j > end and free(j, i) and sum(k in rank for k in range(j + 1, i)) < 8 for j in range(i)):
+                opened = i
+        return end
+
+    for at in words:
+        if classes[at] not in tg.KINDS:
+            continue
+        negated = int(any(classes[j] == "negation" and free(j, at) and rank[at] - rank[j] <= 3 for j in range(at)))
+        out.append((classes[at], negated, reported(at), at))
+    return out
+
+
+def test_left_marks_by_looking_around():
+    rnd = random.Random(6)
+    for _ in range(400):
+        classes = rnd.choices(tg.CLASSES, [8, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 2], k=40)
+        want = {at: (n, r) for _, n, r, at in brute_marks(classes)}
+        state = 0
+        for at, c in enumerate(classes):
+            state, out, _ = tg.machine()[state][c]
+            if c in tg.KINDS:
+                assert (int("negated" in out), int("reported" in out)) == want[at], (classes, at)
+
+
+def test_sample_keeps_one_text_of_an_id(spark):
+    rows = [(1, f"text {i}", "en", "s") for i in range(50)]
+    marks = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert tg._sample(documents(spark, rows), marks, 5, {1: 10, 0: 10}).count() == 1
+
+
 def test_toxic_awkward_rows(spark):
     marks = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
     model = tg.learn(awkward(spark), marks)
