@@ -51,6 +51,6 @@ def test_run_is_registered(spark, tiny):
     assert known["pipeline"] is corpus_pipeline.run
     assert sorted(n for n in known if re.match(r"op\d+_", n)) == sorted(
         ["op1_vector_graph", "op2_chat_format", "op3_mix", "op4_lang_id", "op5_secret_links", "op6_kd_shards", "op7_contain",
-         "op8_line_dedup", "op9_order_minhash", "op10_toxic_grammar"])
+         "op8_line_dedup", "op9_order_minhash", "op10_toxic_grammar", "op11_simplex_clusters", "op12_piece_codec", "op13_filter_audit"])
     assert set(entry.oracle_sql()) <= set(known)
     assert corpus_pipeline.run(spark, tiny).count() > 0
