@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.session import is_there
+
 SCHEMA = "host string, label string, enabled boolean, source string, created_at timestamp"
 
 # --- fixed values: hosts monitored from the start ----------------------------
@@ -85,6 +87,37 @@ def enabled_hosts(registry: DataFrame) -> DataFrame:
     return registry.filter("enabled").select("host", "label")
 
 
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished folders ``kind=<number>`` below a path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.split("=")[1]) for n in names
+                  if n.startswith(f"{kind}=") and is_there(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def publish(registry: DataFrame, path: str) -> int:
+    """Write a registry as the next version below ``path``; earlier versions stay as they are."""
+    done = _numbers(registry.sparkSession, path, "version")
+    number = done[-1] + 1 if done else 0
+    registry.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version."""
+    return spark.read.parquet(f"{path}/version={_numbers(spark, path, 'version')[-1]}")
+
+
+def published_for(spark: SparkSession, path: str, pins: str, batch: int) -> DataFrame:
+    """The version for a micro-batch: the newest when it first asks, the same one on a retry."""
+    pin = f"{pins}/batch={batch}"
+    if not is_there(spark, f"{pin}/_SUCCESS"):
+        newest = _numbers(spark, path, "version")[-1]
+        spark.range(newest, newest + 1).coalesce(1).write.mode("overwrite").parquet(pin)
+    return spark.read.parquet(f"{path}/version={spark.read.parquet(pin).first()['id']}")
+
+
 def listing(registry: DataFrame) -> DataFrame:
     return registry.select("host", "label", "enabled", "source", "created_at").orderBy(
         "label", "host")

@@ -19,6 +19,20 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Last document of the first half of the documents, which is stored before a stream starts.
+_HALF = "(SELECT max(doc_id) // 2 FROM documents)"
+
+
+def _in_two(spark, folder):
+    """The documents as a folder that holds their first half, and what adds the second."""
+    made = _folder(spark, "halves")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    half = rows.agg(F.expr("max(doc_id) div 2")).first()[0]
+    first = F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(half))
+    rows.filter(first).write.parquet(f"{made}/documents.parquet")
+    return made, lambda: rows.filter(~first).write.mode("append").parquet(f"{made}/documents.parquet")
+
+
 def _bodies(spark, folder):
     rows = st.read_table_stream(spark, folder, "documents")
     return rows.select("doc_id", "source", F.expr(inp.TEXT).alias("text"),
@@ -42,17 +56,31 @@ def stream_scores(spark, folder):
 
 @query("stream_flows", f"""{_SCORED}, flows AS (SELECT DISTINCT host FROM bodies),
     {_LOOKUP_SQL},
-    eff AS (SELECT r.*, p.provider, least(1.0, tier1 * {inp.FACTOR_SQL}) AS effective
-        FROM ruled r JOIN provided p USING (host)),
-    shown AS (SELECT provider, {inp.clamp_sql(inp.label_sql('effective'), inp.DEMOTED_SQL)} AS label FROM eff)
-    SELECT provider, label, count(*) AS events FROM shown GROUP BY provider, label""")
+    known AS (SELECT r.*, coalesce(doc_id > {_HALF}, false) AS late, p.provider FROM ruled r LEFT JOIN provided p USING (host)),
+    named AS (SELECT * REPLACE (CASE WHEN late AND host = 'claude.ai' THEN NULL
+        WHEN late AND host = 'example.org' THEN 'Example' ELSE provider END AS provider) FROM known),
+    eff AS (SELECT *, least(1.0, tier1 * {inp.FACTOR_SQL}) AS effective FROM named WHERE provider IS NOT NULL),
+    shown AS (SELECT provider, late, {inp.clamp_sql(inp.label_sql('effective'), inp.DEMOTED_SQL)} AS label FROM eff)
+    SELECT provider, late, label, count(*) AS events FROM shown GROUP BY provider, late, label""")
 def stream_flows(spark, folder):
-    """Flows to monitored hosts, the registry read anew per micro-batch."""
-    out = _folder(spark, "flows")
-    st.run_to_end(st.score_flows(
-        _bodies(spark, folder), lambda: rg.seed_rows(spark, "2024-01-01 00:00:00"), out,
-        _folder(spark, "offsets")))
-    return spark.read.parquet(out).groupBy("provider", "label").agg(
+    """Flows to monitored hosts; between two micro-batches a host is added and one disabled."""
+    halves, add_second = _in_two(spark, folder)
+    out, offsets = _folder(spark, "flows"), _folder(spark, "offsets")
+    versions, pins = _folder(spark, "registry"), _folder(spark, "pins")
+
+    def run():
+        st.run_to_end(st.score_flows(
+            _bodies(spark, halves), lambda n: rg.published_for(spark, versions, pins, n), out, offsets))
+
+    rg.publish(rg.seed_rows(spark, "2024-01-01 00:00:00"), versions)
+    run()
+    asked = spark.createDataFrame([("example.org", "Example")], "host string, label string")
+    changed = rg.upsert(rg.published(spark, versions), asked, F.lit("2024-01-02").cast("timestamp"))
+    rg.publish(rg.set_enabled(changed, "claude.ai", False), versions)
+    add_second()
+    run()
+    late = F.col("batch") > F.lit(0)
+    return spark.read.parquet(out).groupBy("provider", late.alias("late"), "label").agg(
         F.count("*").alias("events"))
 
 
@@ -130,18 +158,27 @@ def stream_pairs(spark, folder):
     return spark.read.parquet(out).filter("asked IS NOT NULL").select("flow_id", "asked", "answered")
 
 
-@query("stream_alerts", ORACLES.get("critical_alerts", "").replace("AND id > 100", "") or None)
+@query("stream_alerts", ORACLES.get("critical_alerts", "").replace(
+    "AND id > 100", f"AND id > {_HALF}") or None)
 def stream_alerts(spark, folder):
-    """Critical responses handed to a sink as they arrive."""
+    """Critical responses handed to a sink as they arrive; what was stored before is history."""
     from leakscope.operators.classify import classify_responses
-    rows = _bodies(spark, folder).withColumn("direction", F.expr(inp.DIRECTION)).filter(
-        "direction = 'response'")
-    scored = classify_responses(rows, path="path").withColumn("id", F.col("doc_id")).withColumn(
-        "provider", F.col("source"))
-    out = _folder(spark, "alerts")
-    st.run_to_end(st.alert_stream(
-        scored, lambda batch, n: batch.select("id", "provider").write.mode("overwrite").parquet(
-            f"{out}/batch={n}"), _folder(spark, "offsets")))
+    halves, add_second = _in_two(spark, folder)
+    out, offsets, mark = _folder(spark, "alerts"), _folder(spark, "offsets"), _folder(spark, "mark")
+
+    def run():
+        stored = spark.read.parquet(f"{halves}/documents.parquet").select(F.col("doc_id").alias("id"))
+        rows = _bodies(spark, halves).withColumn("direction", F.expr(inp.DIRECTION)).filter(
+            "direction = 'response'")
+        scored = classify_responses(rows, path="path").withColumn("id", F.col("doc_id")).withColumn(
+            "provider", F.col("source"))
+        st.run_to_end(st.alert_stream(
+            scored, lambda batch, n: batch.select("id", "provider").write.mode("overwrite").parquet(
+                f"{out}/batch={n}"), offsets, st.alert_baseline(stored, mark)))
+
+    run()
+    add_second()
+    run()
     return spark.read.parquet(out).select("id", "provider")
 
 

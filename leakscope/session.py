@@ -55,3 +55,19 @@ def written(df, name: str):
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    files, where = _at(spark, path)
+    return files.exists(where)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove what the library itself wrote and no retry can ask for any more."""
+    files, where = _at(spark, path)
+    files.delete(where, True)

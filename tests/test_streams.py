@@ -45,6 +45,90 @@ def test_chunks_out_of_order_over_batches(spark, tmp_path):
     assert got == {"a": (3, b"abc"), "b": (2, b"0" + big)}
 
 
+def test_idle_flows_come_as_far_as_they_got_and_markers_go(spark, tmp_path):
+    rows = parts(spark, tmp_path, "chunks", [
+        [("a", 0, b"a", True), ("b", 1, b"z", False)], [("a", 0, b"a", True)]], "flow_id string, seq int, chunk binary, is_last boolean")
+    out = f"{tmp_path}/out"
+    query = st.assemble_stream(rows, idle_ms=500, forget_ms=500).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", f"{out}.ck").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            query.awaitTermination(1)
+            done = spark.read.schema("flow_id string, chunks int, body binary").parquet(out) if (tmp_path / "out").exists() else None
+            if done is not None and done.where("flow_id = 'b'").count() and st.state_size(query)["rows"] == 0:
+                break
+        got = sorted((r["flow_id"], r["chunks"], bytes(r["body"])) for r in done.collect())
+        assert ("b", 1, b"z") in got and ("a", 1, b"a") in got
+        assert st.state_size(query)["rows"] == 0
+    finally:
+        query.stop()
+
+
+def identity_batches():
+    """Signals of one tenant and another over days: rivals, ties, a value idle for days."""
+    import random
+    dice, rows, event = random.Random(7), [], 0
+    for day in (1, 1, 2, 6, 6, 7):
+        batch = []
+        for _ in range(30):
+            event += 1
+            names = "abc" if day < 6 else "cd"
+            who = dice.choice(names)
+            batch.append((dice.choice([1, 2]), day * 86_400 + event * 60, event, f"from {who}{who}@mail.example.com at 93.184.{ord(who)}.7"))
+        rows.append(batch)
+    return rows
+
+
+def test_identity_over_batches_equals_the_batch_form(spark, tmp_path):
+    from leakscope.operators import identity as idn
+    from leakscope.operators.classify import scan_texts
+    batches = [[(t, at, e, text) for t, at, e, text in batch] for batch in identity_batches()]
+    kind = "tenant_id long, at long, event_id long, text string"
+    whole = spark.createDataFrame([r for b in batches for r in b], kind).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    stream = parts(spark, tmp_path, "events", batches, kind).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    query = st.identity_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/ck", late_hours=1)
+    st.run_to_end(query)
+    shown = ["tenant_id", "kind", "value", "event_id", "n", "running", "exempt"]
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*shown).collect()}
+    wanted = {tuple(r) for r in idn.running_exemption(idn.signals(scan_texts(whole))).select(*shown).collect()}
+    assert got == wanted and any(r[-1] for r in got) and any(not r[-1] for r in got)
+    # idle values are gone from what a batch reads; the store keeps a row for each value
+    kept = {r["value"] for r in spark.read.parquet(f"{tmp_path}/state/version=5").collect()}
+    assert not kept & {"aa@mail.example.com", "bb@mail.example.com"} and "cc@mail.example.com" in kept
+    assert st.state_size(query)["rows"] == whole.transform(lambda d: idn.count_signals(idn.signals(scan_texts(d)))).count()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=4", "version=5"]
+
+
+def test_registry_versions_are_pinned_to_batches(spark, tmp_path):
+    from leakscope.operators import registry as rg
+    path, pins = f"{tmp_path}/registry", f"{tmp_path}/pins"
+    flows = [[("claude.ai", "a"), ("example.org", "b")], [("claude.ai", "c"), ("example.org", "d")]]
+    rg.publish(rg.seed_rows(spark, "2024-01-01 00:00:00"), path)
+    asked = []
+
+    def registry(number):
+        known = rg.published_for(spark, path, pins, number)
+        asked.append(number)
+        if len(asked) == 1:     # changes while batch 0 runs: seen by batch 1 alone
+            new = spark.createDataFrame([("example.org", "Example")], "host string, label string")
+            more = rg.upsert(rg.published(spark, path), new, F.lit("2024-01-02").cast("timestamp"))
+            assert rg.publish(rg.set_enabled(more, "claude.ai", False), path) == 1
+        return known
+
+    rows = parts(spark, tmp_path, "flows", [[(h, t, "/v1/messages") for h, t in b] for b in flows], "host string, text string, path string")
+    st.run_to_end(st.score_flows(rows, registry, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    got = {(r["batch"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, "a"), (1, "d")} and asked == [0, 1]
+    assert rg.published_for(spark, path, pins, 0).where("host = 'claude.ai'").first()["enabled"]    # a retry of batch 0
+
+
+def test_baseline_of_alerts_is_kept_over_restarts(spark, tmp_path):
+    stored = spark.range(5)
+    assert st.alert_baseline(stored, f"{tmp_path}/mark") == 4
+    assert st.alert_baseline(spark.range(9), f"{tmp_path}/mark") == 4
+    assert st.alert_baseline(spark.range(0), f"{tmp_path}/none") == -1
+
+
 def test_unmatched_responses_come_after_the_watermark(spark, tmp_path):
     day = "2024-01-0{} 10:0{}:00".format
     kind = "flow_id string, ts string, text string"
