@@ -57,9 +57,9 @@ def stream_scores(spark, folder):
 @query("stream_flows", f"""{_SCORED}, flows AS (SELECT DISTINCT host FROM bodies),
     {_LOOKUP_SQL},
     known AS (SELECT r.*, coalesce(doc_id > {_HALF}, false) AS late, p.provider FROM ruled r LEFT JOIN provided p USING (host)),
-    named AS (SELECT * REPLACE (CASE WHEN late AND host = 'claude.ai' THEN NULL
+    monitored AS (SELECT * REPLACE (CASE WHEN late AND host = 'claude.ai' THEN NULL
         WHEN late AND host = 'example.org' THEN 'Example' ELSE provider END AS provider) FROM known),
-    eff AS (SELECT *, least(1.0, tier1 * {inp.FACTOR_SQL}) AS effective FROM named WHERE provider IS NOT NULL),
+    eff AS (SELECT *, least(1.0, tier1 * {inp.FACTOR_SQL}) AS effective FROM monitored WHERE provider IS NOT NULL),
     shown AS (SELECT provider, late, {inp.clamp_sql(inp.label_sql('effective'), inp.DEMOTED_SQL)} AS label FROM eff)
     SELECT provider, late, label, count(*) AS events FROM shown GROUP BY provider, late, label""")
 def stream_flows(spark, folder):

@@ -78,33 +78,41 @@ def score_flows(flows: DataFrame, registry: Callable[[int], DataFrame], out: str
 
 
 class _Sightings(StatefulProcessor):
-    """Count, first and last sighting of one (tenant, kind, value); hands each row on with what
-    was known before its micro-batch. Rows pass through, so a busy value is not held."""
+    """Count, first and last sighting of the values of one slot; hands each row on with what was
+    known of its value before the micro-batch. Rows pass through, so a busy value is not held."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "count bigint, first bigint, last bigint")
+        self.seen = handle.getMapState("seen", "who string", "count bigint, first bigint, last bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.seen.get() if self.seen.exists() else None
-        count, first, last = known or (0, None, None)
+        before, after = {}, {}
         for frame in rows:
-            count += len(frame)
-            low, high = int(frame["at"].min()), int(frame["at"].max())
-            first, last = min(low, low if first is None else first), max(high, high if last is None else last)
-            before = known or (0, 0, 0)
-            yield frame.assign(prior=before[0], prior_first=before[1], prior_last=before[2])
-        self.seen.update((count, first, last))
+            found = frame.groupby("who", sort=False)["at"].agg(["size", "min", "max"])
+            for who, n, low, high in zip(found.index, *(found[c].tolist() for c in found)):
+                if who not in before:
+                    before[who] = after[who] = self.seen.getValue((who,)) or (0, 0, 0)
+                count, first, last = after[who]
+                after[who] = (n, low, high) if not count else (count + n, min(first, low), max(last, high))
+            prior = pd.DataFrame([before[who] for who in found.index], index=found.index,
+                                 columns=["prior", "prior_first", "prior_last"])
+            yield frame.drop(columns="slot").join(prior, "who").drop(columns="who")
+        for who, counts in after.items():
+            self.seen.updateValue((who,), counts)
 
     def close(self) -> None:
         pass
 
 
+#: Groups that the values of an identity stream are kept in; a checkpoint is bound to it.
+SLOTS = 1024
+
+
 def identity_stream(texts: DataFrame, out: str, state: str, checkpoint: str,
                     trigger: dict | None = None, late_hours: int = idn.DECAY_HOURS) -> StreamingQuery:
     """Running identity exemption over micro-batches.
 
-    The state store keeps the count of each value and is read and written for the values of the
-    batch alone. Which of them are on top also depends on values that the batch does not hold:
+    The state store keeps the count of each value, in SLOTS maps by hash, and is read and written
+    for the values of the batch alone. Which of them are on top also depends on values that the batch does not hold:
     ``state`` has a version per batch of those that qualify, seen ``threshold`` times and in the
     last 24 hours. A value idle for that long, plus the ``late_hours`` by which events may come
     late, leaves it; seen again, it comes back with its count. The last two versions are kept:
@@ -113,8 +121,10 @@ def identity_stream(texts: DataFrame, out: str, state: str, checkpoint: str,
     signals = idn.signals(scan_texts(texts.select("tenant_id", "ts", "event_id", "text"))).where("ts is not null")
     keyed_state(texts.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in signals.schema.fields}
-    prior = signals.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts").groupBy(
-        *idn.KEY).transformWithStateInPandas(
+    who = F.to_json(F.struct(*idn.KEY))
+    prior = signals.select(
+        *idn.KEY, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), who.alias("who"),
+        F.pmod(F.xxhash64(*idn.KEY), F.lit(SLOTS)).alias("slot")).groupBy("slot").transformWithStateInPandas(
         _Sightings(), f"tenant_id {kinds['tenant_id']}, kind string, value string, event_id {kinds['event_id']}, "
         "at bigint, prior bigint, prior_first bigint, prior_last bigint", "append", "none")
 
@@ -177,7 +187,7 @@ class _Assembler(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.done.exists():      # late repeats of a flow that was emitted
             return
-        held, last = self.progress.get() if self.progress.exists() else (0, -1)
+        held, last = self.progress.get() or (0, -1)
         for frame in rows:
             for seq, part, end in zip(frame["seq"], frame["chunk"], frame["is_last"]):
                 if not self.held.containsKey((int(seq),)):
