@@ -136,3 +136,34 @@ def test_chosen_model_is_the_best_of_its_written_predictions(spark):
     best = max(got.values())
     again = tm.fit_path(rows.where("split = 'train'"), (next(r for r in grid if got[r] == best),))
     assert abs(again - weights).max() < 1e-6
+
+
+def test_merges_do_not_depend_on_how_many_pairs_and_runs_a_phase_takes(spark, monkeypatch):
+    texts = spark.createDataFrame([("banana bandana aaaaa aaaa a.b a.b newer newest lower lowest",), ("banana aaaaa ana an 日本 日本語 日本",)], "text string")
+    frequency = tokenizer.word_frequency(texts).coalesce(1).cache()
+    whole = tokenizer.train(frequency, max_merges=7)
+    for pairs, runs in ((4, 100), (64, 4)):
+        monkeypatch.setattr(tokenizer, "OPEN_PAIRS", pairs)
+        monkeypatch.setattr(tokenizer, "WORDS_PER_TASK", runs)
+        assert tokenizer.train(frequency, max_merges=7) == whole
+
+
+def test_words_and_tokens_are_made_some_rows_at_a_time(spark, monkeypatch):
+    import re
+
+    import pyarrow as pa
+    texts = ["Ab  cd\tef", None, "", " İx yz ", "日本 语", "one two three"] * 3
+    monkeypatch.setattr(tokenizer, "SLICE", 8)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    made = list(tokenizer._with_lists("text", tokenizer._word_ranges)([batch]))
+    assert len(made) > 3 and sum(b.num_rows for b in made) == len(texts)
+    want = [[{"start": m.start(), "end": m.end(), "word": m.group()} for m in re.finditer(r"\S+", (t or "").lower())] for t in texts]
+    assert [x for b in made for x in b.column("_made").to_pylist()] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    learned = tokenizer.train(tokenizer.word_frequency(rows), vocab_size=30)
+    for r in tokenizer.encode(rows, learned).collect():
+        low = (r["text"] or "").lower()
+        rank = {pair: i for i, pair in enumerate(learned.merges)}
+        spelled = [s for w in re.findall(r"\S+", low) for s in tokenizer._spell(w, rank)]
+        assert [t["surface"] for t in r["tokens"]] == spelled and [t["pos"] for t in r["tokens"]] == list(range(len(spelled)))
+        assert all(low[t["start"]:t["end"]] == t["surface"].removesuffix("</w>") and t["id"] == learned.vocab[t["surface"]] for t in r["tokens"])
