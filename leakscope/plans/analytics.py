@@ -12,7 +12,7 @@ from leakscope.operators import events as ev
 from leakscope.operators import identity as idn
 from leakscope.plans import inputs as inp
 from leakscope.plans.registry import query
-from leakscope.session import checkpoint_dir
+from leakscope.session import checkpoint_dir, written
 from leakscope.sources.tables import table
 
 _LOG = f"WITH {inp.EVENTS_CTE}"
@@ -143,7 +143,7 @@ def export_csv(spark, folder):
         AND id > (SELECT avg(id) FROM events_log)""")
 def new_alerts(spark, folder):
     """Alerts of a second look: the first one, at the older half of the events, sets the mark and reports none."""
-    events = inp.event_log(spark, folder, True)
+    events = written(inp.event_log(spark, folder, True), "events")   # both looks read it several times
     last = events.agg(F.avg("id").alias("last"))
     marks = f"{checkpoint_dir(spark)}/marks-{uuid.uuid4().hex}"
     ev.new_alerts(events.join(last, F.col("id") <= F.col("last")).drop("last"), marks)
