@@ -24,7 +24,9 @@ def bucket_sql(token: str, buckets: int = BUCKETS, stable_hash: str = "xxhash64"
     """Bucket of a token by a stable hash; md5 is the portable choice, xxhash64 the fast one."""
     if stable_hash == "xxhash64":
         return f"cast(pmod(xxhash64({token}), {buckets}) AS int)"
-    return f"cast(pmod(cast(conv(left(md5({token}), 8), 16, 10) AS bigint), {buckets}) AS int)"
+    # the last three of eight hex digits decide where their number is a multiple of the buckets
+    digits = f"substring(md5({token}), 6, 3)" if 4096 % buckets == 0 else f"left(md5({token}), 8)"
+    return f"cast(pmod(cast(conv({digits}, 16, 10) AS bigint), {buckets}) AS int)"
 
 
 def features(path: str, body: str, buckets: int = BUCKETS,

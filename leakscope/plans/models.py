@@ -254,8 +254,10 @@ def nb_priors(spark, folder):
     return priors.withColumn("log_prior", scoring.rounded(F.col("log_prior"), 6))
 
 
-def _predicted(spark, folder):
-    rows = _bagged(spark, folder)
+def _predicted(spark, folder, *keep):
+    """Rows with their guesses; labels and buckets are worked out once and written."""
+    rows = written(_bagged(spark, folder).select(
+        "doc_id", "intent", "skip_reason", "buckets", *keep), "bagged")
     return intent_model.predict(rows, intent_model.fit(_training(rows)))
 
 
@@ -286,7 +288,7 @@ def nb_eval(spark, folder):
     FROM ruled r JOIN best b USING (doc_id)""")
 def intent_with_fallback(spark, folder):
     """The rule cascade with the trained model behind it."""
-    rows = _predicted(spark, folder)
+    rows = _predicted(spark, folder, "path", "text")
     rows = rows.select("doc_id", it.classify_intent(
         "path", "text", guess="guess", guess_prob="guess_prob").alias("i"))
     return rows.select("doc_id", F.col("i.intent").alias("intent"),
