@@ -15,6 +15,9 @@ DIGIT = r"\p{Nd}"
 _START = f"(?<![{WORD}])"
 _ANY_EDGE = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 
+# One character that is not in SPACE; the common ranges stand first, as a class is tested in order.
+NOT_SPACE = rf"[!-~\xa1-\u167f[^{SPACE}]]"
+
 # Whitespace characters of SPACE as text, for trim().
 SPACE_CHARS = "".join(
     chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
@@ -47,7 +50,7 @@ def jvm_regex(pattern: str) -> str:
         elif two == r"\s":
             out.append(SPACE if in_class else f"[{SPACE}]")
         elif two == r"\S" and not in_class:
-            out.append(f"[^{SPACE}]")
+            out.append(NOT_SPACE)
         elif two.startswith("\\"):
             out.append(two)
         else:

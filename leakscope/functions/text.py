@@ -104,7 +104,7 @@ def decode_body(body: str, content_type: str, max_bytes: int | None = None) -> C
 def looks_binary(body: str) -> Column:
     """Compressed by magic number, or many control bytes in the body."""
     head = f"decode({body}, 'ISO-8859-1')"
-    control = f"length(regexp_replace({head}, r'[^\\x00-\\x08\\x0e-\\x1f\\x7f]+', ''))"
+    control = f"length(regexp_replace({head}, r'[ -~\\x80-\\xff\\t-\\r]+', ''))"
     magic = ", ".join(f"'{m}'" for m in BINARY_MAGIC)
     return F.expr(
         f"coalesce(octet_length({body}) > 0 AND (hex(substring({body}, 1, 2)) IN ({magic}) "

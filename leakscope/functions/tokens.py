@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leakscope.functions.dialect import SPACE
+from leakscope.functions.dialect import NOT_SPACE, SPACE
 from leakscope.functions.scan import regex_literal
 
 # --- fixed values ------------------------------------------------------------
 END_OF_WORD = "</w>"
 WINDOW, STRIDE = 200, 150
 N_FEATURES = 9
-_WORD = f"[^{SPACE}]+"
+_WORD = f"{NOT_SPACE}+"
 _UPPER, _NOT_UPPER = r"\p{Lu}", r"[\p{Ll}\p{Lt}]"
 LETTER_OR_NUMBER = r"\p{L}\p{N}"
 
@@ -27,7 +27,8 @@ def words(text: str) -> Column:
 
 def shape_features_sql(token: str) -> str:
     """Nine shape features of a token; the end-of-word marker does not count."""
-    s = f"regexp_replace({token}, '{END_OF_WORD}$', '')"
+    bare = f"if(contains({token}, '{END_OF_WORD}'), regexp_replace({token}, '{END_OF_WORD}$', ''), {token})"
+    s = "_bare"
 
     def flag(test: str) -> str:
         return f"cast({test} AS double)"
@@ -46,8 +47,9 @@ def shape_features_sql(token: str) -> str:
         flag(f"contains({s}, '.')"),
         f"least(length({s}), 20) / 20D",
     )
-    return (f"CASE WHEN length({s}) = 0 THEN array_repeat(0D, {N_FEATURES}) "
-            f"ELSE array({', '.join(features)}) END")
+    shapes = (f"CASE WHEN length({s}) = 0 THEN array_repeat(0D, {N_FEATURES}) "
+              f"ELSE array({', '.join(features)}) END")
+    return f"transform(array({bare}), {s} -> {shapes})[0]"   # the marker is taken off once
 
 
 def shape_features(token: str) -> Column:
