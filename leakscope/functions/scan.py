@@ -187,14 +187,18 @@ def masked_text(text: str, hits: str, chars: int | None = None) -> Column:
     """Replace hits by their snippets, last one first; a hit reaching into one already
     replaced is left out.  Snippets are as long as what they replace.  With ``chars`` the
     result is cut there, and every hit that reaches into it is masked."""
+    body, edge = text, f"length({text}) + 1"
     if chars is not None:
         hits = f"filter({hits}, h -> h.start < {chars})"
+        # what is cut off cannot come back, however much shorter than its match a snippet is
+        body = f"left({text}, {chars} + aggregate({hits}, 0, (s, h) -> s + h.end - h.start))"
+        edge = "2147483647"
     masked = f"""
         aggregate(
           array_sort(transform({hits}, (h, i) -> named_struct(
               'key', -h.start, 'nth', i, 'start', h.start, 'end', h.end,
               'snippet', h.snippet))),
-          named_struct('body', {text}, 'edge', length({text}) + 1),
+          named_struct('body', {body}, 'edge', {edge}),
           (s, h) -> if(h.end <= s.edge,
               named_struct('body',
                   overlay(s.body PLACING h.snippet FROM h.start + 1 FOR h.end - h.start),
