@@ -108,7 +108,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, dim: int
 
     for _ in range(PASSES):
         for at, v, label in rows:
-            at, v = np.r_[at, dim], np.r_[v, 1.0]
+            at, v = np.r_[at, dim], np.r_[v.astype(np.float64), 1.0]
             w = weights(at)
             p = _softmax(v @ w)
             p[label] -= 1.0
@@ -180,17 +180,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> LanguageMode
         grams = Grams(dim)
         for frame in frames:
             got = [grams(t) for t in frame["text"]]
-            yield pd.DataFrame({"lang": frame["lang"], "place": frame["place"], "at": [a.tolist() for a, _ in got],
-                                "value": [_weighted(a, c, idf).astype(np.float32).tolist() for a, c in got]})
+            yield pd.DataFrame({"lang": frame["lang"], "place": frame["place"], "at": [a.astype(np.int32).tobytes() for a, _ in got],
+                                "value": [_weighted(a, c, idf).astype(np.float32).tobytes() for a, c in got]})
 
     rows = (chosen.select("text", "lang", F.xxhash64("doc_id", "text").alias("place"))
-            .mapInPandas(featurise, "lang string, place long, at array<int>, value array<float>")
-            .where(F.size("at") > 0).toPandas().sort_values(["place", "lang"]))
+            .mapInPandas(featurise, "lang string, place long, at binary, value binary")  # 8 bytes a feature on the driver
+            .where(F.octet_length("at") > 0).toPandas().sort_values(["place", "lang"]))
     code = {lang: i for i, lang in enumerate(languages)}
-    every = [(np.array(a, dtype=np.int64), np.array(v, dtype=np.float64), code[x]) for a, v, x in zip(rows["at"], rows["value"], rows["lang"])]
+    every = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), code[x]) for a, v, x in zip(rows["at"], rows["value"], rows["lang"])]
     cut = int(len(every) * (1 - CALIBRATE)) if len(every) >= 8 else len(every)
     weights, bias = _ftrl(every[:cut], len(languages), dim)
-    logits = np.array([v @ weights[a] + bias for a, v, _ in every[cut:]]).reshape(-1, len(languages))
+    logits = np.array([v.astype(np.float64) @ weights[a] + bias for a, v, _ in every[cut:]]).reshape(-1, len(languages))
     return LanguageModel(languages, idf, weights, bias, _temperature(logits, np.array([y for *_, y in every[cut:]], dtype=int)))
 
 
