@@ -75,7 +75,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, then jumps to that label's own
     label, so stars and chains shrink by halves. Labels are minima, combined before the
-    shuffle; nothing is gathered per node. Empty edges give no rows.
+    shuffle; nothing is gathered per node. A node's label of the round before stays beside it, so
+    that the end is seen without a join. Empty edges give no rows.
     """
     both = stored(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,15 +86,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         seen = (both.join(labels, both["b"] == labels["node"])
                 .select(F.col("a").alias("node"), "component")
-                .unionByName(labels)
-                .groupBy("node").agg(F.min("component").alias("component")))
+                .withColumn("was", F.lit(None).cast(labels.schema["component"].dataType))
+                .unionByName(labels.withColumn("was", F.col("component")))
+                .groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was")))
         seen = stored(seen, "seen")
         up = labels_of = seen.select(F.col("node").alias("up"), F.col("component").alias("higher"))
         jumped = stored(seen.join(labels_of, seen["component"] == up["up"])
-                        .select("node", F.least("component", "higher").alias("component")), "labels")
-        changed = (jumped.join(labels.select("node", F.col("component").alias("old")), "node")
-                   .where("old <> component").limit(1).count())
-        labels = jumped
+                        .select("node", F.least("component", "higher").alias("component"), "was"), "labels")
+        changed = jumped.where("was <> component").limit(1).count()
+        labels = jumped.drop("was")
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

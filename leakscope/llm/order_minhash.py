@@ -192,8 +192,10 @@ def _kmers_of(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those of `pairs` (a, b: units) that reach the threshold, with their similarity."""
-    named = units.join(pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit")
-    grams = stored(_kmers_of(docs, named.select("unit", "rep"), k), "kmers")
+    # stored, as it is read twice: for the documents to read and for the texts of theirs to take
+    named = stored(units.join(pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit")
+                   .select("unit", "rep"), "pending")
+    grams = stored(_kmers_of(docs, named, k), "kmers")
     left, right = grams.toDF("a", "left"), grams.toDF("b", "right")
     lined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return (lined.mapInArrow(_verify_batches(threshold), "a long, b long, similarity double")
@@ -246,7 +248,7 @@ def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: f
     named = units.join(members.select("unit"), "unit").select("unit", "rep")
     grams = stored(_kmers_of(docs, named, k).join(members, "unit").select("unit", "component", "n", "grams"), "postings")
     counted = (grams.select("grams").mapInArrow(_load_batches(BINS), "bin long, load long")
-               .groupBy("bin").agg(F.sum("load").alias("load")).toPandas())  # at most BINS rows
+               .groupBy("bin").agg(F.sum("load").alias("load")).toArrow())  # at most BINS rows, as two arrays
     load = np.zeros(BINS, dtype=np.int64)
     load[counted["bin"].to_numpy()] = counted["load"].to_numpy()
     # so many k-mers a text shares at least with one that is not shorter
@@ -282,8 +284,12 @@ def _open(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _more_heads(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of each member with HEADS members of its bucket, drawn by hash, that lie in
-    another component: most parts of a large group meet here, at a cost linear in its size."""
+    """Pairs (a, b) of each member with HEADS members of its largest bucket, drawn by hash, that lie
+    in another component: most parts of a large group meet here, in at most HEADS pairs a member
+    however many buckets it is in. What they leave open is compared after it, bucket by bucket."""
+    largest = F.max(F.struct("m", "t", "key"))
+    members = stored(members.join(members.groupBy("unit").agg(largest.alias("own")).select(
+        "unit", F.col("own.t").alias("t"), F.col("own.key").alias("key")), ["unit", "t", "key"]), "members")
     head = lambda i: F.min(F.struct(F.xxhash64("unit", F.lit(i)).alias("place"), "unit", "component", "n"))
     heads = (members.groupBy("t", "key").agg(*[head(i).alias(f"h{i}") for i in range(HEADS)])
              .select("t", "key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")))
