@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.functions.catalog import IDENTITY_KIND
+from leakscope.functions.catalog import IDENTITY_KIND, SENSITIVE
 from leakscope.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
@@ -23,6 +23,8 @@ DECAY_HOURS = 24
 CAP = {"email": 1, "ip": 2}
 _OTHER_CAP = 1
 KEY = ("tenant_id", "kind", "value")
+#: The only patterns whose hits are signals; a scan for signals alone asks for no others.
+PATTERNS = tuple(p for p in SENSITIVE if p.name in IDENTITY_KIND)
 
 
 def normalise(kind: Column, value: Column) -> Column:

@@ -176,7 +176,7 @@ def signal_texts(spark, folder):
 
 
 def signal_rows(spark, folder):
-    return idn.signals(cl.with_sensitive_hits(cl.with_scan_gates(signal_texts(spark, folder))))
+    return idn.signals(cl.with_sensitive_hits(cl.with_scan_gates(signal_texts(spark, folder)), "text", idn.PATTERNS))
 
 
 _SIGNALS = f"""

@@ -118,7 +118,8 @@ def identity_stream(texts: DataFrame, out: str, state: str, checkpoint: str,
     late, leaves it; seen again, it comes back with its count. The last two versions are kept:
     a retry of batch n reads n-1 and writes n. Rows without a time are left out.
     """
-    signals = idn.signals(scan_texts(texts.select("tenant_id", "ts", "event_id", "text"))).where("ts is not null")
+    signals = idn.signals(scan_texts(texts.select("tenant_id", "ts", "event_id", "text"),
+                                     sensitive=idn.PATTERNS)).where("ts is not null")
     keyed_state(texts.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in signals.schema.fields}
     who = F.to_json(F.struct(*idn.KEY))

@@ -197,3 +197,17 @@ def test_registered_queries_match_their_sql(spark, tiny):
         got = check.normal(queries()[name](spark, tiny).toPandas())
         want = check.normal(con.sql(oracle_sql()[name]).df())
         assert list(got.columns) == list(want.columns) and got.equals(want), name
+
+
+def test_signals_are_scanned_for_by_their_own_patterns(spark, tmp_path):
+    from leakscope.functions.catalog import SENSITIVE
+    from leakscope.operators import classify as cl
+    from leakscope.plans import analytics as an
+    rows = [(i, i % 3, dt.datetime(2024, 1, 1, 0, i)) for i in range(30)] + [(None, 1, None), (40, None, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(f"{folder}/events.parquet")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    asked, every = an.signal_rows(spark, folder), identity.signals(cl.with_sensitive_hits(cl.with_scan_gates(an.signal_texts(spark, folder))))
+    others = [p.category for p in SENSITIVE if p not in identity.PATTERNS and p.category not in {q.category for q in identity.PATTERNS}]
+    assert any(c in plan(every) for c in others) and not any(c in plan(asked) for c in others)
+    assert sorted(map(str, asked.collect())) == sorted(map(str, every.collect())) and asked.count() > 30
