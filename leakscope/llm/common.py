@@ -98,3 +98,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def with_edges(grouped: DataFrame, edges: DataFrame) -> DataFrame:
+    """`grouped` (node, component), as of `components`, after more `edges` (a, b): these are drawn
+    between the components, so that rounds run over them alone."""
+    label = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = (edges.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    merged = components(between).toDF("old", "new")
+    moved = (grouped.join(merged, grouped["component"] == merged["old"], "left")
+             .select("node", F.coalesce("new", "component").alias("component")))
+    fresh = merged.toDF("node", "component").join(grouped.select("node"), "node", "left_anti")
+    return stored(moved.unionByName(fresh.select("node", "component")), "grouped")

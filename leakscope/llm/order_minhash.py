@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.llm.common import (
-    NO_ID, components, row_id, small_side, stored, text_of, without, words,
+    NO_ID, components, row_id, small_side, stored, text_of, with_edges, without, words,
 )
 
 K = 5
@@ -267,10 +267,9 @@ def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: f
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _open(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open(shared: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of buckets that span several components, labelled: those of buckets whose open
     pairs can be listed, and the rest."""
-    grouped = components(links)
     labelled = (shared.join(grouped, shared["unit"] == grouped["node"], "left")
                 .select("t", "key", "unit", "n", F.coalesce("component", "unit").alias("component")))
     sizes = labelled.groupBy("t", "key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -330,12 +329,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
                    .select(F.least("unit", "head").alias("a"), F.greatest("unit", "head").alias("b"))
                    .distinct(), "stars")
     links = stored(_verified(docs, stars, units, k, threshold), "links")
-    few, many = _open(shared, links)
+    grouped = components(links)
+    few, many = _open(shared, grouped)
     if many.limit(1).count():
         heads = stored(_more_heads(many, threshold).join(stars, ["a", "b"], "left_anti"), "heads")
         stars = stored(stars.unionByName(heads), "stars")
-        links = stored(links.unionByName(_verified(docs, heads, units, k, threshold)), "links")
-        few, many = _open(shared, links)
+        more = stored(_verified(docs, heads, units, k, threshold), "more")
+        links, grouped = links.unionByName(more), with_edges(grouped, more)
+        few, many = _open(shared, grouped)
     x = few.select("t", "key", F.col("unit").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     y = few.select("t", "key", F.col("unit").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     listed = x.join(y, ["t", "key"]).where("a < b and ca <> cb").where(_can_match(threshold)).select("a", "b")
@@ -343,19 +344,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
         listed = listed.unionByName(_rare_pairs(docs, many, units, k, threshold))
     rest = stored(listed.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = stored(links.unionByName(_verified(docs, rest, units, k, threshold)), "links")
+        more = stored(_verified(docs, rest, units, k, threshold), "more")
+        links, grouped = links.unionByName(more), with_edges(grouped, more)
 
     names = units.select("unit", "rep")
     named = stored(links.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b")
                    .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity"), "named")
     nameless = stored(found.where(F.col("rid") == NO_ID), "nameless")
     if nameless.limit(1).count():
-        classes, kept = _classes_without_ids(found, worded, units, links, nameless)
+        classes, kept = _classes_without_ids(found, worded, units, grouped, nameless)
         return {"classes": classes, "links": named, "nameless": kept}
-    # texts that share a doc_id meet there, copies at their unit's smallest doc_id
-    by_unit = worded.select("rid", "unit").distinct().join(names, "unit")
-    edges = named.select("a", "b").unionByName(by_unit.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")))
-    whole = components(edges)
+    # texts that share a doc_id meet there
+    several = worded.groupBy("rid").agg(F.min("unit").alias("b"), F.max("unit").alias("last")).where("b <> last").select("rid", "b")
+    met = stored(worded.select("rid", F.col("unit").alias("a")).join(several, "rid").where("a <> b").select("a", "b").distinct(), "met")
+    if met.limit(1).count():
+        grouped = with_edges(grouped, met)
+    parts = stored(grouped.join(names, grouped["node"] == names["unit"]).select("unit", "component", "rep"), "parts")
+    least = stored(parts.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    moved = stored(parts.join(least, "component").select("unit", "least"), "moved")
+    whole = (worded.select("rid", "unit").distinct().join(names, "unit").join(moved, "unit", "left")
+             .select("rid", F.coalesce("least", "rep").alias("component")).where("rid <> component").distinct())
+    whole = whole.withColumnRenamed("rid", "node")
     one = stored(
         found.select("rid")
         .join(whole, F.col("rid") == whole["node"], "left")
@@ -367,7 +376,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     return {"classes": classes, "links": named, "nameless": nameless.select("unit", F.lit(True).alias("kept"))}
 
 
-def _classes_without_ids(found: DataFrame, worded: DataFrame, units: DataFrame, links: DataFrame,
+def _classes_without_ids(found: DataFrame, worded: DataFrame, units: DataFrame, grouped: DataFrame,
                          nameless: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes where rows lack a doc_id, and (unit, kept) of the worded ones among them.
 
@@ -378,6 +387,7 @@ def _classes_without_ids(found: DataFrame, worded: DataFrame, units: DataFrame,
     reps = stored(units.select("unit", key("rep").alias("key")), "reps")
     named = found.where(F.col("rid") != NO_ID)
     met = worded.where(F.col("rid") != NO_ID).select("unit", key("rid").alias("a")).distinct()
+    links = grouped.where("node <> component").toDF("a", "b")
     edges = (links.join(reps.toDF("a", "ka"), "a").join(reps.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
              .unionByName(met.join(reps, "unit").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"))))
     whole = components(edges)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from helpers import awkward, documents, empty
 
+from leakscope.llm import common
 from leakscope.llm import order_minhash as om
 
 
@@ -86,6 +87,43 @@ def test_a_member_of_many_buckets_meets_heads_of_one(spark):
     assert 340 < pairs <= om.HEADS * 340
 
 
+def test_components_run_over_each_link_once(spark, monkeypatch):
+    seen, old = [], common.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return old(edges)
+    monkeypatch.setattr(common, "components", counted)
+    monkeypatch.setattr(om, "components", counted)
+    monkeypatch.setattr(om, "OPEN_PAIRS", 0)
+    texts = corpus(5)
+    texts += texts[:1] * 200
+    found = om.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    links = found["links"].count()
+    assert found["classes"].count() == len(texts) and 0 < sum(seen) <= links
+
+
+def test_components_after_more_edges_equal_those_of_all(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    apart = lambda rows: {r["node"]: r["component"] for r in rows.collect()}
+    first, more = [e for e in edges[:25] if e[0] != e[1]], [e for e in edges[25:] if e[0] != e[1]]
+    got = common.with_edges(common.components(frame(first)), frame(more))
+    assert apart(got) == apart(common.components(frame(first + more))) and got.count() == len(apart(got))
+    assert apart(common.with_edges(common.components(frame([])), frame(more))) == apart(common.components(frame(more)))
+    assert apart(common.with_edges(common.components(frame(first)), frame([]))) == apart(common.components(frame(first)))
+
+
+def test_texts_that_share_a_doc_id_join_their_classes(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(7, a), (7, b), (3, b), (5, a + " tail"), (9, c), (4, c), (8, d), (8, None), (2, d)]
+    got = om.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in rows]))["classes"].collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(7, 3), (3, 3), (5, 3), (9, 4), (4, 4), (8, 2), (2, 2)}
+    assert {r["doc_id"] for r in got if r["kept"]} == {3, 4, 2}
+
+
 def test_chain_is_the_longest_in_order():
     rnd = random.Random(1)
     for _ in range(200):
