@@ -39,6 +39,8 @@ OPEN_PAIRS = 16
 HEADS = 8
 #: Bins of the histogram by which k-mers are told to be rare.
 BINS = 1 << 18
+#: Words of 64 bits in the parity sketch of a text.
+PARITY = 8
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -217,22 +219,31 @@ def _load_batches(bins):
     return run
 
 
+def parity(grams: np.ndarray, size: int = PARITY) -> np.ndarray:
+    """Whether an odd number of `grams` fall on each of 64 * size bits. Two sets differ in at least
+    as many elements as their sketches in bits."""
+    odd = np.bincount(mix(grams.astype(np.uint64)) % np.uint64(64 * size), minlength=64 * size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefix_batches(load, threshold):
     def run(batches):
         for batch in batches:
             at, flat = _lists(batch.column(3))
-            rows, grams, places = [], [], []
+            rows, grams, places, odd = [], [], [], []
             for row, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
                 own = flat[lo:hi]
+                odd.append(parity(own))
                 keep = len(own) - math.ceil(len(own) * threshold - 1e-9) + 1
                 first = np.lexsort((own, load[own.astype(np.uint64) % np.uint64(len(load))]))[:keep]
                 rows.append(np.full(len(first), row))
                 grams.append(own[first])
                 places.append(np.arange(len(first)))
             row, gram, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams, places))
-            own = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(3)]
+            columns = [*(batch.column(i) for i in range(3)), pa.array(odd, pa.list_(pa.int64()))]
+            own = [column.take(pa.array(row, pa.int64())) for column in columns]
             yield pa.record_batch([*own, pa.array(gram, pa.int64()), pa.array(place, pa.int32())],
-                                  names=["unit", "component", "n", "gram", "i"])
+                                  names=["unit", "component", "n", "odd", "gram", "i"])
     return run
 
 
@@ -243,7 +254,9 @@ def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: f
     order puts k-mers in rarely filled bins of a hash first.
 
     A unit's component and size are joined to it before its k-mers are listed, and k-mers of one
-    component alone, or of no text that could be the shorter one, are left out before any join."""
+    component alone, or of no text that could be the shorter one, are left out before any join.
+    Texts of a group share most of their k-mers though few of them are near enough: the join
+    leaves out pairs whose parity sketches differ in more bits than the threshold allows k-mers."""
     members = stored(members.select("unit", "component", "n").distinct(), "members")
     named = units.join(members.select("unit"), "unit").select("unit", "rep")
     grams = stored(_kmers_of(docs, named, k).join(members, "unit").select("unit", "component", "n", "grams"), "postings")
@@ -253,17 +266,19 @@ def _rare_pairs(docs, members: DataFrame, units: DataFrame, k: int, threshold: f
     load[counted["bin"].to_numpy()] = counted["load"].to_numpy()
     # so many k-mers a text shares at least with one that is not shorter
     least = F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold)) - 1e-9)
-    rare = stored(grams.mapInArrow(_prefix_batches(load, threshold), "unit long, component long, n int, gram long, i int")
+    rare = stored(grams.mapInArrow(_prefix_batches(load, threshold), "unit long, component long, n int, odd array<long>, gram long, i int")
                   .withColumn("shorter", F.col("n") - F.col("i") >= least), "rare")
     mixed = stored(rare.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("shorter").alias("some"))
                    .where("lo <> hi and some").select("gram"), "mixed")
     rare = stored(rare.join(mixed, "gram", "left_semi"), "shared")
-    left = rare.where("shorter").select("gram", *[F.col(c).alias(x) for c, x in (("unit", "a"), ("i", "ia"), ("component", "ca"), ("n", "na"))])
-    right = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "b"), ("i", "ib"), ("component", "cb"), ("n", "nb"))])
+    left = rare.where("shorter").select("gram", *[F.col(c).alias(x) for c, x in (("unit", "a"), ("i", "ia"), ("component", "ca"), ("n", "na"), ("odd", "oa"))])
+    right = rare.select("gram", *[F.col(c).alias(x) for c, x in (("unit", "b"), ("i", "ib"), ("component", "cb"), ("n", "nb"), ("odd", "ob"))])
     # the first k-mer that two texts share, by rarity, leaves at most so many more to share
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-    return (left.join(right, "gram").where("na <= nb and ca <> cb").where(_can_match(threshold)).where(enough)
+    differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITY)), F.lit(0))
+    return (left.join(right, "gram").where("ca <> cb and (na < nb or na = nb and a < b)").where(_can_match(threshold))
+            .where(enough).where(differ <= F.col("na") + F.col("nb") - 2 * need)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from helpers import awkward, documents, empty
@@ -124,6 +125,39 @@ def test_texts_that_share_a_doc_id_join_their_classes(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == {3, 4, 2}
 
 
+def varied(count, seed=9):
+    """Texts of 120 words: half of them a common one with two words of their own each, which are
+    not near each other; the others with one such word, all near each other."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    for i in range(count):
+        copy = list(base)
+        for at in rnd.sample(range(120), 1 + i % 2):
+            copy[at] = f"x{i}y{at}"
+        yield " ".join(copy)
+
+
+def test_rare_kmers_pair_no_texts_that_differ_too_much(spark):
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(varied(40))])
+    units = common.stored(om._hashed_docs(docs).mapInArrow(om._sketch_batches(5, 10, 2), "rid long, unit long, n int, keys array<long>")
+                          .selectExpr("unit", "rid as rep", "n"), "units")
+    rep = {r["unit"]: r["rep"] for r in units.collect()}
+    pairs = om._rare_pairs(docs, units.selectExpr("unit", "unit as component", "n"), units, 5, 0.8).collect()
+    got = {tuple(sorted((rep[r["a"]], rep[r["b"]]))) for r in pairs}
+    codes = [om.labelled_kmers(np.array([zlib.crc32(w.encode()) for w in t.split()])) for t in varied(40)]
+    near = {(i, j) for j in range(40) for i in range(j) if om.chain_similarity(codes[i], codes[j]) > 0}
+    assert near and near <= got and len(got - near) <= 40
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_the_sets():
+    rnd = np.random.default_rng(2)
+    for _ in range(100):
+        a, b = (set(rnd.integers(0, 900, 300).tolist()) for _ in range(2))
+        x, y = (om.parity(np.array(sorted(s))) for s in (a, b))
+        bits = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+        assert len(x) == om.PARITY and 0 < bits <= len(a ^ b)
+
+
 def test_chain_is_the_longest_in_order():
     rnd = random.Random(1)
     for _ in range(200):
