@@ -84,12 +84,12 @@ def bpe_encode(spark, folder):
         + list_sum(list_transform(w, lambda x: length(x))) AS last_end FROM pieces)
     SELECT doc_id, words, first_start, CAST(last_end AS BIGINT) AS last_end FROM sums""")
 def token_offsets(spark, folder):
-    """Character range from the first to the last word."""
+    """Character range from the first to the last word; without a word, where the text ends and no last one."""
     rows = tokenizer.word_offsets(_documents(spark, folder).select("doc_id", "text"))
     return rows.select(
-        "doc_id", F.size("words").cast("bigint").alias("words"),
-        F.expr("cast(words[0].start AS bigint)").alias("first_start"),
-        F.expr("cast(words[size(words) - 1].end AS bigint)").alias("last_end"))
+        "doc_id", F.expr("if(text IS NULL, NULL, cast(size(words) AS bigint))").alias("words"),
+        F.expr("cast(coalesce(get(words, 0).start, length(text)) AS bigint)").alias("first_start"),
+        F.expr("cast(get(words, size(words) - 1).end AS bigint)").alias("last_end"))
 
 
 @query("token_labels", """

@@ -167,3 +167,18 @@ def test_words_and_tokens_are_made_some_rows_at_a_time(spark, monkeypatch):
         spelled = [s for w in re.findall(r"\S+", low) for s in tokenizer._spell(w, rank)]
         assert [t["surface"] for t in r["tokens"]] == spelled and [t["pos"] for t in r["tokens"]] == list(range(len(spelled)))
         assert all(low[t["start"]:t["end"]] == t["surface"].removesuffix("</w>") and t["id"] == learned.vocab[t["surface"]] for t in r["tokens"])
+
+
+def test_offsets_of_texts_without_words_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from leakscope.plans import load
+    queries, sql = load()
+    texts = ["Ab  cd\tef", None, "", "   ", " \n ", " one", "日本 语 "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries["token_offsets"](spark, str(tmp_path))
+    assert [c for _, c in got.dtypes] == ["bigint"] * 4
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(sql["token_offsets"]).fetchall()
+    assert {tuple(r) for r in got.collect()} == set(want) and (1, None, None, None) in want and (3, 0, 3, None) in want
