@@ -182,3 +182,91 @@ def test_offsets_of_texts_without_words_are_those_of_the_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(sql["token_offsets"]).fetchall()
     assert {tuple(r) for r in got.collect()} == set(want) and (1, None, None, None) in want and (3, 0, 3, None) in want
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    import numpy as np
+
+    from leakscope.operators import token_model as tm
+    rows = feature_rows(spark).repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    weights = tm.fit_path(rows.mapInArrow(counted, rows.schema), (1e-3, 1e-1), max_iter=8)
+    assert seen.value == 1500
+    assert np.abs(weights - tm.fit_path(rows, (1e-3, 1e-1), max_iter=8)).max() < 1e-9
+
+
+def test_packed_features_have_the_gradient_of_single_ones(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from leakscope.operators import token_model as tm
+    rnd = random.Random(1)
+    data = [(float(rnd.random() < 0.3), [float(rnd.random() < 0.5)] + [0.0] * 7 + [0.25], [rnd.randrange(4), tm.HASH_SIZE - 1, rnd.randrange(3)])
+            for _ in range(500)]
+    batches = [pa.record_batch([pa.array([x[i] for x in data[k:k + 60]]) for i in range(3)], names=["label", "shape", "buckets"]) for k in range(0, 500, 60)]
+    monkeypatch.setattr(tm, "CHUNK", 200)
+    monkeypatch.setattr(tm, "BLOCK", 7)
+    packed = list(tm._packed(iter(batches)))
+    assert [b.column("size")[0].as_py() for b in packed] == [240, 240, 20] and list(tm._packed(iter([]))) == []
+    assert all(len(b.column("n")[0].as_py()) // 8 <= 24 for b in packed)   # 2 shapes, 4 and 3 buckets
+    weights = np.array([[rnd.gauss(0, 3) for _ in range(2)] for _ in range(tm.N_FEATURES + tm.HASH_SIZE + 1)])
+    told = next(tm._gradients(weights)(iter(packed))).to_pydict()
+    x, y = np.zeros((500, len(weights))), np.array([d[0] for d in data])
+    for k, (_, shape, buckets) in enumerate(data):
+        x[k, :9], x[k, -1] = shape, 1
+        for b in buckets:
+            x[k, 9 + b] += 1
+    margin = x @ weights
+    want = x.T @ (1 / (1 + np.exp(-margin)) - y[:, None])
+    got = np.zeros_like(want)
+    got[told["feature"][1:]] = np.array([told["g0"], told["g1"]]).T[1:]
+    assert np.abs(got - want).max() < 1e-9
+    assert abs(told["g1"][0] - (np.logaddexp(0, margin) - y[:, None] * margin).sum(0)[1]) < 1e-9
+
+
+def test_spelling_looks_up_only_what_is_new():
+    import random
+    rnd, looked = random.Random(3), 0
+
+    class Counted(dict):
+        def get(self, *a):
+            nonlocal looked
+            looked += 1
+            return super().get(*a)
+    for _ in range(2000):
+        signs = "abc"[:rnd.randint(1, 3)]
+        rank, symbols = Counted(), [*signs, "</w>"]
+        for _ in range(rnd.randint(0, 25)):
+            pair = rnd.choice(symbols), rnd.choice(symbols)
+            if pair not in rank and "</w>" not in pair[0]:
+                rank[pair] = len(rank)
+                symbols.append("".join(pair))
+        word, looked = "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 20))), 0
+        made, most = tokenizer._spell(word, rank), looked
+        assert most <= 3 * len(word)
+        assert made == tokenizer._spell_long(word, rank)
+    assert tokenizer._spell("ab" * 50, {("a", "b"): 0}) == ["ab"] * 50 + ["</w>"]
+
+
+def test_token_rows_say_shape_neighbours_and_label(spark):
+    from leakscope.functions.tokens import shape_features
+    from leakscope.operators import token_model as tm
+    surfaces = ["ab", "c</w>", "</w>", "é", "1</w>", "x-1", "a.b</w>", "q" * 30 + "</w>", "@", "Ab", "ab</w>c", "Z"]
+    docs = [(1, [(i, i, 10 * i, 10 * i + 5, s) for i, s in enumerate(surfaces)], [[12, 31], [50, 50]]), (2, [(0, 7, 0, 2, "ab")], []), (3, [], [[0, 9]])]
+    encoded = spark.createDataFrame(docs, f"doc_id long, tokens {tokenizer.TOKEN_TYPE}, spans array<array<int>>")
+    for most in (None, 3):
+        rows = tm.token_rows(encoded, spans="spans", max_tokens=most)
+        assert rows.columns == ["doc_id", "pos", "n", "token_id", "start", "end", "surface", "shape", "terms", "label"]
+        got = rows.withColumn("plain", shape_features("surface")).orderBy("doc_id", "pos").collect()
+        assert all(r["shape"] == r["plain"] for r in got)
+        cut = surfaces[:most]
+        sides = ["", *cut, ""]
+        want = [(1, i, len(cut), [f"0:{s}", f"-1:{sides[i]}", f"+1:{sides[i + 2]}"], float(i in (1, 2, 3))) for i, s in enumerate(cut)]
+        assert [(r["doc_id"], r["pos"], r["n"], r["terms"], r["label"]) for r in got] == [*want, (2, 0, 1, ["0:ab", "-1:", "+1:"], 0.0)]
