@@ -215,7 +215,7 @@ def test_packed_features_have_the_gradient_of_single_ones(monkeypatch):
     monkeypatch.setattr(tm, "BLOCK", 7)
     packed = list(tm._packed(iter(batches)))
     assert [b.column("size")[0].as_py() for b in packed] == [240, 240, 20] and list(tm._packed(iter([]))) == []
-    assert all(len(b.column("n")[0].as_py()) // 8 <= 24 for b in packed)   # 2 shapes, 4 and 3 buckets
+    assert all(len(b.column("n")[0].as_py()) // 4 <= 24 for b in packed)   # 2 shapes, 4 and 3 buckets
     weights = np.array([[rnd.gauss(0, 3) for _ in range(2)] for _ in range(tm.N_FEATURES + tm.HASH_SIZE + 1)])
     told = next(tm._gradients(weights)(iter(packed))).to_pydict()
     x, y = np.zeros((500, len(weights))), np.array([d[0] for d in data])
